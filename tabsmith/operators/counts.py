@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import as_text, col, is_nested, is_text, missing, type_of
+from tabsmith.operators.running import number_distinct
 
 
 def _long(df: DataFrame, cells: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
@@ -137,23 +138,15 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def category_codes(df: DataFrame, name: str, order_key: str | None = None) -> DataFrame:
-    """(value, code, n): categories numbered from 0 in value order, or by their first ``order_key``."""
-    grouped = df.filter(~missing(df, name)).groupBy(col(name).alias("value"))
-    if order_key is None:
-        counts = grouped.agg(F.count("*").alias("n"))
-        rank = F.col("value")
-    else:
-        counts = grouped.agg(F.count("*").alias("n"), F.min(col(order_key)).alias("first"))
-        rank = F.col("first")
-    coded = number_rows(counts, [rank])
-    return coded.select("value", (F.col("position") - 1).alias("code"), "n")
-
+def category_codes(df: DataFrame, name: str, order_key: str | None = None, *, largest: int | None = None,
+                   **limits) -> DataFrame:
+    """(value, code, n): categories numbered from 0 in value order, or by their first ``order_key``.
 
-def number_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Add ``position`` 1..n in the given total order.
-
-    Meant for category tables: the rows are one per category, after aggregation. See
-    ``running.running_totals`` for tables that grow with the data.
+    ``order_key`` must differ between categories, as a row key does.
     """
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    grouped = df.filter(~missing(df, name)).groupBy(col(name).alias("value"))
+    aggs = [F.count("*").alias("n")]
+    if order_key is not None:
+        aggs.append(F.min(col(order_key)).alias("_first"))
+    coded = number_distinct(grouped.agg(*aggs), "value" if order_key is None else "_first", largest=largest, **limits)
+    return coded.select("value", (F.col("position") - 1).alias("code"), "n")

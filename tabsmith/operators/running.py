@@ -23,10 +23,9 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<s>``: the inclusive total of ``s`` in ascending ``order`` per group.
 
-    ``counts`` holds one row per (group, order value), so hot values are already folded; ``order`` is
-    numeric and ``groups`` are few (classes, columns). A group of at most ``rows_per_bucket`` rows is one
-    window partition. Larger groups are cut at approximate quantiles into buckets of that size; each
-    bucket is its own window partition and starts from the total of the buckets before it. The cuts
+    ``counts`` holds one row per (group, order value), so hot values are already folded; ``groups`` are
+    few (classes, columns). A group of at most ``rows_per_bucket`` rows is one window partition. Larger
+    groups are cut into buckets of about that size at most, at cuts drawn from the values; each bucket is its own window partition and starts from the total of the buckets before it. The cuts
     are literals, so a lost task recomputes the same buckets. ``largest`` is an upper bound of the
     group size where the caller knows one; otherwise the groups are counted first.
     """
@@ -40,15 +39,17 @@ def running_totals(
 
     coarse = math.ceil(largest / rows_per_bucket / FINE)
     n_cuts = coarse * FINE - 1
-    shares = [(i + 1) / (n_cuts + 1) for i in range(n_cuts)]
-    cuts = counts.groupBy(*groups).agg(
-        F.percentile_approx(order, shares, 20 * (n_cuts + 1)).alias("_cuts")
-    )
-    # One row per group holds its cuts; a two-level search keeps the comparisons per row low.
-    cuts = cuts.withColumn(
-        "_heads", F.transform(F.sequence(F.lit(1), F.lit(coarse - 1)) if coarse > 1 else F.array().cast("array<int>"),
-                              lambda i: F.element_at("_cuts", i * FINE))
-    )
+    # The values are distinct within a group, so a hash sample of them yields even cuts. Its size is
+    # bounded by the number of cuts. This works for texts as well as for numbers.
+    by_hash = Window.partitionBy(*groups).orderBy(F.xxhash64(order))
+    drawn = counts.select(*groups, order, F.row_number().over(by_hash).alias("_place"))
+    drawn = drawn.filter(F.col("_place") <= 16 * (n_cuts + 1))
+    cuts = drawn.groupBy(*groups).agg(F.array_sort(F.collect_list(order)).alias("_drawn"))
+    at = lambda i: F.element_at("_drawn", F.floor(i * F.size("_drawn") / (n_cuts + 1)).cast("int") + 1)
+    cuts = cuts.withColumn("_cuts", F.transform(F.sequence(F.lit(1), F.lit(n_cuts)), at)).drop("_drawn")
+    # A two-level search over every FINE-th cut keeps the comparisons per row low.
+    heads = F.sequence(F.lit(1), F.lit(coarse - 1)) if coarse > 1 else F.array().cast("array<int>")
+    cuts = cuts.withColumn("_heads", F.transform(heads, lambda i: F.element_at("_cuts", i * FINE)))
     cuts = counts.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
     placed = counts.join(F.broadcast(cuts), groups)
     head = F.size(F.filter("_heads", lambda c: c <= F.col(order)))
@@ -66,3 +67,10 @@ def running_totals(
     out = out.join(F.broadcast(offsets), [*groups, "_bucket"])
     out = out.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_o_{s}") for s in sums})
     return out.drop("_bucket", *[f"_o_{s}" for s in sums])
+
+
+def number_distinct(df: DataFrame, order: str, *, largest: int | None = None, **limits) -> DataFrame:
+    """Add ``position`` 1..n by ascending ``order``; the values of ``order`` are distinct."""
+    ones = df.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("bigint")})
+    numbered = running_totals(ones, ["_all"], order, ["_one"], largest=largest, **limits)
+    return numbered.withColumnRenamed("cum__one", "position").drop("_all", "_one")
