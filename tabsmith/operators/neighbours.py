@@ -143,17 +143,18 @@ def nearest(
     )
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": [], "tid": [], "distance": []})
         if q.empty or t.empty:
-            return empty
+            return pd.DataFrame({"qid": [], "tid": [], "distance": []})
         ids, points = t["tid"].to_numpy(), _matrix(t["x"])
         qids, asked_points = q["qid"].to_numpy(), _matrix(q["x"])
-        out = [empty]
+        out: list[list[np.ndarray]] = [[], [], []]
         for part in _chunks(len(q), 512):
             d = squared_distances(asked_points[part], points)
             for i, near in smallest(d, ids, k):
-                out.append(pd.DataFrame({"qid": qids[part][i], "tid": ids[near], "distance": np.sqrt(d[i][near])}))
-        return pd.concat(out, ignore_index=True)
+                out[0].append(np.full(len(near), qids[part][i]))
+                out[1].append(ids[near])
+                out[2].append(np.sqrt(d[i][near]))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("qid", "tid", "distance"), out)})
 
     keys = ["cell", "t_part", "q_part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
@@ -200,28 +201,28 @@ def donor_means(
     )
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rid": [], "field": [], "distance": [], "donor": [], "value": []})
-        if q.empty or t.empty:
-            return empty
-        points, ids = _matrix(t["x"]), t["rid"].to_numpy()
-        asked, qids = _matrix(q["x"]), q["rid"].to_numpy()
-        out = [empty]
-        for part in _chunks(len(q), 256):
-            d = _gap_distances(asked[part], points)
-            for f in range(width):
-                need = np.flatnonzero(np.isnan(asked[part][:, f]))
-                have = np.flatnonzero(~np.isnan(points[:, f]))
-                if not len(need) or not len(have):
-                    continue
-                sub = d[np.ix_(need, have)]
-                sub = np.where(np.isnan(sub), np.inf, sub)
-                for i, near in smallest(sub, ids[have], k):
-                    near = near[np.isfinite(sub[i][near])]
-                    out.append(pd.DataFrame({
-                        "rid": qids[part][need[i]], "field": f, "distance": sub[i][near],
-                        "donor": ids[have][near], "value": points[have[near], f],
-                    }))
-        return pd.concat(out, ignore_index=True)
+        columns = ("rid", "field", "distance", "donor", "value")
+        out: list[list[np.ndarray]] = [[np.zeros(0)] for _ in columns]
+        if not q.empty and not t.empty:
+            points, ids = _matrix(t["x"]), t["rid"].to_numpy()
+            asked, qids = _matrix(q["x"]), q["rid"].to_numpy()
+            out[0], out[1], out[3] = ([np.zeros(0, dtype="int64")] for _ in range(3))
+            for part in _chunks(len(q), 256):
+                d = _gap_distances(asked[part], points)
+                for f in range(width):
+                    need = np.flatnonzero(np.isnan(asked[part][:, f]))
+                    have = np.flatnonzero(~np.isnan(points[:, f]))
+                    if not len(need) or not len(have):
+                        continue
+                    sub = d[np.ix_(need, have)]
+                    sub = np.where(np.isnan(sub), np.inf, sub)
+                    for i, near in smallest(sub, ids[have], k):
+                        near = near[np.isfinite(sub[i][near])]
+                        cells = (np.full(len(near), qids[part][need[i]]), np.full(len(near), f), sub[i][near],
+                                 ids[have][near], points[have[near], f])
+                        for column, cell in zip(out, cells):
+                            column.append(cell)
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(columns, out)})
 
     schema = "rid bigint, field int, distance double, donor bigint, value double"
     keys = ["t_part", "q_part"]

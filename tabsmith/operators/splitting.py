@@ -122,10 +122,11 @@ def _compare(df: DataFrame, label: Column, hashed: Column, cuts: Mapping[str, Se
     if len(cuts) <= 1:
         ends = F.array(*[F.lit(h) for h in next(iter(cuts.values()), [""])])
         return df.withColumn(name, test(hashed, ends))
-    table = df.sparkSession.createDataFrame([(c, list(hs)) for c, hs in sorted(cuts.items())], "_l string, _cuts array<string>")
-    rows = df.withColumns({"_label": label, "_h": hashed})
-    joined = rows.join(F.broadcast(table), F.col("_label") == F.col("_l"), "left")
-    return joined.withColumn(name, test(F.col("_h"), F.col("_cuts"))).drop("_label", "_l", "_h", "_cuts")
+    table = df.sparkSession.createDataFrame([(c, list(hs)) for c, hs in sorted(cuts.items())], "_cut_class string, _cut_ends array<string>")
+    rows = df.withColumns({"_cut_label": label, "_cut_hash": hashed})
+    joined = rows.join(F.broadcast(table), F.col("_cut_label") == F.col("_cut_class"), "left")
+    placed = joined.withColumn(name, test(F.col("_cut_hash"), F.col("_cut_ends")))
+    return placed.drop("_cut_label", "_cut_class", "_cut_hash", "_cut_ends")
 
 
 def fold_count(df: DataFrame, folds: int, target: str | None) -> tuple[int, dict[str, int]]:
