@@ -139,13 +139,13 @@ def nearest(
         F.pmod(F.xxhash64("tid"), F.col("t_parts")).cast("int").alias("t_part"),
         F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"),
         "tid",
-        "x",
+        F.col("x").alias("tx"),
     )
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"qid": [], "tid": [], "distance": []})
-        ids, points = t["tid"].to_numpy(), _matrix(t["x"])
+        ids, points = t["tid"].to_numpy(), _matrix(t["tx"])
         qids, asked_points = q["qid"].to_numpy(), _matrix(q["x"])
         out: list[list[np.ndarray]] = [[], [], []]
         for part in _chunks(len(q), 512):
@@ -197,14 +197,15 @@ def donor_means(
     )
     right = donors.select(
         F.pmod(F.xxhash64("rid"), F.lit(t_parts)).cast("int").alias("t_part"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"), "rid", "x",
+        F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"),
+        F.col("rid").alias("donor_id"), F.col("x").alias("donor_x"),
     )
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         columns = ("rid", "field", "distance", "donor", "value")
         out: list[list[np.ndarray]] = [[np.zeros(0)] for _ in columns]
         if not q.empty and not t.empty:
-            points, ids = _matrix(t["x"]), t["rid"].to_numpy()
+            points, ids = _matrix(t["donor_x"]), t["donor_id"].to_numpy()
             asked, qids = _matrix(q["x"]), q["rid"].to_numpy()
             out[0], out[1], out[3] = ([np.zeros(0, dtype="int64")] for _ in range(3))
             for part in _chunks(len(q), 256):

@@ -77,19 +77,20 @@ def euclidean_silhouette(df: DataFrame, key: str, cluster: str, point: str, *, b
     )
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select(F.col("block").alias("a"), every.alias("b"), "id", "c", "x")
-    right = rows.select(every.alias("a"), F.col("block").alias("b"), "id", "c", "x")
+    # Names of their own: both sides come from the same rows.
+    right = rows.select(every.alias("a2"), F.col("block").alias("b2"), F.col("c").alias("c2"), F.col("x").alias("x2"))
     k = len(clusters)
 
     def measure(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
             return pd.DataFrame({"id": [], "c": [], "sums": []})
-        points, others = _matrix(p["x"]), _matrix(q["x"])
+        points, others = _matrix(p["x"]), _matrix(q["x2"])
         member = np.zeros((len(q), k))
-        member[np.arange(len(q)), q["c"].to_numpy()] = 1.0
+        member[np.arange(len(q)), q["c2"].to_numpy()] = 1.0
         sums = [np.sqrt(squared_distances(points[i : i + 512], others)) @ member for i in range(0, len(p), 512)]
         return pd.DataFrame({"id": p["id"], "c": p["c"], "sums": list(np.concatenate(sums))})
 
-    part = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(
+    part = left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2")).applyInPandas(
         measure, "id bigint, c int, sums array<double>"
     )
     cells = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(k)]

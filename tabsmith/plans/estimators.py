@@ -180,7 +180,7 @@ class KernelMachine(Estimator):
 
 def kernel_classifier(n_classes: int, n_rows: int, c: float, gamma, n_components: int, seed: int) -> KernelMachine:
     def make() -> LinearSVC:
-        return LinearSVC(featuresCol=RandomFeaturesModel.OUTPUT, labelCol="_is", weightCol=WEIGHT, maxIter=100,
+        return LinearSVC(featuresCol=RandomFeaturesModel.OUTPUT, labelCol="_is", weightCol=WEIGHT, maxIter=100, tol=1e-3,
                          regParam=1.0 / (c * max(n_rows, 1)), standardization=False,
                          predictionCol=PREDICTION, rawPredictionCol=RAW)
 
@@ -189,7 +189,7 @@ def kernel_classifier(n_classes: int, n_rows: int, c: float, gamma, n_components
 
 def kernel_regressor(n_rows: int, c: float, gamma, n_components: int, seed: int) -> KernelMachine:
     def make() -> LinearRegression:
-        return LinearRegression(featuresCol=RandomFeaturesModel.OUTPUT, labelCol=LABEL, loss="huber", maxIter=100,
+        return LinearRegression(featuresCol=RandomFeaturesModel.OUTPUT, labelCol=LABEL, loss="huber", maxIter=100, tol=1e-3,
                                 regParam=1.0 / (c * max(n_rows, 1)), standardization=False, predictionCol=PREDICTION)
 
     return KernelMachine(make, gamma, n_components, seed)

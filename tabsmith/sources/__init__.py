@@ -1 +1 @@
-
+"""Readers, file audit and writers."""
