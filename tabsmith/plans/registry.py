@@ -153,7 +153,7 @@ def _neighbours(classify: bool) -> Factory:
 
 
 def _kmeans(p: dict, ctx: FitContext) -> Estimator:
-    return BestKMeans(p["n_clusters"], p["n_init"], p["random_state"])
+    return BestKMeans(p["n_clusters"], p["n_init"], p["random_state"], p.get("max_iter", 300), p.get("tol", 1e-4))
 
 
 # Search spaces per model.
