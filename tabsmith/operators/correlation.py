@@ -17,7 +17,7 @@ from tabsmith.functions.columns import (
     numeric_columns,
     type_of,
 )
-from tabsmith.operators.counts import category_codes
+from tabsmith.operators.counts import category_codes, distinct_count_map
 from tabsmith.operators.lookup import BROADCAST_ROWS, attach
 from tabsmith.operators.profile import missing_counts
 from tabsmith.operators.running import running_totals
@@ -108,19 +108,15 @@ def average_ranks(df: DataFrame, names: Sequence[str], *, rows_per_bucket: int |
     """
     limits = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
     table = _numbers(df, names)
-    long = table.unpivot([], list(names), "column", "value").filter("value is not null")
-    counts = long.withColumn("value", F.col("value") + F.lit(0.0)).groupBy("column", "value").agg(F.count("*").alias("n"))
-    counts = counts.persist()
-    sizes = {r["column"]: (int(r["d"]), int(r["t"])) for r in
-             counts.groupBy("column").agg(F.count("*").alias("d"), F.sum("n").alias("t")).collect()}
-    ranked = running_totals(counts, ["column"], "value", ["n"],
-                            largest=max((d for d, _ in sizes.values()), default=0), **limits)
-    ranked = ranked.withColumn("rank", F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0)
+    distinct = distinct_count_map(table, names)
     out = table
     for k, c in enumerate(names):
-        distinct, total = sizes.get(c, (0, 0))
-        side = ranked.filter(F.col("column") == c).select("value", F.col("rank").alias(f"_rank{k}"), "n")
-        out = attach(out, side, col(c) + F.lit(0.0), [f"_rank{k}"], lookup_rows=distinct, total=total,
+        value = col(c) + F.lit(0.0)
+        # One column per branch: its scan reads nothing else.
+        counts = table.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+        ranked = running_totals(counts.withColumn("_all", F.lit(0)), ["_all"], "value", ["n"], largest=distinct[c], **limits)
+        rank = (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias(f"_rank{k}")
+        out = attach(out, ranked.select("value", rank, "n"), value, [f"_rank{k}"], lookup_rows=distinct[c],
                      broadcast_rows=broadcast_rows)
     return out.select(*[F.col(f"_rank{k}").alias(c) for k, c in enumerate(names)])
 
@@ -195,9 +191,10 @@ def coded_target(df: DataFrame, target: str, order_key: str | None = None) -> tu
         value = col(target).cast("double") if type_of(df, target).typeName() == "boolean" else number(df, target)
         return df.withColumn("_target", value), "_target"
     codes = category_codes(df, target, order_key)
-    size = codes.count()
+    size, volume = codes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("value").cast("string"))), F.lit(0))).first()
     text = F.when(~missing(df, target), col(target))
-    with_code = attach(df, codes.withColumn("_code", F.col("code").cast("double")), text, ["_code"], lookup_rows=size)
+    with_code = attach(df, codes.withColumn("_code", F.col("code").cast("double")), text, ["_code"], lookup_rows=size,
+                       lookup_bytes=volume)
     return with_code.withColumn("_target", F.coalesce("_code", F.lit(-1.0))).drop("_code"), "_target"
 
 

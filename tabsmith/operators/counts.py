@@ -124,17 +124,10 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     counts = (
         df.filter(~missing(df, target)).groupBy(col(target).alias("label")).agg(F.count("*").alias("n"))
     )
-    total = counts.agg(
-        F.sum("n").alias("total"), F.max("n").alias("largest"), F.min("n").alias("smallest")
-    )
-    return (
-        counts.join(F.broadcast(total))
-        .select(
-            "label",
-            "n",
-            F.bround(F.col("n") * 100.0 / F.col("total"), 2).alias("pct"),
-            (F.col("largest") / F.greatest("smallest", F.lit(1))).alias("ratio"),
-        )
+    total, largest, smallest = counts.agg(F.sum("n"), F.max("n"), F.min("n")).first()
+    ratio = float(largest) / max(smallest, 1) if total else None
+    return counts.select(
+        "label", "n", F.bround(F.col("n") * 100.0 / F.lit(total), 2).alias("pct"), F.lit(ratio).cast("double").alias("ratio")
     )
 
 

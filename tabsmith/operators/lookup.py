@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.columns import col
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1_000
 SALTS = 64
 
@@ -21,21 +22,22 @@ def attach(
     values: Sequence[str],
     *,
     lookup_rows: int,
+    lookup_bytes: int = 0,
     total: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_share: int = HOT_SHARE,
 ) -> DataFrame:
     """Left join ``df`` with ``lookup(value, n, *values)`` on ``key``; unseen keys get nulls.
 
-    ``lookup`` has one row per key and ``n``, the number of rows with that key. Up to
-    ``broadcast_rows`` rows (counted by the caller) it is broadcast and no row moves. Beyond, the rows are
+    ``lookup`` has one row per key and ``n``, the number of rows with that key. Up to ``broadcast_rows``
+    rows and 64 MB of key text (both counted by the caller) it is broadcast and no row moves. Beyond, the rows are
     shuffled by key, except those of hot keys: a key with at least 1/``hot_share`` of all rows. There
     are at most ``hot_share`` of them, so they are broadcast, and their rows are spread by a salt.
     """
     key_col = col(key) if isinstance(key, str) else key
     values = list(values)
     side = lookup.select(F.col("value").alias("_key"), *values, "n")
-    if lookup_rows <= broadcast_rows:
+    if lookup_rows <= broadcast_rows and lookup_bytes <= BROADCAST_BYTES:
         rows = df.withColumn("_probe", key_col)
         return rows.join(F.broadcast(side.drop("n")), F.col("_probe") == F.col("_key"), "left").drop("_probe", "_key")
 

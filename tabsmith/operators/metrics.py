@@ -156,7 +156,9 @@ def classification_metrics(
     labels = label_metrics(df, actual, predicted)
     if not scores:
         return labels.withColumns({"roc_auc": F.lit(None).cast("double"), "pr_auc": F.lit(None).cast("double")})
-    return labels.join(F.broadcast(area_metrics(df, actual, scores, **limits)))
+    both = (*labels.first(), *area_metrics(df, actual, scores, **limits).first())
+    names = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
+    return df.sparkSession.createDataFrame([both], ", ".join(f"{n} double" for n in names))
 
 
 def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsmith.session import durable
+
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 8_192
 CELL_ROWS = 4_096
@@ -54,26 +56,10 @@ def _chunks(n: int, size: int) -> Iterator[slice]:
         yield slice(start, start + size)
 
 
-def nearest(
-    queries: DataFrame,
-    train: DataFrame,
-    k: int,
-    *,
-    block_rows: int = BLOCK_ROWS,
-    query_rows: int = QUERY_ROWS,
-    cell_rows: int = CELL_ROWS,
-    max_pivots: int = MAX_PIVOTS,
-) -> DataFrame:
-    """(qid, tid, distance, place): the k nearest ``train(tid, x)`` of each ``queries(qid, x)``.
-
-    ``x`` is an array of doubles without nulls; ids are bigint and unique. Euclidean distance, ties by
-    ``tid``. Exact for any data; how much is skipped depends on how well the pivots separate it.
-    """
-    spark = queries.sparkSession
-    n = train.count()
-    if n == 0 or k < 1:
-        return spark.createDataFrame([], "qid bigint, tid bigint, distance double, place int")
-    n_pivots = int(min(max_pivots, max(1, n // cell_rows)))
+def _route(
+    queries: DataFrame, train: DataFrame, k: int, n_pivots: int
+) -> tuple[DataFrame, DataFrame, dict[int, tuple[int, float]]]:
+    """(train rows with their cell, queries with each cell they need, cell -> (rows, radius))."""
     drawn = train.orderBy(F.xxhash64("tid"), "tid").limit(n_pivots).select("x").collect()
     pivots = np.array([r["x"] for r in drawn], dtype=float)
 
@@ -86,6 +72,7 @@ def nearest(
                 yield rows.assign(cell=cell.astype("int32"), gap=d[np.arange(len(rows)), cell])
 
     placed = train.select("tid", "x").mapInPandas(place, "tid bigint, x array<double>, cell int, gap double")
+    placed = durable(placed)  # read three times below
     by_gap = Window.partitionBy("cell").orderBy("gap")
     inner = placed.withColumn("r", F.row_number().over(by_gap)).filter(F.col("r") <= k)
     size = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
@@ -118,13 +105,39 @@ def nearest(
                 )
 
     routed = queries.select("qid", "x").mapInPandas(route, "qid bigint, x array<double>, cell int")
-    if len(used) > 1:
-        asked = {r["cell"]: int(r["n"]) for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    return placed, routed, cells
+
+
+def nearest(
+    queries: DataFrame,
+    train: DataFrame,
+    k: int,
+    *,
+    block_rows: int = BLOCK_ROWS,
+    query_rows: int = QUERY_ROWS,
+    cell_rows: int = CELL_ROWS,
+    max_pivots: int = MAX_PIVOTS,
+) -> DataFrame:
+    """(qid, tid, distance, place): the k nearest ``train(tid, x)`` of each ``queries(qid, x)``.
+
+    ``x`` is an array of doubles without nulls; ids are bigint and unique. Euclidean distance, ties by
+    ``tid``. Exact for any data; how much is skipped depends on how well the pivots separate it.
+    """
+    spark = queries.sparkSession
+    n = train.count()
+    if n == 0 or k < 1:
+        return spark.createDataFrame([], "qid bigint, tid bigint, distance double, place int")
+    n_pivots = int(min(max_pivots, max(1, n // cell_rows)))
+    if n_pivots == 1:
+        placed = train.select("tid", "x", F.lit(0).alias("cell"))
+        routed = queries.select("qid", "x", F.lit(0).alias("cell"))
+        cells, asked = {0: (n, math.inf)}, {0: queries.count()}
     else:
-        asked = {int(used[0]): queries.count()}
+        placed, routed, cells = _route(queries, train, k, n_pivots)
+        asked = {r["cell"]: int(r["n"]) for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     plan = [
         (int(c), max(1, math.ceil(cells[c][0] / block_rows)), max(1, math.ceil(asked.get(c, 0) / query_rows)))
-        for c in used.tolist()
+        for c in sorted(cells)
     ]
     layout = F.broadcast(spark.createDataFrame(plan, "cell int, t_parts int, q_parts int"))
     left = routed.join(layout, "cell").select(

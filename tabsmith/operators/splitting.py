@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import as_text, col, hash_text, missing
 
-COLLECT = 4_096
+COLLECT = 50_000
 MAX_CLASSES = 20_000
 
 

@@ -24,6 +24,7 @@ from tabsmith.session import durable
 PREFIX = "f__"
 ROW_ID = "_rid"
 LOCAL_CODES = 20_000
+LOCAL_BYTES = 16 * 1024 * 1024
 
 
 class _StageWriter(MLWriter):
@@ -327,9 +328,10 @@ class CategoryEncoder(Estimator):
             target = col(self.target_col)
             overall = float(df.agg(F.avg(target)).first()[0] or 0.0)
         stats = encoders.category_stats(df, self.inputs, target).persist()
-        sizes = {r["column"]: (int(r["c"]), int(r["t"])) for r in
-                 stats.groupBy("column").agg(F.count("*").alias("c"), F.sum("n").alias("t")).collect()}
-        largest = max((c for c, _ in sizes.values()), default=0)
+        size = [F.count("*").alias("c"), F.sum("n").alias("t"), F.sum(F.octet_length("value")).alias("b")]
+        sizes = {r["column"]: (int(r["c"]), int(r["t"]), int(r["b"])) for r in
+                 stats.groupBy("column").agg(*size).collect()}
+        largest = max((c for c, _, _ in sizes.values()), default=0)
         defaults = dict.fromkeys(self.inputs, 0.0)
         names: dict[str, list[str]] = {}
         if self.kind == "frequency":
@@ -348,14 +350,15 @@ class CategoryEncoder(Estimator):
             codes = encoders.target_mean_table(stats, smoothing, overall)
             defaults = dict.fromkeys(self.inputs, overall)
         codes = codes.select("column", "value", "n", "code")
-        if sum(c for c, _ in sizes.values()) <= LOCAL_CODES:
+        small = sum(c for c, _, _ in sizes.values()) <= LOCAL_CODES
+        if small and sum(b for _, _, b in sizes.values()) <= LOCAL_BYTES:
             codes = df.sparkSession.createDataFrame(codes.collect(), codes.schema)
         else:
             codes = durable(codes)
         stats.unpersist()
         state = {
             "kind": self.kind, "inputs": self.inputs, "defaults": defaults, "names": names,
-            "sizes": {c: list(sizes.get(c, (0, 0))) for c in self.inputs},
+            "sizes": {c: list(sizes.get(c, (0, 0, 0))) for c in self.inputs},
             "outputs": [f"{self.prefix}{c}{self.SUFFIX[self.kind]}" + ("_index" if self.kind == "onehot" else "")
                         for c in self.columns],
         }
@@ -366,10 +369,10 @@ class CategoryEncoderModel(FittedStage):
     def _transform(self, df: DataFrame) -> DataFrame:
         codes, out = self.tables["codes"], df
         for k, (name, output) in enumerate(zip(self.state["inputs"], self.state["outputs"])):
-            size, total = self.state["sizes"][name]
+            size, total, volume = self.state["sizes"][name]
             side = codes.filter(F.col("column") == name).select("value", "n", F.col("code").alias(f"_code{k}"))
             text = encoders.category_text(df, name)
-            out = attach(out, side, text, [f"_code{k}"], lookup_rows=size, total=total or None)
+            out = attach(out, side, text, [f"_code{k}"], lookup_rows=size, lookup_bytes=volume, total=total or None)
             code = F.coalesce(F.col(f"_code{k}"), F.lit(float(self.state["defaults"][name])))
             if self.state["kind"] == "onehot":
                 # One extra value stands for unseen categories; the vector leaves it out.

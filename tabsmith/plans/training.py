@@ -59,6 +59,12 @@ class TrainingSummary:
     best: str
     data: TrainingData
     labels: list[Any] = field(default_factory=list)
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back the cached tables of the run. Results read later are computed again."""
+        for table in [*self.cached, *[r.predictions for r in self.runs.values()]]:
+            table.unpersist()
 
 
 @dataclass
@@ -70,6 +76,7 @@ class _Table:
     labels: list[Any]
     sizes: dict[int, int]
     label_type: str
+    base: DataFrame
 
 
 def _prepare_rows(data: TrainingData, spec: RunSpec) -> _Table:
@@ -79,9 +86,9 @@ def _prepare_rows(data: TrainingData, spec: RunSpec) -> _Table:
     else:
         frame = with_row_id(frame, spec.key).persist()
     if spec.task == "Clustering":
-        return _Table(frame, data.rows, [], {}, "string")
+        return _Table(frame, data.rows, [], {}, "string", frame)
     if spec.task == "Regression":
-        return _Table(frame.withColumn(LABEL, col(spec.target).cast("double")), data.rows, [], {}, "double")
+        return _Table(frame.withColumn(LABEL, col(spec.target).cast("double")), data.rows, [], {}, "double", frame)
     counts = frame.groupBy(col(spec.target).alias("label")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1)
     found = sorted((r["label"], int(r["n"])) for r in counts.collect())
     if len(found) > MAX_CLASSES:
@@ -89,7 +96,7 @@ def _prepare_rows(data: TrainingData, spec: RunSpec) -> _Table:
     labels = [v for v, _ in found]
     rows = label_column(frame, spec.target, labels)
     sizes = {i: n for i, (_, n) in enumerate(found)}
-    return _Table(rows, data.rows, labels, sizes, frame.schema[spec.target].dataType.simpleString())
+    return _Table(rows, data.rows, labels, sizes, frame.schema[spec.target].dataType.simpleString(), frame)
 
 
 def _weighted(rows: DataFrame, balanced: bool, n_classes: int) -> DataFrame:
@@ -184,7 +191,8 @@ def train_models(
         raise RuntimeError(f"All selected models failed to train. {errors}")
     board = _leaderboard(runs, errors, spec)
     best = board.first()["Model"]
-    return TrainingSummary(board, runs, errors, best, data, table.labels)
+    cached = [table.base] + ([shared.train, shared.test] if shared else [])
+    return TrainingSummary(board, runs, errors, best, data, table.labels, cached)
 
 
 def _leaderboard(runs: dict[str, ModelRun], errors: dict[str, str], spec: RunSpec) -> DataFrame:
@@ -275,10 +283,13 @@ def _run_folds(name, data, spec, table, preprocessor, registry, optimizer, overr
         scored = scored.withColumn("fold", F.lit(i))
         parts = scored if parts is None else parts.unionByName(scored)
     predictions = parts.persist()
+    predictions.count()  # fills the cache before the fold tables are given back
     pipeline = preprocessor.fit(table.rows)
     ready = pipeline.transform(table.rows).persist()
     model = _fit(registry, spec, name, ready, table, table.n_rows, overrides)
     seconds = time.perf_counter() - start
+    ready.unpersist()
+    rows.unpersist()
     fitted = FittedModel(name, spec.task, data.features, PipelineModel([*pipeline.stages, model]),
                          table.labels, table.label_type)
     raw = [ROW_ID, *data.features, spec.target]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,31 +23,24 @@ class TableLoadError(ValueError):
     """The files cannot be read as a table."""
 
 
-def _utf8(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per chunk of lines: does it decode?"""
-    for batch in batches:
-        ok = []
-        for content in batch["line"]:
-            try:
-                bytes(content).decode("utf-8")
-                ok.append(True)
-            except UnicodeDecodeError:
-                ok.append(False)
-        yield pd.DataFrame({"path": batch["path"], "ok": ok})
+def files_not_utf8(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Files with a line that is no valid UTF-8.
 
+    Files are tested line by line in splits inside the JVM, so a file of any size is read in parallel.
+    """
+    lines = spark.read.text(list(paths)).filter(~F.is_valid_utf8("value"))
+    return sorted(r["path"] for r in lines.select(F.input_file_name().alias("path")).distinct().collect())
 
-def file_encodings(spark: SparkSession, path: str | Sequence[str]) -> dict[str, str]:
-    """File -> encoding: UTF-8 where every line decodes, otherwise Latin-1, which reads any byte.
 
-    Files are tested line by line in splits, so a file of any size is read in parallel and never whole.
-    """
-    lines = spark.read.text(path).select(
-        F.input_file_name().alias("path"), F.col("value").cast("binary").alias("line")
-    )
-    # The text reader replaces nothing when cast to binary: the bytes are those of the file.
-    tested = lines.mapInPandas(_utf8, "path string, ok boolean")
-    return {r["path"]: ("UTF-8" if r["ok"] else "ISO-8859-1")
-            for r in tested.groupBy("path").agg(F.min("ok").alias("ok")).collect()}
+def file_encodings(spark: SparkSession, path: str | Sequence[str]) -> dict[str, str]:
+    """Encoding -> paths: UTF-8 where every line decodes, otherwise Latin-1, which reads any byte."""
+    paths = [path] if isinstance(path, str) else list(path)
+    odd = files_not_utf8(spark, paths)
+    if not odd:
+        return {"UTF-8": paths}
+    plain = {unquote(p): p for p in spark.read.text(paths).inputFiles()}
+    rest = sorted(p for q, p in plain.items() if q not in {unquote(o) for o in odd})
+    return ({"UTF-8": rest} if rest else {}) | {"ISO-8859-1": odd}
 
 
 def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
@@ -111,15 +104,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *, infer: bool = Tr
     is read until the table is used.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    if encoding is None:
-        found = file_encodings(spark, paths)
-        if not found:
-            raise TableLoadError("Could not parse dataset: no data.")
-        groups: dict[str, list[str]] = {}
-        for p, e in sorted(found.items()):
-            groups.setdefault(e, []).append(p)
-    else:
-        groups = {encoding: paths}
+    groups = file_encodings(spark, paths) if encoding is None else {encoding: paths}
     names: list[str] | None = None
     table: DataFrame | None = None
     for enc, members in groups.items():
