@@ -25,14 +25,19 @@ from tabsmith.operators.running import running_totals
 MOMENTS = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
-def _pair_moments(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+def _pair_moments(
+    df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]], *, centred: bool = True
+) -> DataFrame:
     """Sufficient statistics (n, sums, squares, product) per pair of columns.
 
     Each task folds its rows into one small matrix, so the shuffle carries pairs, not rows. The values
-    are centred on the overall means first: large offsets would cancel the digits of the squares.
+    are centred on the overall means first: large offsets would cancel the digits of the squares. Ranks
+    need no centre (their mean is of the size of their spread), which saves computing them twice.
     """
-    centre_row = df.agg(*[F.avg(col(c)) for c in names]).first()
-    centre = np.array([0.0 if v is None else float(v) for v in centre_row])
+    centre = np.zeros(len(names))
+    if centred:
+        row = df.agg(*[F.avg(col(c)) for c in names]).first()
+        centre = np.array([0.0 if v is None else float(v) for v in row])
     left = np.array([i for i, _ in pairs], dtype=int)
     right = np.array([j for _, j in pairs], dtype=int)
 
@@ -150,7 +155,7 @@ def _correlate(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, i
         used = sorted({i for pair in complete for i in pair})
         at = {i: k for k, i in enumerate(used)}
         ranks = average_ranks(table, [names[i] for i in used], **limits)
-        local = _pair_moments(ranks, ranks.columns, [(at[i], at[j]) for i, j in complete])
+        local = _pair_moments(ranks, ranks.columns, [(at[i], at[j]) for i, j in complete], centred=False)
         back = df.sparkSession.createDataFrame(list(enumerate(used)), "k int, at int")
         a, b = F.broadcast(back).alias("ra"), F.broadcast(back).alias("rb")
         local = local.join(a, F.col("i") == F.col("ra.k")).join(b, F.col("j") == F.col("rb.k"))
@@ -161,7 +166,7 @@ def _correlate(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, i
     for i, j in gappy:
         both = table.filter(col(names[i]).isNotNull() & col(names[j]).isNotNull())
         ranks = average_ranks(both, [names[i], names[j]], **limits)
-        part = _pair_moments(ranks, ranks.columns, [(0, 1)])
+        part = _pair_moments(ranks, ranks.columns, [(0, 1)], centred=False)
         if (i, j) in pairs:
             parts.append(part.withColumns({"i": F.lit(i), "j": F.lit(j)}))
         if (j, i) in pairs:

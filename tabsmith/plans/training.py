@@ -191,7 +191,9 @@ def train_models(
         raise RuntimeError(f"All selected models failed to train. {errors}")
     board = _leaderboard(runs, errors, spec)
     best = board.first()["Model"]
-    cached = [table.base] + ([shared.train, shared.test] if shared else [])
+    cached = [table.base]
+    if shared:
+        cached += [t for t in (shared.train, shared.test, shared.split) if t is not None]
     return TrainingSummary(board, runs, errors, best, data, table.labels, cached)
 
 
@@ -209,6 +211,7 @@ class _Shared:
     train: DataFrame
     test: DataFrame
     n_train: int
+    split: DataFrame | None = None
 
 
 def _shared_holdout(table: _Table, spec: RunSpec, preprocessor: Preprocessor) -> _Shared:
@@ -219,10 +222,14 @@ def _shared_holdout(table: _Table, spec: RunSpec, preprocessor: Preprocessor) ->
     classes = {str(k): n for k, n in table.sizes.items()}
     stratify = LABEL if spec.task == "Classification" and spec.stratify and can_stratify(classes) else None
     split = with_holdout(table.rows, [ROW_ID], spec.train_size, stratify=stratify, seed=spec.seed)
+    # The statistics of every stage scan the training side: cache the split instead of hashing anew.
+    split = split.persist()
+    n_train = split.filter("is_train").count()
+    table.base.unpersist()
     train, test = split.filter("is_train"), split.filter(~F.col("is_train"))
     pipeline = preprocessor.fit(train)
     train_t, test_t = pipeline.transform(train).persist(), pipeline.transform(test).persist()
-    return _Shared(pipeline, train_t, test_t, train_t.count())
+    return _Shared(pipeline, train_t, test_t, n_train, split)
 
 
 def _run_model(name, data, spec, table, preprocessor, shared, registry, optimizer, fingerprint) -> ModelRun:

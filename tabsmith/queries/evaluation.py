@@ -33,11 +33,15 @@ def _select(made: dict[str, str], table: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in made.items()) + f" FROM {table}"
 
 
-def _frame(spark, sf_dir, made: dict[str, str], table: str):
+def made_up(df, made: dict[str, str]):
     # SQL reads 101.0 as a decimal; both engines must divide doubles.
     exprs = [f"{e.replace('101.0', '101.0D').replace('97.0', '97.0D').replace('0.9', '0.9D').replace('37.5', '37.5D')} as {c}"
              for c, e in made.items()]
-    return load(spark, sf_dir, table).selectExpr(*exprs)
+    return df.selectExpr(*exprs)
+
+
+def _frame(spark, sf_dir, made: dict[str, str], table: str):
+    return made_up(load(spark, sf_dir, table), made)
 
 
 def _sql(made: dict[str, str], table: str) -> str:
