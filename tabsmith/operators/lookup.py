@@ -12,7 +12,7 @@ from tabsmith.functions.columns import col
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1_000
-SALTS = 64
+SALTS = 1_000_000
 
 
 def attach(
@@ -32,7 +32,8 @@ def attach(
     ``lookup`` has one row per key and ``n``, the number of rows with that key. Up to ``broadcast_rows``
     rows and 64 MB of key text (both counted by the caller) it is broadcast and no row moves. Beyond, the rows are
     shuffled by key, except those of hot keys: a key with at least 1/``hot_share`` of all rows. There
-    are at most ``hot_share`` of them, so they are broadcast, and their rows are spread by a salt.
+    are at most ``hot_share`` of them, so they are broadcast, and their rows are spread by a salt (which
+    matches nothing, so it may take any number of values and no row of the lookup is copied).
     """
     key_col = col(key) if isinstance(key, str) else key
     values = list(values)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 2_000_000
 FINE = 32
@@ -39,19 +40,22 @@ def running_totals(
 
     coarse = math.ceil(largest / rows_per_bucket / FINE)
     n_cuts = coarse * FINE - 1
-    # The values are distinct within a group, so a hash sample of them yields even cuts. Its size is
-    # bounded by the number of cuts. This works for texts as well as for numbers.
-    by_hash = Window.partitionBy(*groups).orderBy(F.xxhash64(order))
-    drawn = counts.select(*groups, order, F.row_number().over(by_hash).alias("_place"))
-    drawn = drawn.filter(F.col("_place") <= 16 * (n_cuts + 1))
+    # The values are distinct within a group, so a hash sample of them yields even cuts, for texts as
+    # well as for numbers. Its size follows from the number of cuts; a group too small to be drawn from
+    # needs no cut.
+    one_in = max(1, largest // (16 * (n_cuts + 1)))
+    drawn = counts.select(*groups, order).filter(F.pmod(F.xxhash64(F.lit(7), order), F.lit(one_in)) == 0)
     cuts = drawn.groupBy(*groups).agg(F.array_sort(F.collect_list(order)).alias("_drawn"))
     at = lambda i: F.element_at("_drawn", F.floor(i * F.size("_drawn") / (n_cuts + 1)).cast("int") + 1)
     cuts = cuts.withColumn("_cuts", F.transform(F.sequence(F.lit(1), F.lit(n_cuts)), at)).drop("_drawn")
     # A two-level search over every FINE-th cut keeps the comparisons per row low.
-    heads = F.sequence(F.lit(1), F.lit(coarse - 1)) if coarse > 1 else F.array().cast("array<int>")
-    cuts = cuts.withColumn("_heads", F.transform(heads, lambda i: F.element_at("_cuts", i * FINE)))
+    kind = T.ArrayType(counts.schema[order].dataType, True)
+    every = [F.element_at("_cuts", i * FINE) for i in range(1, coarse)]
+    cuts = cuts.withColumn("_heads", F.array(*every).cast(kind))
     cuts = counts.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    placed = counts.join(F.broadcast(cuts), groups)
+    placed = counts.join(F.broadcast(cuts), groups, "left")
+    none = F.array().cast(kind)
+    placed = placed.withColumns({"_cuts": F.coalesce("_cuts", none), "_heads": F.coalesce("_heads", none)})
     head = F.size(F.filter("_heads", lambda c: c <= F.col(order)))
     placed = placed.withColumn("_head", head)
     fine = F.size(F.filter(F.slice("_cuts", F.col("_head") * FINE + 1, F.lit(FINE)), lambda c: c <= F.col(order)))

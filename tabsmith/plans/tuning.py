@@ -54,7 +54,7 @@ class RandomSearch:
             return dict(overrides)
         folds = min(max(folds, 2), 5)
         target = LABEL if task == "Classification" else None
-        rows = with_folds(train, [ROW_ID], folds, target=target, seed=self.seed)
+        rows = with_folds(train, [ROW_ID], folds, target=target, seed=self.seed).persist()
         used = rows.agg(F.max("fold")).first()[0] + 1
         self.trials = []
         for params in draw(space, n_iter, self.seed):
@@ -64,5 +64,6 @@ class RandomSearch:
                 model = estimator.fit(rows.filter(F.col("fold") != i))
                 scores.append(evaluator(task).evaluate(model.transform(rows.filter(F.col("fold") == i))))
             self.trials.append((params, sum(scores) / len(scores)))
+        rows.unpersist()
         best = max(self.trials, key=lambda t: t[1])[0]
         return {**overrides, **best}
