@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import digest_index, histogram_sort, secret_scan
+from tabsmith.llm import digest_index, histogram_sort, html_layout, ordinal, packing, secret_scan, warc
 from tabsmith.llm.common import scratch_path, text_or_empty
 from tabsmith.queries.base import Catalog, load
 
@@ -12,6 +12,12 @@ CATALOG = Catalog()
 query = CATALOG.query
 
 
+@query("op2_html_layout")
+def op2_html_layout(spark, sf_dir):
+    text = html_layout.extract(load(spark, sf_dir, "pages"))
+    return text.select("page_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+
+
 @query("op3_histogram_shards")
 def op3_histogram_shards(spark, sf_dir):
     dealt = histogram_sort.histogram_shards(load(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
@@ -21,6 +27,30 @@ def op3_histogram_shards(spark, sf_dir):
     )
 
 
+WARC_SQL = """
+WITH sized AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, max(page_id) AS first FROM sized WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM sized LEFT JOIN firsts USING (payload_digest)
+"""
+
+
+@query("op5_capture_index", WARC_SQL)
+def op5_capture_index(spark, sf_dir):
+    """Digests and sizes of responses are computed anew from the payloads that were read."""
+    _, index = warc.archived(load(spark, sf_dir, "pages"))
+    read = warc.read_captures(index.captures())
+    there = F.col("payload").isNotNull()
+    return read.select(
+        "page_id",
+        F.when(there, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(there, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", "refers_to",
+    )
+
+
 EXACT_SQL = r"""
 WITH texts AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -42,6 +72,20 @@ def op7_digest_index(spark, sf_dir):
     return index.kept(batch).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+@query("op9_ordinal_quality")
+def op9_ordinal_quality(spark, sf_dir):
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = ordinal.fit(docs, labels.select("doc_id", ordinal.rating(F.col("quality"), F.col("toxic")).alias("grade")))
+    scored = docs.select("doc_id", model.score().alias("score"))
+    return scored.select("doc_id", F.col("score.expected").alias("expected_grade"), F.col("score.tail").alias("tail_probability"),
+                         (F.col("score.tail") >= 0.5).alias("selected"))
+
+
 @query("op10_structural_secrets")
 def op10_structural_secrets(spark, sf_dir):
     return secret_scan.summary(secret_scan.find_secrets(load(spark, sf_dir, "documents")))

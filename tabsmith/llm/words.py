@@ -93,6 +93,8 @@ class Words:
     hash: np.ndarray
     begin: np.ndarray
     """First word of each text, and the number of words at the end."""
+    ends: np.ndarray
+    """Where the space behind each text stands in the buffer."""
 
 
 def words(column: pa.Array, fold: bool = True, breaks: np.ndarray = WHITE) -> Iterator[Words]:
@@ -108,7 +110,7 @@ def words(column: pa.Array, fold: bool = True, breaks: np.ndarray = WHITE) -> It
         begin = np.searchsorted(start, at + np.arange(len(at)))
         prefix = prefix_hashes((FOLDED_CODES if fold else BYTE_CODES)[buffer])
         hashes = mix(span_hashes(prefix, start, end))
-        yield Words(lo, hi - lo, buffer, start, end, np.repeat(np.arange(hi - lo), np.diff(begin)), hashes, begin)
+        yield Words(lo, hi - lo, buffer, start, end, np.repeat(np.arange(hi - lo), np.diff(begin)), hashes, begin, at[1:] + np.arange(len(at) - 1))
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
