@@ -61,9 +61,10 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.text[1:] == w.text[:-1])
     shares = [(capitals[ends] - capitals[begins]) / np.maximum(ends - begins, 1),
               np.bincount(w.text, weights=again, minlength=w.texts) / np.maximum(np.diff(w.begin), 1)]
+    short = np.diff(w.begin) < 5  # too few words for a share
     for i, share in enumerate(shares):
         texts.append(np.arange(w.texts))
-        hashes.append(mix(np.minimum(share * 10, 9).astype(np.uint64), 50 + i))
+        hashes.append(mix(np.where(short, 10, np.minimum(share * 10, 9)).astype(np.uint64), 50 + i))
     text, value = np.concatenate(texts), np.concatenate(hashes) >> np.uint64(64 - BITS)
     order = np.argsort(text, kind="stable")
     return text[order], value[order].astype(np.int64)
