@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import digest_index, histogram_sort, html_layout, ordinal, packing, secret_scan, warc
+from tabsmith.llm import decontaminate, digest_index, histogram_sort, html_layout, ordinal, packing, secret_scan, warc
 from tabsmith.llm.common import scratch_path, text_or_empty
 from tabsmith.queries.base import Catalog, load
 
@@ -12,6 +12,12 @@ CATALOG = Catalog()
 query = CATALOG.query
 
 
+@query("op1_latent_leaks")
+def op1_latent_leaks(spark, sf_dir):
+    found = decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("common", 4).alias("common"), F.round("answer", 4).alias("answer"))
+
+
 @query("op2_html_layout")
 def op2_html_layout(spark, sf_dir):
     text = html_layout.extract(load(spark, sf_dir, "pages"))
