@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import decontaminate, digest_index, histogram_sort, html_layout, ordinal, packing, secret_scan, warc
+from tabsmith.llm import decontaminate, digest_index, histogram_sort, html_layout, jaccard_join, ordinal, packing, secret_scan, warc
 from tabsmith.llm.common import scratch_path, text_or_empty
 from tabsmith.queries.base import Catalog, load
 
@@ -57,6 +57,12 @@ def op5_capture_index(spark, sf_dir):
     )
 
 
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, sf_dir):
+    groups = jaccard_join.similar_groups(load(spark, sf_dir, "documents"), size=4, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 EXACT_SQL = r"""
 WITH texts AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
