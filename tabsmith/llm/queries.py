@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import decontaminate, digest_index, histogram_sort, html_layout, jaccard_join, ordinal, packing, secret_scan, warc
+from tabsmith.llm import decontaminate, digest_index, histogram_sort, html_layout, jaccard_join, ordinal, packing, secret_scan, suffix_dedup, warc
 from tabsmith.llm.common import scratch_path, text_or_empty
 from tabsmith.queries.base import Catalog, load
 
@@ -33,6 +33,12 @@ def op3_histogram_shards(spark, sf_dir):
     )
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf_dir):
+    kept = suffix_dedup.without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 WARC_SQL = """
 WITH sized AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 firsts AS (SELECT payload_digest, max(page_id) AS first FROM sized WHERE payload_bytes >= 1000 GROUP BY payload_digest)
