@@ -7,7 +7,8 @@ boundaries over all partitions, and narrows the ranges that still hold a splitte
 shrunk to one text is refined by doc_id. Then all rows are exchanged once, straight to the sorted pieces of the shards.
 
 Size of a row: UTF-8 bytes of the text plus 8; a null text has 8. Edge cases: an empty table gives no rows. Null ids
-come first. Rows that repeat both text and id share a key and are never cut apart. Other columns are carried along.
+come first. Rows that repeat both text and id share a key and are never cut apart. Other columns are carried along; input columns
+named ``shard`` or ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -124,6 +125,6 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.005
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     begin = F.element_at(F.array(*[F.lit(b).cast("long") for b in begins]), F.col("__piece") + 1)
     return dealt.select(
-        *[dealt[f"`{c}`"] for c in docs.columns],
+        *[dealt[f"`{c}`"] for c in docs.columns if c not in ("shard", "slot")],
         (F.col("__piece") / per_shard).cast("int").alias("shard"), (begin + place).alias("slot"),
     )

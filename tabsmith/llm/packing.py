@@ -42,7 +42,7 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], reuse: float, overhea
         if at < len(rooms):
             room, number = rooms.pop(at)
         else:
-            length = min((c for c in lengths if c >= size), key=lambda c: (c + overhead - reuse * (c - size), c))
+            length = min((c for c in lengths if c >= size), key=lambda c: (c + overhead - reuse * (c - size), -c))
             room, number = length, len(used)
             used.append(0)
         bins.append(number)
