@@ -15,7 +15,7 @@ EPSILON = 2.220446049250313e-16
 
 CLASSIFICATION = ["Accuracy", "Precision", "Recall", "F1-Score", "ROC-AUC", "PR-AUC"]
 REGRESSION = ["MSE", "RMSE", "MAE", "R2", "MAPE"]
-CLUSTERING = ["Silhouette Score"]
+CLUSTERING = ["Squared Silhouette", "Silhouette Score"]
 
 
 def confusion_counts(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
@@ -195,7 +195,7 @@ def leaderboard(df: DataFrame, task: str) -> DataFrame:
     orders = {
         "Classification": [("F1-Score", False), ("ROC-AUC", False), ("Accuracy", False)],
         "Regression": [("R2", False), ("MAE", True)],
-        "Clustering": [("Silhouette Score", False)],
+        "Clustering": [("Squared Silhouette", False), ("Silhouette Score", False)],
     }
     keys = []
     for name, ascending in orders[task]:

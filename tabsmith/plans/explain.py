@@ -107,8 +107,7 @@ def permutation_importance(
         {c: F.when(F.col("_feature") == i, F.col(f"_moved_{i}")).otherwise(col(c)) for i, c in enumerate(names)}
     )
     # Copies of a row need ids of their own for models that search by row id.
-    copies = len(names) * repeats
-    every = every.withColumn(ROW_ID, F.col(ROW_ID) * copies + F.col("_repeat") * len(names) + F.col("_feature"))
+    every = every.withColumn(ROW_ID, F.xxhash64(ROW_ID, "_repeat", "_feature"))
     scored = fitted.outputs(fitted.pipeline.transform(every), [target, "_repeat", "_feature"])
     scores = grouped_scores(scored, ["_repeat", "_feature"], target, predicted, fitted.task)
     drop = scores.groupBy("_feature").agg((F.lit(start) - F.avg("score")).alias("importance"))

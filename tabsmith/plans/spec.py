@@ -39,7 +39,11 @@ class RunSpec:
     """Everything a run of the workbench needs besides the table.
 
     ``key`` names one integer column that identifies the rows; without it the rows are numbered once and
-    checkpointed. ``model_params`` maps a model name to parameters that replace its defaults.
+    checkpointed. ``model_params`` maps a model name to parameters that replace its defaults. Clusterings are ranked by
+    the squared silhouette, whatever their size; ``exact_silhouette`` adds the Euclidean one, whose work grows with the
+    square of the rows. ``max_classes`` refuses targets with more classes; unset, there is no limit.
+    ``early_stopping`` lets boosting stop when a held-back tenth of the training rows no longer improves for
+    ``EARLY_ROUNDS`` rounds, unless ``model_params`` say otherwise.
     """
 
     features: list[str]
@@ -73,7 +77,8 @@ class RunSpec:
     permutation_importance: bool = False
     seed: int = 42
     exact_quantiles: bool = True
-    exact_silhouette_rows: int = 20_000
+    exact_silhouette: bool = False
+    max_classes: int | None = None
 
     def __post_init__(self) -> None:
         for name, allowed in CHOICES.items():

@@ -37,7 +37,7 @@ from tabsmith.plans.tuning import Optimizer, RandomSearch
 
 LOG = logging.getLogger(__name__)
 METRICS = {"Classification": CLASSIFICATION, "Regression": REGRESSION, "Clustering": CLUSTERING}
-MAX_CLASSES = 1_000
+EARLY_ROUNDS = 10
 
 
 @dataclass
@@ -89,10 +89,10 @@ def _prepare_rows(data: TrainingData, spec: RunSpec) -> _Table:
         return _Table(frame, data.rows, [], {}, "string", frame)
     if spec.task == "Regression":
         return _Table(frame.withColumn(LABEL, col(spec.target).cast("double")), data.rows, [], {}, "double", frame)
-    counts = frame.groupBy(col(spec.target).alias("label")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1)
-    found = sorted((r["label"], int(r["n"])) for r in counts.collect())
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"The target has more than {MAX_CLASSES} classes; choose Regression or another target.")
+    counts = frame.groupBy(col(spec.target).alias("label")).agg(F.count("*").alias("n"))
+    if spec.max_classes is not None and (classes := counts.count()) > spec.max_classes:
+        raise ValueError(f"Target {spec.target!r} has {classes} classes, more than max_classes={spec.max_classes}.")
+    found = sorted((r["label"], int(r["n"])) for r in counts.collect())  # a model keeps its classes: they fit in memory
     labels = [v for v, _ in found]
     rows = label_column(frame, spec.target, labels)
     sizes = {i: n for i, (_, n) in enumerate(found)}
@@ -109,11 +109,32 @@ def _weighted(rows: DataFrame, balanced: bool, n_classes: int) -> DataFrame:
     return rows.withColumn(WEIGHT, F.get(F.array(*map(F.lit, weights)), F.col(LABEL).cast("int")))
 
 
+def _overrides(spec: RunSpec, name: str) -> dict[str, Any]:
+    """The run's parameters of a model; early stopping where it boosts."""
+    given = dict(spec.model_params.get(name, {}))
+    if spec.early_stopping and name == "GradientBoosting":
+        given.setdefault("n_iter_no_change", EARLY_ROUNDS)
+    return given
+
+
+def _balances(registry: ModelRegistry, spec: RunSpec, name: str, overrides: Mapping[str, Any]) -> bool:
+    return str(registry.params(spec.task, name, overrides).get("class_weight", "")).startswith("balanced")
+
+
 def _fit(registry: ModelRegistry, spec: RunSpec, name: str, train: DataFrame, table: _Table, n_rows: int,
          overrides: Mapping[str, Any]):
     context = FitContext(n_rows, len(table.labels), spec.seed)
-    balanced = str(registry.params(spec.task, name, overrides).get("class_weight", "")).startswith("balanced")
-    return registry.create_model(spec.task, name, context, overrides).fit(_weighted(train, balanced, len(table.labels)))
+    rows = _weighted(train, _balances(registry, spec, name, overrides), len(table.labels))
+    return registry.create_model(spec.task, name, context, overrides).fit(rows)
+
+
+def _tuned(registry, spec, name, train, table, optimizer, overrides, folds) -> dict[str, Any]:
+    """Parameters found on ``train`` alone, under the row weights of the fit; those given if the run does not tune."""
+    if not spec.tuning:
+        return overrides
+    context = FitContext(train.count(), len(table.labels), spec.seed)
+    base = _weighted(train, _balances(registry, spec, name, overrides), len(table.labels))
+    return optimizer.optimize(registry, spec.task, name, base, context, overrides, spec.tuning_iterations, folds)
 
 
 def _target_column(table: _Table, spec: RunSpec) -> tuple[DataFrame, str]:
@@ -143,13 +164,11 @@ def evaluate(predictions: DataFrame, task: str, scores: Mapping[Any, str] | None
     raise ValueError(f"Unsupported task type: {task}")
 
 
-def _cluster_score(scored: DataFrame, rows: int, spec: RunSpec) -> tuple[dict[str, float | None], str]:
-    """Silhouette: exact Euclidean for a table of checked size, squared Euclidean (linear work) beyond."""
+def _cluster_score(scored: DataFrame, spec: RunSpec) -> dict[str, float | None]:
+    """The squared silhouette, and the Euclidean one where the run asks for it."""
     points = scored.select(ROW_ID, F.col(PREDICTION).alias("c"), vector_to_array(FEATURES).alias("x"))
-    if rows <= spec.exact_silhouette_rows:
-        value = euclidean_silhouette(points, ROW_ID, "c", "x").first()[0]
-        return {"Silhouette Score": value}, "euclidean"
-    return {"Silhouette Score": squared_silhouette(points, "c", "x").first()[0]}, "squared euclidean"
+    exact = euclidean_silhouette(points, ROW_ID, "c", "x").first()[0] if spec.exact_silhouette else None
+    return {"Squared Silhouette": squared_silhouette(points, "c", "x").first()[0], "Silhouette Score": exact}
 
 
 def train_models(
@@ -233,16 +252,13 @@ def _shared_holdout(table: _Table, spec: RunSpec, preprocessor: Preprocessor) ->
 
 
 def _run_model(name, data, spec, table, preprocessor, shared, registry, optimizer, fingerprint) -> ModelRun:
-    overrides = dict(spec.model_params.get(name, {}))
+    overrides = _overrides(spec, name)
     if spec.task == "Clustering":
         overrides.setdefault("n_clusters", spec.n_clusters)
         return _run_clustering(name, data, spec, table, shared, registry, overrides, fingerprint)
     if shared is None:
         return _run_folds(name, data, spec, table, preprocessor, registry, optimizer, overrides, fingerprint)
-    if spec.tuning:
-        context = FitContext(shared.n_train, len(table.labels), spec.seed)
-        base = _weighted(shared.train, spec.task == "Classification", len(table.labels))
-        overrides = optimizer.optimize(registry, spec.task, name, base, context, overrides, spec.tuning_iterations, 3)
+    overrides = _tuned(registry, spec, name, shared.train, table, optimizer, overrides, 3)
     start = time.perf_counter()
     model = _fit(registry, spec, name, shared.train, table, shared.n_train, overrides)
     seconds = time.perf_counter() - start
@@ -261,28 +277,30 @@ def _finish(name, fitted, predictions, preprocessed, permuted, spec, data, secon
     meta = run_metadata(name, spec.task, metrics, data.features, settings, seconds, fingerprint)
     fitted.metadata = meta
     importance = builtin_importance(fitted, preprocessed)
-    permutation = None if permuted is None else permutation_importance(fitted, permuted, spec.target, seed=spec.seed)
+    permutation = None
+    if permuted is not None:
+        try:
+            permutation = permutation_importance(fitted, permuted, spec.target, seed=spec.seed)
+        except Exception:  # a model without an explanation is still a model
+            LOG.warning("No permutation importance for %s", name, exc_info=True)
     return ModelRun(name, fitted, predictions, metrics, meta, importance, permutation)
 
 
 def _run_folds(name, data, spec, table, preprocessor, registry, optimizer, overrides, fingerprint) -> ModelRun:
-    """Every row is predicted once, by the model of the fold it is held out of; then a fit on all rows."""
+    """Every row is predicted once, by the model of the fold it is held out of; then a fit on all rows.
+
+    Preprocessing and search see the rows of their own fit only.
+    """
     target = LABEL if spec.task == "Classification" else None
     rows = with_folds(table.rows, [ROW_ID], spec.cv_folds, target=target, seed=spec.seed).persist()
-    if spec.tuning:
-        context = FitContext(table.n_rows, len(table.labels), spec.seed)
-        ready = preprocessor.fit(table.rows).transform(table.rows).persist()
-        base = _weighted(ready, spec.task == "Classification", len(table.labels))
-        overrides = optimizer.optimize(registry, spec.task, name, base, context, overrides,
-                                       spec.tuning_iterations, min(spec.cv_folds, 3))
-        ready.unpersist()
     start = time.perf_counter()
     parts = None
     for i in range(rows.agg(F.max("fold")).first()[0] + 1):
         train, held = rows.filter(F.col("fold") != i), rows.filter(F.col("fold") == i)
         pipeline = preprocessor.fit(train)
         ready = pipeline.transform(train).persist()
-        model = _fit(registry, spec, name, ready, table, ready.count(), overrides)
+        found = _tuned(registry, spec, name, ready, table, optimizer, overrides, min(spec.cv_folds, 3))
+        model = _fit(registry, spec, name, ready, table, ready.count(), found)
         ready.unpersist()
         part = FittedModel(name, spec.task, data.features, PipelineModel([*pipeline.stages, model]),
                            table.labels, table.label_type)
@@ -293,6 +311,7 @@ def _run_folds(name, data, spec, table, preprocessor, registry, optimizer, overr
     predictions.count()  # fills the cache before the fold tables are given back
     pipeline = preprocessor.fit(table.rows)
     ready = pipeline.transform(table.rows).persist()
+    overrides = _tuned(registry, spec, name, ready, table, optimizer, overrides, min(spec.cv_folds, 3))
     model = _fit(registry, spec, name, ready, table, table.n_rows, overrides)
     seconds = time.perf_counter() - start
     ready.unpersist()
@@ -310,8 +329,8 @@ def _run_clustering(name, data, spec, table, shared, registry, overrides, finger
     seconds = time.perf_counter() - start
     fitted = FittedModel(name, spec.task, data.features, PipelineModel([*shared.pipeline.stages, model]))
     scored = model.transform(shared.train)
-    metrics, kind = _cluster_score(scored, table.n_rows, spec)
-    settings = {**spec.preprocessing().to_dict(), "model_params": overrides, "silhouette": kind}
+    metrics = _cluster_score(scored, spec)
+    settings = {**spec.preprocessing().to_dict(), "model_params": overrides}
     meta = run_metadata(name, spec.task, metrics, data.features, settings, seconds, fingerprint)
     fitted.metadata = meta
     predictions = _predictions(fitted, scored, spec, data.features).persist()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any, Protocol
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,9 @@ def draw(space: dict[str, list], n_iter: int, seed: int = 42) -> list[dict[str,
     """Distinct combinations drawn at random, or all of them where there are no more than ``n_iter``."""
     names = sorted(space)
     every = [dict(zip(names, values)) for values in itertools.product(*[space[n] for n in names])]
-    wanted = min(max(n_iter, 1), 50)
+    if n_iter < 1:
+        raise ValueError(f"A search needs at least one draw; got {n_iter}.")
+    wanted = n_iter
     return every if len(every) <= wanted else random.Random(seed).sample(every, wanted)
 
 
@@ -40,11 +44,12 @@ def evaluator(task: str):
 class RandomSearch:
     """Mean cross-validated score (weighted F1 or R2) per drawn combination; the best one wins.
 
-    ``train`` is preprocessed and cached by the caller, so a combination costs its fits alone.
+    ``train`` is preprocessed and cached by the caller, so a combination costs its fits alone; ``parallel`` fits run at
+    once. Each fit is told the rows of its own folds.
     """
 
-    def __init__(self, seed: int = 42) -> None:
-        self.seed = seed
+    def __init__(self, seed: int = 42, parallel: int = 4) -> None:
+        self.seed, self.parallel = seed, parallel
         self.trials: list[tuple[dict[str, Any], float]] = []
 
     def optimize(self, registry: ModelRegistry, task: str, name: str, train: DataFrame, context: FitContext,
@@ -52,18 +57,24 @@ class RandomSearch:
         space = {k: v for k, v in registry.search_space(task, name).items() if k not in overrides}
         if not space:
             return dict(overrides)
-        folds = min(max(folds, 2), 5)
+        if folds < 2:
+            raise ValueError(f"A search needs at least two folds; got {folds}.")
         target = LABEL if task == "Classification" else None
         rows = with_folds(train, [ROW_ID], folds, target=target, seed=self.seed).persist()
         used = rows.agg(F.max("fold")).first()[0] + 1
-        self.trials = []
-        for params in draw(space, n_iter, self.seed):
-            scores = []
-            for i in range(used):
-                estimator = registry.create_model(task, name, context, {**overrides, **params})
-                model = estimator.fit(rows.filter(F.col("fold") != i))
-                scores.append(evaluator(task).evaluate(model.transform(rows.filter(F.col("fold") == i))))
-            self.trials.append((params, sum(scores) / len(scores)))
+        sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+        total = sum(sizes.values())
+
+        def score(trial: tuple[dict[str, Any], int]) -> float:
+            params, i = trial
+            fold = FitContext(total - sizes[i], context.n_classes, context.seed)
+            model = registry.create_model(task, name, fold, {**overrides, **params}).fit(rows.filter(F.col("fold") != i))
+            return evaluator(task).evaluate(model.transform(rows.filter(F.col("fold") == i)))
+
+        drawn = draw(space, n_iter, self.seed)
+        with ThreadPoolExecutor(self.parallel) as pool:
+            scores = list(pool.map(inheritable_thread_target(score), [(p, i) for p in drawn for i in range(used)]))
+        self.trials = [(p, sum(scores[k * used : (k + 1) * used]) / used) for k, p in enumerate(drawn)]
         rows.unpersist()
         best = max(self.trials, key=lambda t: t[1])[0]
         return {**overrides, **best}

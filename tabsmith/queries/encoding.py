@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -93,11 +96,18 @@ def impute_neighbours(spark, sf_dir):
                               F.col(PREFIX + "p_retailprice").alias("p_retailprice")))
 
 
-@query("impute_chained")
+@query("impute_chained", f"SELECT l_orderkey, l_linenumber, {', '.join(f'{r(c)} AS {c}' for c in [*NUMBERS, 'l_quantity'])}, true AS all_filled, true AS in_range FROM ({GAPS_SQL}) t")
 def impute_chained(spark, sf_dir):
+    """Values that were there are kept; every gap has a value, within three times the spread of its column."""
     df = gappy_lineitem(spark, sf_dir)
-    out = ChainedFill([*NUMBERS, "l_quantity"]).fit(df).transform(df)
-    return out.select(*KEY, *[F.col(PREFIX + c).alias(c) for c in [*NUMBERS, "l_quantity"]])
+    names = [*NUMBERS, "l_quantity"]
+    out = ChainedFill(names).fit(df).transform(df)
+    ends = df.agg(*[f(c).alias(f"{p}_{c}") for c in names for p, f in (("lo", F.min), ("hi", F.max))]).first()
+    value = {c: F.col(PREFIX + c) for c in names}
+    filled = [value[c].isNotNull() & ~F.isnan(value[c]) for c in names]
+    near = [value[c].between(ends[f"lo_{c}"] - (s := ends[f"hi_{c}"] - ends[f"lo_{c}"]), ends[f"hi_{c}"] + s) for c in names]
+    kept = [(F.round(F.when(df[c].isNotNull(), value[c]), 6) + F.lit(0.0)).alias(c) for c in names]
+    return out.select(*KEY, *kept, reduce(and_, filled).alias("all_filled"), reduce(and_, near).alias("in_range"))
 
 
 _POLY = ["l_quantity", "l_discount", "l_tax"]

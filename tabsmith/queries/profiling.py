@@ -68,9 +68,18 @@ def column_info_lineitem_gaps(spark, sf_dir):
     return profile.column_info(gappy_lineitem(spark, sf_dir)).drop("dtype")
 
 
-@query("dtype_summary_lineitem")
+# Names of the types in SQL's words and in Spark's.
+_TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+_TYPE_SQL = "CASE any_value(typeof({c})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPE_NAMES.items()) + " END"
+
+
+@query("dtype_summary_lineitem", "SELECT dtype, count(*)::BIGINT AS count, sum(n)::BIGINT AS values FROM ("
+       + union([f"SELECT {_TYPE_SQL.format(c=c)} AS dtype, count({c}) AS n FROM lineitem" for c in LINEITEM]) + ") t GROUP BY 1")
 def dtype_summary_lineitem(spark, sf_dir):
-    return profile.dtype_summary(load(spark, sf_dir, "lineitem"))
+    """Columns of each type, and the values that they hold."""
+    df = load(spark, sf_dir, "lineitem")
+    held = profile.column_info(df).groupBy("dtype").agg(F.sum("non_null").alias("values"))
+    return profile.dtype_summary(df).join(held, "dtype").select("dtype", "count", "values")
 
 
 _STATS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
@@ -139,9 +148,17 @@ def memory_estimate_orders(spark, sf_dir):
     return profile.memory_estimate(load(spark, sf_dir, "orders")).select("column", "bytes")
 
 
-@query("fingerprint_lineitem")
+@query("fingerprint_lineitem", "SELECT count(*)::BIGINT AS rows, true AS same_in_any_order, true AS differs_by_a_cell, true AS differs_by_a_row FROM lineitem")
 def fingerprint_lineitem(spark, sf_dir):
-    return profile.fingerprint(load(spark, sf_dir, "lineitem"))
+    """Equal for the same rows in another order; unequal once a cell or a row differs."""
+    df = load(spark, sf_dir, "lineitem")
+    text = profile.fingerprint_text(df)
+    one = (F.col("l_orderkey") == df.agg(F.min("l_orderkey")).first()[0]) & (F.col("l_linenumber") == 1)
+    turned = profile.fingerprint_text(df.repartition(5, "l_partkey"))
+    cell = profile.fingerprint_text(df.withColumn("l_tax", F.when(one, F.col("l_tax") + 1).otherwise(F.col("l_tax"))))
+    row = profile.fingerprint_text(df.where(~one))
+    return df.agg(F.count("*").alias("rows"), F.lit(turned == text).alias("same_in_any_order"),
+                  F.lit(cell != text).alias("differs_by_a_cell"), F.lit(row != text).alias("differs_by_a_row"))
 
 
 def _profile_sql(table: str, numbers: list[str], classes: list[str], columns: list[str]) -> str:
@@ -275,9 +292,21 @@ def quantiles_lineitem_narrowed(spark, sf_dir):
     return _quantile_rows(gappy_lineitem(spark, sf_dir), ["l_extendedprice", "l_tax"], direct_rows=2_000)
 
 
-@query("quantiles_lineitem_approximate")
+@query("quantiles_lineitem_approximate", "SELECT c AS \"column\", count(*)::BIGINT AS marks, true AS within_rank_bound "
+       "FROM (SELECT unnest(['l_quantity', 'l_extendedprice']) AS c, unnest([1, 2]) AS i), range(7) GROUP BY 1")
 def quantiles_lineitem_approximate(spark, sf_dir):
-    return _quantile_rows(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], exact=False)
+    """Approximate marks, each within two thousandths of the rows of its rank."""
+    df = load(spark, sf_dir, "lineitem")
+    marks = _quantile_rows(df, ["l_quantity", "l_extendedprice"], exact=False).collect()
+    rows = df.count()
+    checks = []
+    for i, m in enumerate(marks):
+        below, upto = F.count_if(F.col(m["column"]) < m["value"]), F.count_if(F.col(m["column"]) <= m["value"])
+        want, slack = F.lit(m["probability"] * rows), 0.002 * rows + 1
+        checks.append(((below <= want + slack) & (upto >= want - slack)).alias(f"m{i}"))
+    found = df.agg(*checks).first()
+    return spark.createDataFrame([(m["column"], bool(found[i])) for i, m in enumerate(marks)], "column string, ok boolean").groupBy("column").agg(
+        F.count("*").alias("marks"), F.min("ok").alias("within_rank_bound"))
 
 
 @query("grouped_target_brand",
@@ -453,9 +482,17 @@ def histogram_price(spark, sf_dir):
     )
 
 
-@query("histogram_value_default_bins")
+@query("histogram_value_default_bins", """
+    WITH s AS (SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, (ceil(log2(count(value))) + 1)::INT AS bins FROM events),
+    c AS (SELECT least(floor((value - lo) / ((hi - lo) / bins)), bins - 1)::INT AS bin, count(*) AS k FROM events, s WHERE value IS NOT NULL GROUP BY 1)
+    SELECT b::INT AS bin, round(lo + b * (hi - lo) / bins, 6) + 0.0 AS low, round(lo + (b + 1) * (hi - lo) / bins, 6) + 0.0 AS high,
+           coalesce(k, 0)::BIGINT AS n, round(coalesce(k, 0) / (n * (hi - lo) / bins), 9) AS density
+    FROM s, range((SELECT bins FROM s)) t(b) LEFT JOIN c ON c.bin = t.b""")
 def histogram_value_default_bins(spark, sf_dir):
-    return charts.histogram(load(spark, sf_dir, "events"), "value")
+    """The number of bins follows Sturges' rule."""
+    table = charts.histogram(load(spark, sf_dir, "events"), "value")
+    return table.select("bin", (F.round("low", 6) + F.lit(0.0)).alias("low"), (F.round("high", 6) + F.lit(0.0)).alias("high"), "n",
+                        F.round("density", 9).alias("density"))
 
 
 @query("density_curve_value", """
@@ -500,9 +537,16 @@ def sample_if_large_not_large(spark, sf_dir):
     return table.select("n_nationkey", "n_name")
 
 
-@query("sample_fraction_events")
+@query("sample_fraction_events", "SELECT count(*)::BIGINT AS rows, true AS near_a_tenth, true AS drawn_once, true AS all_known FROM events")
 def sample_fraction_events(spark, sf_dir):
-    return sampling.sample_fraction(load(spark, sf_dir, "events"), 0.1)
+    """About a tenth of the rows (six deviations at most), each at most once, and no others."""
+    events = load(spark, sf_dir, "events")
+    drawn = sampling.sample_fraction(events, 0.1)
+    rows, n = events.count(), drawn.count()
+    once = drawn.select("event_id").distinct().count() == n
+    known = drawn.join(events, "event_id", "left_anti").count() == 0
+    near = abs(n - rows / 10) <= 6 * (rows * 0.09) ** 0.5 + 1
+    return events.agg(F.count("*").alias("rows"), F.lit(near).alias("near_a_tenth"), F.lit(once).alias("drawn_once"), F.lit(known).alias("all_known"))
 
 
 @query("numeric_columns_lineitem", "SELECT unnest([" + ", ".join(f"'{c}'" for c in LINEITEM_NUMBERS)

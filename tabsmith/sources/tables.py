@@ -59,7 +59,10 @@ def write_rows(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error")
     if fmt not in {"csv", "parquet"}:
         raise ValueError(f"Unknown output format: {fmt}")
     writer = df.write.mode(mode)
-    writer.csv(path, header=True) if fmt == "csv" else writer.parquet(path)
+    if fmt == "parquet":
+        writer.parquet(path)
+    else:  # as read_csv reads it; an empty text and a missing one are both empty
+        writer.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_runs(spark: SparkSession, records: Sequence[dict[str, Any]], path: str) -> None:

@@ -86,7 +86,12 @@ def read_excel(spark: SparkSession, path: str | Sequence[str], *, infer: bool =
                 chunk: list[list[str | None]] = []
                 for i, cells in enumerate(sheet_rows(bytes(content))):
                     if i == 0:
+                        own = [c or f"Unnamed: {k}" for k, c in enumerate(cells)]
+                        if own != names:
+                            raise ValueError(f"A workbook has the header {own}, another one {names}.")
                         continue
+                    if any(c is not None for c in cells[len(names) :]):
+                        raise ValueError(f"Row {i + 1} of a workbook has {len(cells)} cells under {len(names)} names.")
                     chunk.append((cells + [None] * len(names))[: len(names)])
                     if len(chunk) == 10_000:
                         yield pd.DataFrame(chunk, columns=range(len(names)), dtype=object)
