@@ -140,6 +140,7 @@ def typed_constant(text: str, dtype: T.DataType):
 
 def hash_text(key: Sequence[str], seed: int = 42) -> Column:
     """Repeatable pseudo-random text per row key: the order by it is a shuffle of the rows."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
+    parts = [F.coalesce(col(k).cast("string"), F.lit("\\0")) for k in key]  # a null marks its place
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 

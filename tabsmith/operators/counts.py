@@ -93,18 +93,21 @@ def most_frequent(counts: DataFrame, value: Column | None = None) -> DataFrame:
 def modes(df: DataFrame, names: Sequence[str]) -> dict[str, object]:
     """Most frequent non-missing value per column, in the type of the column; ties to the smallest.
 
-    The result is one value per column. Columns are counted in their own type so that ties break in
-    value order, not in text order.
+    The result is one value per column. All columns are counted by one shuffle of their texts, and ties break by the value in
+    the type of the column.
     """
-    found: dict[str, object] = {}
+    if not names:
+        return {}
+    cells = []
     for name in names:
-        value = F.when(~missing(df, name), col(name))
-        if type_of(df, name).typeName() in {"double", "float"}:
-            value = value + F.lit(0.0)
-        counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-        row = counts.orderBy(F.desc("n"), F.asc("v")).limit(1).collect()
-        found[name] = row[0]["v"] if row else None
-    return found
+        value = col(name) + F.lit(0.0) if type_of(df, name).typeName() in {"double", "float"} else col(name)
+        cells.append([F.when(~missing(df, name), value.cast("string"))])
+    counted = _long(df, cells, ["value"]).filter("value is not null").groupBy("k", "value").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("k").agg(F.max("n").alias("n"))
+    tied = counted.join(F.broadcast(largest), ["k", "n"])  # a row per column
+    best = [F.min(F.when(F.col("k") == i, F.col("value").cast(type_of(df, c)))).alias(f"m{i}") for i, c in enumerate(names)]
+    row = tied.agg(*best).first()
+    return {c: row[i] for i, c in enumerate(names)}
 
 
 def top_values(df: DataFrame, name: str, top_n: int = 20) -> DataFrame:

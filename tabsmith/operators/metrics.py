@@ -186,7 +186,7 @@ def named_metrics(row, task: str) -> dict[str, float | None]:
     """Metrics row as a dictionary under the names of the leaderboard."""
     names = {"Classification": CLASSIFICATION, "Regression": REGRESSION, "Clustering": CLUSTERING}
     if task not in names:
-        raise ValueError(f"Unsupported task type: {task}")
+        raise ValueError(f"There are no metrics for the task {task!r}.")
     return {n: (None if v is None else float(v)) for n, v in zip(names[task], row)}
 
 

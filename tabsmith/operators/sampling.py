@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import col, hash_text
 from tabsmith.operators.profile import memory_mb
+from tabsmith.operators.splitting import hash_cuts
 
 
 def head(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
@@ -18,12 +20,15 @@ def head(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
 def sample_rows(df: DataFrame, n: int | None, key: Sequence[str], *, seed: int = 42) -> DataFrame:
     """Sample of exactly ``n`` rows without replacement, the same rows for the same seed.
 
-    The rows with the ``n`` smallest key hashes: each task keeps its own ``n`` candidates. The table comes
-    back whole where ``n`` is missing, not positive, or not below the number of rows.
+    The rows with the ``n`` smallest key hashes. The hash at the cut is found by counting, so the sample is a filter of the
+    table and no rows meet in one task. ``key`` must identify the rows: rows with equal keys are drawn together. The table
+    comes back whole where ``n`` is missing, not positive, or not below the number of rows.
     """
-    if n is None or n <= 0:
+    if n is None or n <= 0 or n >= df.count():
         return df
-    return df.withColumn("_h", hash_text(key, seed)).orderBy("_h", *[col(k) for k in key]).limit(n).drop("_h")
+    hashed = hash_text(key, seed)
+    (cut,) = hash_cuts(df, F.lit(""), hashed, {"": [n]})[""]
+    return df.filter(hashed <= cut)
 
 
 def sample_fraction(df: DataFrame, fraction: float, *, seed: int = 42) -> DataFrame:

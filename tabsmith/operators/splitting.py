@@ -135,12 +135,12 @@ def fold_count(df: DataFrame, folds: int, target: str | None) -> tuple[int, dict
     sizes = class_sizes(df if target is None else df.filter(~missing(df, target)), label)
     smallest = min(sizes.values(), default=0)
     if target is not None and smallest < 2:
-        raise ValueError("At least 2 samples per class are required for cross-validation.")
+        raise ValueError(f"A class of {target!r} has a single row, which no fold can both hold out and train on.")
     if target is None and smallest < 2:
-        raise ValueError("Cross-validation requires at least 2 rows.")
+        raise ValueError(f"Folds need two rows; the table has {smallest}.")
     usable = min(folds, smallest)
     if usable < 2:
-        raise ValueError("Cross-validation requires at least 2 folds.")
+        raise ValueError(f"One fold leaves nothing to train on; got folds={folds}.")
     return usable, sizes
 
 

@@ -97,7 +97,7 @@ class Preprocessor(Estimator):
         refuse_nested(df, [c for c in self.features if c in df.columns])
         numeric, categorical = split_by_type(df, self.features)
         if not numeric and not categorical:
-            raise ValueError("No valid features available after preprocessing setup.")
+            raise ValueError(f"None of {len(self.features)} features can be used as a number or a category.")
         stages, inputs, current = [], [], df
 
         def add(stage: Estimator | object) -> object:
@@ -134,7 +134,7 @@ class Preprocessor(Estimator):
                 outputs = vectors
             inputs += outputs
         if not inputs:
-            raise ValueError("No valid features available after preprocessing setup.")
+            raise ValueError(f"None of {len(self.features)} features can be used as a number or a category.")
         add(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="keep"))
         return PipelineModel(stages)
 

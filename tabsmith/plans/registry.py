@@ -65,7 +65,7 @@ class ModelRegistry:
     @staticmethod
     def _check(task: str) -> None:
         if task not in TASKS:
-            raise ValueError(f"Unsupported task_type: {task}")
+            raise ValueError(f"{task!r} is none of the tasks {', '.join(TASKS)}.")
 
     def register_model(self, task: str, name: str, factory: Factory, params: Mapping[str, Any] | None = None,
                        space: Mapping[str, list] | None = None) -> None:
@@ -78,7 +78,7 @@ class ModelRegistry:
 
     def entry(self, task: str, name: str) -> RegisteredModel:
         if (task, name) not in self._models:
-            raise ValueError(f"Model '{name}' not registered for {task}.")
+            raise ValueError(f"{task} has no model named {name!r}.")
         return self._models[task, name]
 
     def params(self, task: str, name: str, overrides: Mapping[str, Any] | None = None) -> dict[str, Any]:

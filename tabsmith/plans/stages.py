@@ -324,7 +324,7 @@ class CategoryEncoder(Estimator):
         overall = 0.0
         if self.kind in {"target", "smoothed_20"}:
             if self.target_col is None:
-                raise ValueError("TargetEncoding requires target values.")
+                raise ValueError("The target encodings need a target column.")
             target = col(self.target_col)
             overall = float(df.agg(F.avg(target)).first()[0] or 0.0)
         stats = encoders.category_stats(df, self.inputs, target).persist()

@@ -161,7 +161,7 @@ def evaluate(predictions: DataFrame, task: str, scores: Mapping[Any, str] | None
         return named_metrics(classification_metrics(predictions, scores=present or None).first(), task)
     if task == "Regression":
         return named_metrics(regression_metrics(predictions).first(), task)
-    raise ValueError(f"Unsupported task type: {task}")
+    raise ValueError(f"There are no metrics for the task {task!r}.")
 
 
 def _cluster_score(scored: DataFrame, spec: RunSpec) -> dict[str, float | None]:
@@ -186,7 +186,7 @@ def train_models(
     others go on; unknown names are skipped.
     """
     if not spec.models:
-        raise ValueError("Select at least one model.")
+        raise ValueError("The run names no model.")
     registry = registry or default_registry(spec.seed, spec.n_clusters)
     optimizer = optimizer or RandomSearch(spec.seed)
     table = _prepare_rows(data, spec)
@@ -207,7 +207,7 @@ def train_models(
             LOG.warning("Model %s failed", name, exc_info=True)
             errors[name] = f"{type(exc).__name__}: {str(exc)[:500]}"
     if not runs:
-        raise RuntimeError(f"All selected models failed to train. {errors}")
+        raise RuntimeError(f"No model could be trained: {errors}")
     board = _leaderboard(runs, errors, spec)
     best = board.first()["Model"]
     cached = [table.base]

@@ -54,7 +54,7 @@ def _missing_sql(columns: list[str]) -> str:
     ratio = "avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)"
     return union([
         f"SELECT 'warning' AS level, 'High missingness' AS title, "
-        f"printf('Feature ''%s'' has %.1f%% missing values. Consider dropping this column or using robust imputation.', "
+        f"printf('''%s'' is empty in %.1f%% of the rows; leave it out or choose its fill with care.', "
         f"'{c}', ({ratio.format(c=c)} * 100)::DOUBLE) AS message, '{c}' AS feature, NULL::VARCHAR AS other, "
         f"{r(ratio.format(c=c))} AS \"value\" FROM ({GAPS_SQL}) t HAVING {ratio.format(c=c)} >= 0.65"
         for c in columns
@@ -69,7 +69,7 @@ def warnings_missingness(spark, sf_dir):
 def _cardinality_sql(table: str, columns: list[str], limit: int) -> str:
     return union([
         f"SELECT 'info' AS level, 'High cardinality categorical feature' AS title, "
-        f"'Feature ''{c}'' has ' || count(DISTINCT {c}) || ' unique values. Consider target encoding or grouping rare categories.' "
+        f"'''{c}'' has ' || count(DISTINCT {c}) || ' categories; one column for each would be wide, an encoding by frequency or target is not.' "
         f"AS message, '{c}' AS feature, NULL::VARCHAR AS other, count(DISTINCT {c})::DOUBLE AS \"value\" FROM {table} "
         f"HAVING count(DISTINCT {c}) > {limit}"
         for c in columns
@@ -98,7 +98,7 @@ def _pair_sql(source: str, columns: list[str], threshold: float) -> str:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     return union([
         f"SELECT 'warning' AS level, 'High feature-feature correlation' AS title, "
-        f"printf('Features ''%s'' and ''%s'' are highly correlated (r = %.3f). Consider removing one to reduce multicollinearity.', "
+        f"printf('''%s'' and ''%s'' move together (r = %.3f); one of them may be enough.', "
         f"'{a}', '{b}', abs(corr({a}, {b}))) AS message, '{a}' AS feature, '{b}' AS other, "
         f"{r(f'abs(corr({a}, {b}))')} AS \"value\" FROM ({source}) t HAVING abs(corr({a}, {b})) >= {threshold}"
         for a, b in pairs
@@ -113,8 +113,8 @@ def warnings_pairs(spark, sf_dir):
 def _leak_sql(source: str, target: str, columns: list[str], threshold: float) -> str:
     return union([
         f"SELECT 'error' AS level, 'Potential leakage warning' AS title, "
-        f"printf('Feature ''%s'' has very strong correlation with target (r = %.3f). "
-        f"This may cause data leakage or a trivial model. Consider removing or investigating.', '{c}', corr({c}, {target})) AS message, "
+        f"printf('''%s'' nearly gives the target away (r = %.3f); make sure that it is known before the target is.', "
+        f"'{c}', corr({c}, {target})) AS message, "
         f"'{c}' AS feature, NULL::VARCHAR AS other, {r(f'corr({c}, {target})')} AS \"value\" "
         f"FROM ({source}) t HAVING abs(corr({c}, {target})) >= {threshold}"
         for c in columns
@@ -134,8 +134,7 @@ def _imbalance_sql(table: str, target: str) -> str:
     s AS (SELECT max(n) * 1.0 / greatest(min(n), 1) AS ratio, count(*) AS k,
                  string_agg(label || ': ' || pct::VARCHAR || '%', ' / ' ORDER BY n DESC, label) AS summary FROM p)
     SELECT CASE WHEN ratio > 5 THEN 'error' ELSE 'warning' END AS level, 'Class imbalance detected' AS title,
-           printf('Strong class imbalance detected (classes: %s, ratio %.2f:1). Consider SMOTE, ADASYN, BorderlineSMOTE, '
-                  || 'RandomOverSampler, class_weight=''balanced'', focal loss, and balanced metrics (F1, PR-AUC).',
+           printf('Classes %s: the largest is %.2f times the smallest; weigh them, and read F1 and PR-AUC, not accuracy.',
                   summary, ratio::DOUBLE) AS message,
            '{target}' AS feature, NULL::VARCHAR AS other, {r('ratio::DOUBLE')} AS "value"
     FROM s WHERE k >= 2 AND ratio > 3"""

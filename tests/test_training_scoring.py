@@ -156,7 +156,7 @@ def test_one_failing_model_does_not_end_the_run(rows):
     assert "no such solver" in done.errors["Broken"] and done.best == "LogisticRegression"
     assert done.leaderboard.count() == 2
     done.release()
-    with pytest.raises(RuntimeError, match="All selected models failed"):
+    with pytest.raises(RuntimeError, match="No model could be trained"):
         run_workbench(rows, spec(["Broken"], "b"), registry=registry)
 
 
@@ -166,9 +166,9 @@ def test_own_models_can_be_registered(rows):
         featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, probabilityCol=PROBABILITY, **p), {"maxIter": 5})
     assert registry.available_models("Classification") == ["Mine"]
     assert run_workbench(rows, spec(["Mine"], "b"), registry=registry).best == "Mine"
-    with pytest.raises(ValueError, match="Unsupported task_type"):
+    with pytest.raises(ValueError, match="none of the tasks"):
         registry.register_model("Ranking", "x", lambda p, c: None)
-    with pytest.raises(ValueError, match="not registered"):
+    with pytest.raises(ValueError, match="has no model named"):
         registry.create_model("Classification", "Other", FitContext(1))
 
 
