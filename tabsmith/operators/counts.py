@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import as_text, col, is_nested, is_text, missing, type_of
@@ -90,6 +90,49 @@ def most_frequent(counts: DataFrame, value: Column | None = None) -> DataFrame:
     )
 
 
+TIED_KEYS = 10_000
+"""Up to so many tied values are looked up by a broadcast of their keys."""
+
+
+def text_tops(df: DataFrame, names: Sequence[str], top_n: int = 1) -> tuple[dict[str, int], DataFrame]:
+    """Distinct values per column, and (column, place, value, n) of the ``top_n`` most frequent, ties to the smallest text.
+
+    Values are counted by keys of fixed width; only texts of the winning keys are fetched, so a column of long texts is not
+    shuffled. Where single values must fill up the places, each task offers its smallest ones.
+    """
+    names = list(names)
+    schema = "column string, place int, value string, n bigint"
+    cells = [_value_key(df, c) for c in names]
+    counted = _long(df, cells, ["a", "b"]).filter("a is not null").groupBy("k", "a", "b").agg(F.count("*").alias("n")).persist()
+    unique = {names[r["k"]]: int(r["u"]) for r in counted.groupBy("k").agg(F.count("*").alias("u")).collect()}
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n")))
+    tops = counted.withColumn("place", place).filter(F.col("place") <= top_n)
+    least = {r["k"]: r["least"] for r in tops.groupBy("k").agg(F.min("n").alias("least")).collect()}  # a row per column
+    bounds = F.create_map(*[F.lit(x) for k, n in least.items() for x in (k, max(n, 2))]) if least else None
+    rows: list[tuple] = []
+    if bounds is not None:
+        chosen = counted.filter(F.col("n") >= bounds[F.col("k")])
+        few = chosen.limit(TIED_KEYS + 1).count() <= TIED_KEYS
+        side = F.broadcast(chosen) if few else chosen.hint("merge")
+        texts = _long(df, [[*cell, as_text(df, c)] for cell, c in zip(cells, names)], ["a", "b", "value"])
+        found = texts.join(side, ["k", "a", "b"]).groupBy("k", "a", "b").agg(F.first("value").alias("value"), F.first("n").alias("n"))
+        order = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), F.asc("value")))
+        rows = [tuple(r) for r in found.withColumn("place", order).filter(F.col("place") <= top_n).select("k", "place", "value", "n").collect()]
+        for k, n in least.items():
+            have = [r for r in rows if r[0] == k]
+            if n > 1 or len(have) >= top_n:
+                continue
+            several = [(r["a"], r["b"]) for r in chosen.filter(F.col("k") == k).select("a", "b").collect()]  # fewer than top_n
+            a, b = cells[k]
+            single = df.filter(~missing(df, names[k]))
+            for x, y in several:
+                single = single.filter(~((a == x) & (b == y)))
+            rest = single.select(as_text(df, names[k]).alias("value")).orderBy("value").limit(top_n - len(have)).collect()
+            rows += [(k, len(have) + i, r["value"], 1) for i, r in enumerate(rest, 1)]
+    counted.unpersist()
+    return unique, df.sparkSession.createDataFrame([(names[k], p, v, n) for k, p, v, n in sorted(rows, key=lambda r: r[:2])], schema)
+
+
 def modes(df: DataFrame, names: Sequence[str]) -> dict[str, object]:
     """Most frequent non-missing value per column, in the type of the column; ties to the smallest.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from tabsmith.functions.columns import (
     numeric_columns,
     type_of,
 )
-from tabsmith.operators.counts import distinct_count_map, most_frequent, value_counts
+from tabsmith.operators.counts import distinct_count_map, text_tops
 from tabsmith.operators.quantiles import quantiles
 
 # Bytes of a value whose width does not depend on it; others are measured.
@@ -145,10 +145,8 @@ def describe(df: DataFrame, *, exact: bool = True, quantile_rows: int | None = N
 
     unique, tops = {}, {}
     if classes:
-        counted = value_counts(df, classes).persist()
-        unique = {r["column"]: int(r["n"]) for r in counted.groupBy("column").agg(F.count("*").alias("n")).collect()}
-        tops = {r["column"]: (r["top"], int(r["freq"])) for r in most_frequent(counted).collect()}
-        counted.unpersist()
+        unique, best = text_tops(df, classes)
+        tops = {r["column"]: (r["value"], int(r["n"])) for r in best.collect()}
 
     records = []
     for i, c in enumerate(flat):
@@ -233,11 +231,7 @@ def profile(df: DataFrame, *, top_n: int = 5, exact: bool = True) -> DataFrame:
     classes = [c for c in flat if not is_numeric(type_of(df, c)) and not is_temporal(type_of(df, c))]
     if not classes or top_n < 1:
         return table
-    counted = value_counts(df, classes)
-    # Row numbers per column stop early: only the first ``top_n`` rows of a partition are kept.
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    top = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n)
-    tops = top.select(
+    tops = text_tops(df, classes, top_n)[1].select(
         "column",
         F.concat(F.lit("top_"), F.col("place").cast("string")).alias("metric"),
         F.col("value").alias("text"),

@@ -555,3 +555,9 @@ def numeric_columns_lineitem(spark, sf_dir):
     df = load(spark, sf_dir, "lineitem")
     names = numeric_columns(df)
     return df.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("feature")).groupBy("feature").agg(F.count("*").alias("rows"))
+
+
+@query("profile_documents", _profile_sql("documents", ["doc_id", "n_chars"], ["text", "lang", "source"], DOCUMENTS))
+def profile_documents(spark, sf_dir):
+    """Whole texts are profiled by fixed-width keys."""
+    return rounded(profile.profile(load(spark, sf_dir, "documents")))
