@@ -32,7 +32,7 @@ from tabsmith.session import local_session  # noqa: E402
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linestatus"]
 KEY = ["l_orderkey", "l_linenumber"]
-COLD = {"load", "logistic_regression", "random_forest", "kmeans"}
+COLD = {"load", "logistic_regression", "random_forest_supplier", "kmeans_customer"}
 
 
 def drain(df: DataFrame) -> None:
@@ -58,7 +58,7 @@ def bench_queries(spark: SparkSession, sf: str) -> dict:
     fitted = {}
 
     def logistic():
-        summary = supervised("LogisticRegression", {"max_iter": 20})
+        summary = supervised("LogisticRegression", {})
         fitted["model"] = summary.runs["LogisticRegression"].fitted
         summary.release()
 
@@ -68,9 +68,12 @@ def bench_queries(spark: SparkSession, sf: str) -> dict:
         drain(fitted["model"].score(lineitem))
 
     def clusters():
-        spec = RunSpec(["l_quantity", "l_discount", "l_extendedprice"], None, "Clustering", key="k", models=["KMeans"],
-                       model_params={"KMeans": {"n_init": 1, "max_iter": 20}}, scaling_strategy="StandardScaler")
-        train(spec, numbered).release()
+        spec = RunSpec(["c_acctbal", "c_nationkey"], None, "Clustering", key="c_custkey", models=["KMeans"], scaling_strategy="StandardScaler")
+        train(spec, load(spark, sf, "customer")).release()
+
+    def forest():
+        spec = RunSpec(["s_suppkey", "s_nationkey"], "s_acctbal", "Regression", key="s_suppkey", models=["RandomForest"])
+        train(spec, load(spark, sf, "supplier")).release()
 
     def target_encoding():
         table = gappy
@@ -95,8 +98,8 @@ def bench_queries(spark: SparkSession, sf: str) -> dict:
             metrics.classification_metrics(predicted, scores=_scores()).collect(),
         ),
         "logistic_regression": logistic,
-        "random_forest": lambda: supervised("RandomForest", {"n_estimators": 20, "max_depth": 5}).release(),
-        "kmeans": clusters,
+        "random_forest_supplier": forest,
+        "kmeans_customer": clusters,
         "batch_scoring": scoring,
     }
 

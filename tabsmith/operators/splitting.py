@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from tabsmith.functions.columns import as_text, col, hash_text, missing
 
 COLLECT = 50_000
-MAX_CLASSES = 20_000
+LISTED_CLASSES = 20_000
+"""Up to so many classes the cuts are literals. Beyond, they are a joined table and ranks within the classes."""
+HEAVY = 1_000
+"""With more classes, those with over a thousandth of the rows are still cut by literals."""
 
 
 def hash_cuts(df: DataFrame, label: Column, hashed: Column, ranks: Mapping[str, Sequence[int]]) -> dict[str, list[str]]:
-    """Hash of the row at each one-based rank, per class; classes are few (``MAX_CLASSES``).
+    """Hash of the row at each one-based rank, per class; classes are few (``LISTED_CLASSES``).
 
     Every round reads (class, hash) and returns counts per next prefix digits of the ranges that still hold
     a wanted rank. Ranges of at most ``COLLECT`` rows are finished on the driver.
@@ -70,12 +73,30 @@ def hash_cuts(df: DataFrame, label: Column, hashed: Column, ranks: Mapping[str,
     return {c: [found[c, r] if r > 0 else "" for r in rs] for c, rs in ranks.items()}
 
 
-def class_sizes(df: DataFrame, label: Column) -> dict[str, int]:
-    """Rows per class on the driver; more than ``MAX_CLASSES`` classes are no classes."""
-    counts = df.groupBy(label.alias("label")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"The target has more than {MAX_CLASSES} classes; split without stratification.")
-    return {r["label"]: int(r["n"]) for r in counts}
+def class_sizes(df: DataFrame, label: Column, listed: int = LISTED_CLASSES) -> dict[str, int] | None:
+    """Rows per class on the driver; None for more than ``listed`` classes."""
+    counts = df.groupBy(label.alias("label")).agg(F.count("*").alias("n")).limit(listed + 1).collect()
+    return None if len(counts) > listed else {r["label"]: int(r["n"]) for r in counts}
+
+
+def _ranked(df: DataFrame, label: Column, hashed: Column, sizes: DataFrame, ends: Column, kind: str) -> DataFrame:
+    """Rows of very many classes with ``_ends``, the last ranks of their class's parts, and ``_rank`` by hash.
+
+    A heavy class is not ranked in one task: its ranks are found as hashes by counting, and its rows have ``_cuts``.
+    """
+    total = sizes.agg(F.sum("n")).first()[0]
+    table = sizes.select("label", ends.cast(f"array<{kind}>").alias("_ends"), (F.col("n") * HEAVY > total).alias("_heavy"))
+    heavy = {r["label"]: list(r["_ends"]) for r in table.filter("_heavy").collect()}  # fewer than HEAVY
+    cuts = hash_cuts(df, label, hashed, {c: [int(r) for r in rs] for c, rs in heavy.items()}) if heavy else {}
+    known = df.sparkSession.createDataFrame([(c, hs) for c, hs in cuts.items()], "_cut_class string, _cuts array<string>")
+    table = table.withColumnRenamed("label", "_class").join(F.broadcast(known), F.col("_class") == F.col("_cut_class"), "left").drop("_cut_class")
+    rows = df.withColumns({"_label": label, "_hash": hashed}).join(table, F.col("_label") == F.col("_class"))
+    spread = F.when(F.col("_cuts").isNotNull(), F.xxhash64("_hash"))  # ranks of heavy classes are not used
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_label", spread).orderBy("_hash")))
+
+
+def _without_helpers(df: DataFrame) -> DataFrame:
+    return df.drop("_label", "_hash", "_class", "_ends", "_heavy", "_cuts", "_rank")
 
 
 def quotas(sizes: Mapping[str, int], total: int) -> dict[str, int]:
@@ -99,7 +120,8 @@ def train_rows(rows: int, train_size: float) -> int:
 
 
 def with_holdout(
-    df: DataFrame, key: Sequence[str], train_size: float = 0.8, *, stratify: str | None = None, seed: int = 42
+    df: DataFrame, key: Sequence[str], train_size: float = 0.8, *, stratify: str | None = None, seed: int = 42,
+    listed_classes: int = LISTED_CLASSES,
 ) -> DataFrame:
     """Add ``is_train``: exactly ``train_rows`` rows are true, per class by ``quotas`` if stratified.
 
@@ -108,7 +130,13 @@ def with_holdout(
     """
     hashed = hash_text(key, seed)
     label = F.lit("") if stratify is None else F.coalesce(as_text(df, stratify), F.lit(""))
-    sizes = class_sizes(df, label)
+    sizes = class_sizes(df, label, listed_classes)
+    if sizes is None:
+        counts = df.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+        n, least = counts.agg(F.sum("n"), F.min("n")).first()
+        if least >= 2:
+            return _many_classes_holdout(df, label, hashed, counts, n, train_rows(n, train_size))
+        label, sizes = F.lit(""), {"": n}
     if stratify is not None and not can_stratify(sizes):
         label, sizes = F.lit(""), {"": sum(sizes.values())}
     rows = sum(sizes.values())
@@ -117,6 +145,19 @@ def with_holdout(
     return _compare(df, label, hashed, cuts, lambda h, c: h <= F.element_at(c, 1), "is_train")
 
 
+def _many_classes_holdout(df: DataFrame, label: Column, hashed: Column, counts: DataFrame, rows: int, total: int) -> DataFrame:
+    """The split by ``quotas`` with the class table distributed: floors, then one row more for the largest remainders."""
+    exact = F.col("n") * total / rows
+    shares = counts.select("label", "n", F.floor(exact).alias("base"), (exact - F.floor(exact)).alias("rest"))
+    short = total - shares.agg(F.sum("base")).first()[0]
+    more = shares.orderBy(F.desc("rest"), "label").limit(short).select("label", F.lit(1).alias("more"))
+    sizes = shares.join(more, "label", "left")
+    placed = _ranked(df, label, hashed, sizes, F.array(F.col("base") + F.coalesce("more", F.lit(0))), "bigint")
+    end, cut = F.element_at("_ends", 1), F.element_at("_cuts", 1)
+    chosen = F.when(F.col("_cuts").isNotNull(), F.col("_hash") <= cut).otherwise(F.col("_rank") <= end)
+    return _without_helpers(placed.withColumn("is_train", chosen))
+
+
 def _compare(df: DataFrame, label: Column, hashed: Column, cuts: Mapping[str, Sequence[str]], test, name: str) -> DataFrame:
     """Add ``test(hash, cuts of the class)``: literals for one class, a small broadcast for more."""
     if len(cuts) <= 1:
@@ -129,11 +170,15 @@ def _compare(df: DataFrame, label: Column, hashed: Column, cuts: Mapping[str, Se
     return placed.drop("_cut_label", "_cut_class", "_cut_hash", "_cut_ends")
 
 
-def fold_count(df: DataFrame, folds: int, target: str | None) -> tuple[int, dict[str, int]]:
-    """(usable folds, rows per class): no more folds than rows in the smallest class, or rows at all."""
+def fold_count(df: DataFrame, folds: int, target: str | None, listed: int = LISTED_CLASSES) -> tuple[int, dict[str, int] | None]:
+    """(usable folds, rows per class): no more folds than rows in the smallest class, or rows at all. Of very many
+    classes the rows are not listed."""
     label = F.lit("") if target is None else as_text(df.filter(~missing(df, target)), target)
-    sizes = class_sizes(df if target is None else df.filter(~missing(df, target)), label)
-    smallest = min(sizes.values(), default=0)
+    sizes = class_sizes(df if target is None else df.filter(~missing(df, target)), label, listed)
+    if sizes is None:
+        smallest = df.filter(~missing(df, target)).groupBy(label.alias("label")).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+    else:
+        smallest = min(sizes.values(), default=0)
     if target is not None and smallest < 2:
         raise ValueError(f"A class of {target!r} has a single row, which no fold can both hold out and train on.")
     if target is None and smallest < 2:
@@ -144,12 +189,22 @@ def fold_count(df: DataFrame, folds: int, target: str | None) -> tuple[int, dict
     return usable, sizes
 
 
-def with_folds(df: DataFrame, key: Sequence[str], folds: int, *, target: str | None = None, seed: int = 42) -> DataFrame:
+def with_folds(df: DataFrame, key: Sequence[str], folds: int, *, target: str | None = None, seed: int = 42,
+               listed_classes: int = LISTED_CLASSES) -> DataFrame:
     """Add ``fold`` 0..k-1 (per class of ``target``, if given): k consecutive stretches of the shuffled
     rows whose sizes differ by at most one, the longer ones first."""
-    usable, sizes = fold_count(df, folds, target)
+    usable, sizes = fold_count(df, folds, target, listed_classes)
     hashed = hash_text(key, seed)
     label = F.lit("") if target is None else F.coalesce(as_text(df, target), F.lit(""))
+    if sizes is None:
+        rows = df.filter(~missing(df, target))
+        counts = rows.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+        each, odd = F.floor(F.col("n") / usable), F.col("n") % usable
+        ends = F.array(*[F.lit(i + 1) * each + F.least(F.lit(i + 1), odd) for i in range(usable - 1)])
+        placed = _ranked(rows, label, hashed, counts, ends, "bigint")
+        by_cut = F.size(F.filter("_cuts", lambda e: e < F.col("_hash")))
+        by_rank = F.size(F.filter("_ends", lambda e: e < F.col("_rank")))
+        return _without_helpers(placed.withColumn("fold", F.when(F.col("_cuts").isNotNull(), by_cut).otherwise(by_rank).cast("int")))
     ranks = {}
     for c, n in sizes.items():
         ends = [(i + 1) * (n // usable) + min(i + 1, n % usable) for i in range(usable - 1)]

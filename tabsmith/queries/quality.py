@@ -184,3 +184,39 @@ def warnings_all(spark, sf_dir):
     table = quality.warnings(df, _ALL_FEATURES, "l_extendedprice", "Regression")
     place = F.row_number().over(Window.orderBy("severity", "kind", "position"))
     return table.withColumn("place", place).select("place", "level", "title", "feature")
+
+
+_WIDE = [f"f{i:02d}" for i in range(64)]
+_WIDE_SQL = "SELECT " + ", ".join(
+    [f"(l_partkey * {7 * i + 3} + l_orderkey * {i * i + 1}) % {101 + 2 * i} AS f{i:02d}" for i in range(63)] + ["l_quantity * 2 AS f63, l_quantity"]) + " FROM lineitem"
+
+
+@query("warnings_pairs_wide", "SELECT 'f63' AS feature, 'l_quantity' AS other, count(*) > 0 AS found FROM lineitem")
+def warnings_pairs_wide(spark, sf_dir):
+    """Of 65 numeric features the last two move together: no pair is left out for its place."""
+    spark_sql = _WIDE_SQL.replace(" FROM lineitem", "").removeprefix("SELECT ").split(", ")
+    df = load(spark, sf_dir, "lineitem").selectExpr(*spark_sql)
+    return quality.pair_warnings(df, [*_WIDE, "l_quantity"], 0.999).selectExpr("feature", "other", "value > 0.999 as found")
+
+
+@query("warnings_imbalance_many", """
+    WITH c AS (SELECT (o_custkey % 1500) * (o_orderkey % 3)::BIGINT AS l, count(*) AS n FROM orders GROUP BY 1)
+    SELECT count(*)::BIGINT - 50 AS others, round(max(n) * 1.0 / min(n), 6) + 0.0 AS ratio FROM c""")
+def warnings_imbalance_many(spark, sf_dir):
+    """More than a thousand classes: the largest are listed, the others counted, by the rule that holds for few."""
+    df = load(spark, sf_dir, "orders").selectExpr("(o_custkey % 1500) * (o_orderkey % 3) as l")
+    table = quality.imbalance_warnings(df, "l")
+    return table.selectExpr("cast(regexp_extract(message, '([0-9]+) other classes', 1) as bigint) as others", "round(value, 6) + 0.0 as ratio")
+
+
+@query("warnings_sampled", "SELECT least(5000, count(*))::BIGINT AS scanned, true AS same_titles FROM lineitem")
+def warnings_sampled(spark, sf_dir):
+    """A scan of an exact sample raises the warnings of the whole table."""
+    from pyspark.sql import functions as F
+
+    df = _priced(spark, sf_dir).selectExpr("*", "case when l_suppkey % 10 < 7 then null else l_quantity end as l_sparse")
+    limits = quality.WarningLimits(max_rows=5000)
+    key = ["l_orderkey", "l_linenumber"]
+    titles = [{(r["title"], r["feature"]) for r in quality.warnings(df, _ALL_FEATURES, "l_extendedprice", "Regression", m, key).collect()}
+              for m in (limits, None)]
+    return quality.sample_rows(df, 5000, key).agg(F.count("*").alias("scanned"), F.lit(titles[0] == titles[1]).alias("same_titles"))

@@ -85,3 +85,30 @@ def shifted_values_part(spark, sf_dir):
     """The permuted column holds the same values as often."""
     moved = splitting.shifted_values(load(spark, sf_dir, "part"), ["p_size"], ["p_partkey"], 4, 42)
     return moved.groupBy(F.col("_moved_0").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("holdout_stratified_distributed", _stratified_sql("orders", "o_orderkey", "o_orderpriority", 70))
+def holdout_stratified_distributed(spark, sf_dir):
+    """The way of very many classes, taken for a few: the class table stays distributed."""
+    split = splitting.with_holdout(load(spark, sf_dir, "orders"), ["o_orderkey"], 0.7, stratify="o_orderpriority", listed_classes=2)
+    return split.select("o_orderkey", "o_orderpriority", "is_train")
+
+
+@query("holdout_stratified_suppliers", _stratified_sql("lineitem", "l_orderkey * 10 + l_linenumber", "l_suppkey", 80).replace(
+    "SELECT l_orderkey * 10 + l_linenumber, l_suppkey, p", "SELECT k, l_suppkey, p").replace(
+    "r AS (SELECT l_orderkey * 10 + l_linenumber, l_suppkey", "r AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_suppkey").replace(
+    "SELECT k, l_suppkey, p <= k AS is_train FROM r JOIN w ON l = l_suppkey", "SELECT r.k, l_suppkey, p <= w.k AS is_train FROM r JOIN w ON l = l_suppkey"))
+def holdout_stratified_suppliers(spark, sf_dir):
+    """A class for every supplier, light classes ranked where they are."""
+    lines = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as k", "l_suppkey")
+    return splitting.with_holdout(lines, ["k"], 0.8, stratify="l_suppkey", listed_classes=50).select("k", "l_suppkey", "is_train")
+
+
+@query("folds_stratified_distributed", """
+    WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(concat('42|', o_orderkey))) AS p,
+                      count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+    SELECT o_orderkey, (CASE WHEN p <= n // 4 + least(1, n % 4) THEN 0 WHEN p <= 2 * (n // 4) + least(2, n % 4) THEN 1
+                             WHEN p <= 3 * (n // 4) + least(3, n % 4) THEN 2 ELSE 3 END)::INT AS fold FROM r""")
+def folds_stratified_distributed(spark, sf_dir):
+    rows = splitting.with_folds(load(spark, sf_dir, "orders"), ["o_orderkey"], 4, target="o_orderpriority", listed_classes=2)
+    return rows.select("o_orderkey", "fold")
