@@ -163,17 +163,29 @@ class RandomFeaturesModel(FittedStage):
         return df.withColumn(self.OUTPUT, array_to_vector(lift(vector_to_array(FEATURES))))
 
 
+TUBE_ROUNDS = 2
+
+
 class KernelMachine(Estimator):
-    """Approximate kernel machine: random features followed by a linear model of the same loss family."""
+    """Approximate kernel machine: random features followed by a linear model of the same loss family.
+
+    ``epsilon``: errors up to it cost nothing. The loss of such a tube is the least over shifts t of the label with |t| <= epsilon; fit
+    and shifts are improved in turns, ``TUBE_ROUNDS`` times.
+    """
 
-    def __init__(self, linear: Callable[[], Estimator], gamma, n_components: int, seed: int) -> None:
+    def __init__(self, linear: Callable[[], Estimator], gamma, n_components: int, seed: int, epsilon: float = 0.0) -> None:
         super().__init__()
-        self.linear, self.gamma, self.n_components, self.seed = linear, gamma, n_components, seed
+        self.linear, self.gamma, self.n_components, self.seed, self.epsilon = linear, gamma, n_components, seed, epsilon
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         lift = RandomFeatures(self.gamma, self.n_components, self.seed).fit(df)
         lifted = lift.transform(df).select(RandomFeaturesModel.OUTPUT, LABEL, WEIGHT).persist()
         model = self.linear().fit(lifted)
+        for _ in range(TUBE_ROUNDS if self.epsilon else 0):
+            error = F.col(LABEL) - F.col(PREDICTION)
+            shift = F.greatest(F.least(error, F.lit(float(self.epsilon))), F.lit(-float(self.epsilon)))
+            inside = model.transform(lifted).withColumn(LABEL, F.col(LABEL) - shift)
+            model = self.linear().fit(inside.select(RandomFeaturesModel.OUTPUT, LABEL, WEIGHT))
         lifted.unpersist()
         return PipelineModel([lift, model])
 
@@ -187,12 +199,12 @@ def kernel_classifier(n_classes: int, n_rows: int, c: float, gamma, n_components
     return KernelMachine(lambda: OneAgainstRest(make, "svc", n_classes, calibrate=True), gamma, n_components, seed)
 
 
-def kernel_regressor(n_rows: int, c: float, gamma, n_components: int, seed: int) -> KernelMachine:
+def kernel_regressor(n_rows: int, c: float, gamma, n_components: int, seed: int, epsilon: float = 0.1) -> KernelMachine:
     def make() -> LinearRegression:
         return LinearRegression(featuresCol=RandomFeaturesModel.OUTPUT, labelCol=LABEL, loss="huber", maxIter=100, tol=1e-3,
                                 regParam=1.0 / (c * max(n_rows, 1)), standardization=False, predictionCol=PREDICTION)
 
-    return KernelMachine(make, gamma, n_components, seed)
+    return KernelMachine(make, gamma, n_components, seed, epsilon)
 
 
 class NearestRows(Estimator):

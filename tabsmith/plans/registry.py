@@ -141,10 +141,8 @@ def _kernel(classify: bool) -> Factory:
     def make(p: dict, ctx: FitContext) -> Estimator:
         if p.get("kernel", "rbf") != "rbf":
             raise ValueError(f"SVM has the rbf kernel only; got {p['kernel']!r}.")
-        if "epsilon" in p:
-            raise ValueError("SVM regression has a Huber loss, which takes no epsilon.")
         shape = (p.get("C", 1.0), p.get("gamma", "scale"), p.get("n_components", 256), ctx.seed)
-        return kernel_classifier(ctx.n_classes, ctx.n_rows, *shape) if classify else kernel_regressor(ctx.n_rows, *shape)
+        return kernel_classifier(ctx.n_classes, ctx.n_rows, *shape) if classify else kernel_regressor(ctx.n_rows, *shape, p.get("epsilon", 0.1))
 
     return make
 
@@ -223,7 +221,7 @@ def default_registry(seed: int = 42, n_clusters: int = 3, overrides: Mapping[str
         {**forest, "class_weight": "balanced"}, TREES)
     add("Regression", "ExtraTrees", _forest({"featureSubsetStrategy": "onethird", **extra}, False), forest, TREES)
     add("Classification", "SVM", _kernel(True), {"kernel": "rbf", "class_weight": "balanced"}, KERNEL)
-    add("Regression", "SVM", _kernel(False), {"kernel": "rbf"}, KERNEL)
+    add("Regression", "SVM", _kernel(False), {"kernel": "rbf", "epsilon": 0.1}, {**KERNEL, "epsilon": [0.01, 0.1]})
     for task, classify in (("Classification", True), ("Regression", False)):
         add(task, "KNN", _neighbours(classify), {"n_neighbors": 7}, NEIGHBOURS)
         add(task, "GradientBoosting", _boosting(classify), state, BOOSTING)

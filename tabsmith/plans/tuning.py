@@ -73,7 +73,7 @@ class RandomSearch:
 
         drawn = draw(space, n_iter, self.seed)
         with ThreadPoolExecutor(self.parallel) as pool:
-            scores = list(pool.map(inheritable_thread_target(score), [(p, i) for p in drawn for i in range(used)]))
+            scores = list(pool.map(inheritable_thread_target(train.sparkSession)(score), [(p, i) for p in drawn for i in range(used)]))
         self.trials = [(p, sum(scores[k * used : (k + 1) * used]) / used) for k, p in enumerate(drawn)]
         rows.unpersist()
         best = max(self.trials, key=lambda t: t[1])[0]
