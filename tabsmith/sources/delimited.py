@@ -90,7 +90,8 @@ def _read_texts(spark: SparkSession, paths: Sequence[str], names: Sequence[str],
     bare = F.regexp_replace("_c", '"(?:[^"]|"")*"', "")
     delimiters = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
     # The reader refuses a query that uses nothing but the text of the row, as a plain count would.
-    parsed = F.length(F.coalesce(col(names[0]), F.lit(""))) >= 0
+    # It must also use every column: with fewer, the parser stops early and takes a long row for a good one.
+    parsed = F.length(F.concat_ws("", *[col(n) for n in names])) >= 0
     if overlong:
         return raw.filter(F.col("_c").isNotNull() & (delimiters >= len(names)) & parsed).select(F.col("_c").alias("row"))
     kept = raw.filter((F.col("_c").isNull() | (delimiters < len(names))) & parsed)
