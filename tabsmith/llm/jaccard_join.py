@@ -10,8 +10,9 @@ A-Z read as a-z); with fewer words it is the whole sequence as one shingle. Two
 3. A first join compares each node with two heads of each shingle's group. Verified links make components, so that a
    large group of near copies needs no more pairs than it has members.
 4. The join proper pairs nodes of different components on their first common prefix shingle, so each pair appears once, if length, position
-   and suffix allow a link. The suffix filter bounds the symmetric difference by 512 parity bits of each set.
-5. Remaining pairs are verified on the whole sets. Components of all links are found by alternating stars.
+   and suffix allow a link. The suffix filter bounds the symmetric difference by 256 parity bits of each set.
+5. Pairs are verified on the whole sets, once each; a pair that other links have joined by then is passed over. Components of
+   all links are found by alternating stars.
 
 Edge cases: null or empty texts have no set, and link with nothing; null ids are never the smallest unless a component has no
 other; rows that repeat id and text share a component; an empty table gives no rows; other columns are not read.
@@ -32,7 +33,11 @@ from tabsmith.llm.words import Words, distinct, mix, shingles, words
 
 COUNTER_BITS = 20
 SLOTS = 64
-PARITY = [f"p{i}" for i in range(8)]
+PARITY = [f"p{i}" for i in range(4)]
+"""Columns of 64 parity bits each."""
+VERIFIED_AT_ONCE = 128
+EARLY_TURNS = 2
+"""Turns in which only one pair of each node is verified."""
 
 
 def _sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,8 +58,9 @@ def _names(value: np.ndarray, begin: np.ndarray) -> list[bytes | None]:
 
 
 def _parity(text: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
-    counts = np.bincount(text * 512 + (value & np.uint64(511)).astype(np.int64), minlength=texts * 512)
-    bits = np.packbits((counts & 1).astype(np.uint8).reshape(texts, 512), axis=1)
+    size = 64 * len(PARITY)
+    counts = np.bincount(text * size + (value % np.uint64(size)).astype(np.int64), minlength=texts * size)
+    bits = np.packbits((counts & 1).astype(np.uint8).reshape(texts, size), axis=1)
     return np.ascontiguousarray(bits).view(np.int64)
 
 
@@ -72,13 +78,13 @@ def _summaries(docs: DataFrame, size: int) -> DataFrame:
                 rows = slice(w.first, w.first + w.texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[rows], batch.column(1)[rows], pa.array(np.diff(begin)), pa.array(_names(value, begin), pa.binary()),
-                     *[pa.array(parity[:, i].copy()) for i in range(8)], pa.nulls(w.texts, pa.int32()), pa.nulls(w.texts, pa.binary())],
+                     *[pa.array(parity[:, i].copy()) for i in range(len(PARITY))], pa.nulls(w.texts, pa.int32()), pa.nulls(w.texts, pa.binary())],
                     ["doc_id", "text_key", "n", "name", *PARITY, "slot", "counts"])
         parts = counters.reshape(SLOTS, -1)
         some = [i for i in range(SLOTS) if parts[i].any()]
         empty = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [empty, empty, empty, pa.nulls(len(some), pa.binary()), *[empty] * 8, pa.array(some, pa.int32()),
+            [empty, empty, empty, pa.nulls(len(some), pa.binary()), *[empty] * len(PARITY), pa.array(some, pa.int32()),
              pa.array([parts[i].tobytes() for i in some], pa.binary())],
             ["doc_id", "text_key", "n", "name", *PARITY, "slot", "counts"])
 
@@ -131,38 +137,62 @@ def _prefixes(docs: DataFrame, size: int, percent: int, counters: np.ndarray) ->
     return docs.select("text").mapInArrow(run, "name binary, n long, tokens array<long>")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length, position and suffix filter of two rows that share a token."""
-    col = lambda side, name: F.col(f"{side}.{name}")
-    n, m = col(a, "n"), col(b, "n")
-    length = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _may_link(percent: int) -> tuple[Column, Column]:
+    """Length and position filter, and suffix filter, of rows ``a`` and ``b`` that meet in a token."""
+    n, m = F.col("a.n"), F.col("b.n")
     need = F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
-    position = F.least(n - col(a, "pos"), m - col(b, "pos")) >= need
-    apart = sum((F.bit_count(col(a, p).bitwiseXOR(col(b, p))) for p in PARITY), F.lit(0))
-    return length & position & (apart <= n + m - 2 * need)
+    place = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - F.col("a.pos"), m - F.col("b.pos")) >= need)
+    apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITY), F.lit(0))
+    return place, apart <= n + m - 2 * need
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough. Sets are made again for the documents that pairs name."""
-    wanted = pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct()
-    wanted = stored(nodes.join(wanted, "name").select("name", "first.doc_id", "first.text_key"), "wanted")
-    side = wanted.select("name", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    """The pairs (u, v) whose whole sets are similar enough. The texts of the documents that pairs name meet in a
+    task, being shorter than their sets."""
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    wanted = stored(nodes.select("id", "first").join(wanted, "id").select("id", "first.doc_id", "first.text_key"), "wanted")
+    side = wanted.select("id", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     side = F.broadcast(side) if bounded(wanted) else side.hint("merge")
     keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
     keyed = keyed.join(side, keyed["doc_id"].eqNullSafe(side["__id"]) & (keyed["text_key"] == side["__key"]))
 
+    texts = stored(keyed.select("id", "text"), "wanted-texts")
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(
+        texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words(batch.column(1)):
-                _, value, begin = _sets(w, size)
-                lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.texts), lists], ["name", "items"])
-
-    sets = stored(keyed.select("name", "text").mapInArrow(run, "name binary, items array<long>"), "sets").dropDuplicates(["name"])
-    both = pairs.join(sets.select(F.col("name").alias("u"), F.col("items").alias("a")), "u").join(
-        sets.select(F.col("name").alias("v"), F.col("items").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
+            for at in range(0, batch.num_rows, VERIFIED_AT_ONCE):
+                part = batch.slice(at, VERIFIED_AT_ONCE)
+                sets: list[np.ndarray] = []
+                for w in words(pa.concat_arrays([part.column(2), part.column(3)])):
+                    _, value, begin = _sets(w, size)
+                    sets += [value[lo:hi] for lo, hi in zip(begin, begin[1:])]
+                n = part.num_rows
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[:n], sets[n:])]
+                kept = pa.array([100 * k >= percent * (len(x) + len(y) - k) for k, x, y in zip(common, sets[:n], sets[n:])])
+                yield part.select(["u", "v"]).filter(kept)
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _joined(pairs: DataFrame, part: DataFrame, verified) -> DataFrame:
+    """Components after all links among ``pairs``. One pair of each node is verified first, then again; pairs that have
+    come to lie inside a component by then can change nothing, and only the others are verified."""
+    edges = part.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    for turn in range(EARLY_TURNS):
+        mark = F.xxhash64("u", "v", F.lit(turn))
+        one = pairs.groupBy("u").agg(F.min_by("v", mark).alias("v"))
+        other = pairs.groupBy("v").agg(F.min_by("u", mark).alias("u"))
+        some = stored(one.unionByName(other).distinct(), "picked-pairs")
+        part = stored(components(edges.unionByName(verified(some))), "part")
+        edges = part.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        left = pairs.join(some, ["u", "v"], "left_anti")
+        for side in ("u", "v"):
+            left = left.join(part.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}")), side, "left")
+        apart = F.coalesce("of_u", "u") != F.coalesce("of_v", "v")
+        pairs = stored(left.where(apart).select("u", "v"), "pairs-left")
+    return components(edges.unionByName(verified(pairs)))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -170,40 +200,40 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     every = stored(_summaries(docs, size), "summaries")
     summaries = every.where("slot is null").drop("slot", "counts")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = stored(summaries.where("name is not null").groupBy("name").agg(F.min(order).alias("first"), *[F.first(p).alias(p) for p in PARITY]), "nodes")
-    prefixes = stored(_prefixes(docs, size, percent, _counters(every)).groupBy("name").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "prefixes")
-    exploded = prefixes.select("name", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = exploded.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    held = stored(exploded.join(shared, "token"), "shared-tokens")
-    lists = held.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("own"))  # no longer than the prefix
-    lists = lists.join(nodes.select("name", *PARITY), "name")
-    rows = prefixes.select("name", "n").join(lists, "name").select("name", "n", *PARITY, "own", F.posexplode("own").alias("at", "one"))
-    earlier = F.transform(F.slice("own", 1, F.col("at")), lambda x: x["token"])
-    rows = stored(rows.select("name", "n", *PARITY, "one.pos", "one.token", earlier.alias("earlier")), "candidates")
+    firsts = summaries.where("name is not null").groupBy("name").agg(F.min(order).alias("first"), *[F.first(p).alias(p) for p in PARITY])
+    prefixes = _prefixes(docs, size, percent, _counters(every)).groupBy("name").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    nodes = stored(firsts.join(prefixes, "name").withColumn("id", F.monotonically_increasing_id()), "nodes")
 
-    slim = rows.drop("earlier")
-    head = F.struct(F.xxhash64("name").alias("order"), "name", "n", "pos", *PARITY)
+    exploded = nodes.select("id", F.posexplode("tokens").alias("pos", "token"))
+    shared = exploded.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    slim = stored(exploded.join(shared, "token").join(nodes.select("id", "n"), "id"), "candidates")
+    place, suffix = _may_link(percent)
+    head = F.struct(F.xxhash64("id").alias("order"), "id", "n", "pos")
     heads = slim.groupBy("token").agg(F.min(head).alias("low"), F.max(head).alias("high"))
     heads = heads.select("token", F.explode(F.array("low", "high")).alias("head")).select("token", "head.*").drop("order")
-    near = slim.alias("a").join(heads.alias("b"), F.col("a.token") == F.col("b.token")).where(F.col("a.name") != F.col("b.name"))
-    near = near.where(_may_link("a", "b", percent))
-    stars = near.select(F.least("a.name", "b.name").alias("u"), F.greatest("a.name", "b.name").alias("v")).distinct()
-    links = stored(_verified(stored(stars, "star-pairs"), docs, nodes, size, percent), "star-links")
+    near = slim.alias("a").join(heads.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.id") != F.col("b.id")) & place)
+    stars = stored(near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct(), "stars")
+    traits = nodes.select("id", "n", F.lit(0).alias("pos"), *PARITY)
+    likely = stars.join(traits.alias("a"), F.col("u") == F.col("a.id")).join(traits.alias("b"), F.col("v") == F.col("b.id")).where(suffix)
+    links = stored(_verified(stored(likely.select("u", "v"), "star-pairs"), docs, nodes, size, percent), "star-links")
     part = stored(components(links), "star-components")
 
-    named = rows.join(part.withColumnRenamed("node", "name"), "name", "left").withColumn("part", F.coalesce("root", "name")).drop("root")
+    named = slim.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
     mixed = named.groupBy("token").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one <> other").select("token")
     named = stored(named.join(mixed, "token"), "mixed-tokens")
-    pair = (F.col("a.token") == F.col("b.token")) & (F.col("a.name") < F.col("b.name")) & (F.col("a.part") != F.col("b.part"))
+    lists = named.groupBy("id", "n", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("own"))  # no longer than the prefix
+    rows = lists.join(nodes.select("id", *PARITY), "id").select("id", "n", "part", *PARITY, "own", F.posexplode("own").alias("at", "one"))
+    earlier = F.transform(F.slice("own", 1, F.col("at")), lambda x: x["token"])
+    rows = stored(rows.select("id", "n", "part", *PARITY, "one.pos", "one.token", earlier.alias("earlier")), "cross-candidates")
+    pair = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part"))
     once = ~F.arrays_overlap("a.earlier", "b.earlier")
-    pairs = named.alias("a").join(named.alias("b").hint("merge"), pair & _may_link("a", "b", percent) & once)
-    pairs = stored(pairs.select(F.col("a.name").alias("u"), F.col("b.name").alias("v")), "pairs")
-    more = _verified(pairs, docs, nodes, size, percent)
-    whole = components(part.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-
-    rooted = nodes.select("name", "first").join(whole.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    chosen = stored(rooted.join(firsts, "root").select("name", "least"), "component-names")
+    pairs = rows.alias("a").join(rows.alias("b").hint("merge"), pair & place & suffix & once)
+    pairs = stored(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")), "pairs")
+    whole = _joined(pairs, part, lambda some: _verified(some, docs, nodes, size, percent))
+
+    rooted = nodes.select("id", "name", "first").join(whole.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    chosen = stored(rooted.join(least, "root").select("name", "least"), "component-names")
     out = summaries.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "name").join(chosen, "name", "left")
     alone = F.col("least").isNull()
     first = alone | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
