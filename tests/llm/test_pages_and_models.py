@@ -321,3 +321,15 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert DOCUMENTS
+
+
+def test_leaks_in_a_hot_group(spark):
+    item = prose(7000, 40, "klmnopqrst")
+    words = item.split()
+    benchmark = spark.createDataFrame([(1, item), (2, prose(7001, 40, "klmnopqrst"))], "item_id long, text string")
+    texts = [(k, prose(k, 60)) for k in range(60)]
+    for k in range(30):  # near copies of one text: each word of the paraphrase is in a third of all rows, the replaced ones are in none
+        passage = " ".join("other" if j % 7 == 3 else w for j, w in enumerate(words))
+        texts.append((1000 + k, prose(5, 50) + " " + passage + " " + prose(6, 50) + f" copy{k}"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, texts), benchmark).collect()}
+    assert found == {(1000 + k, 1) for k in range(30)}
