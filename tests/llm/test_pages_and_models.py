@@ -9,12 +9,14 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabsmith.llm import decontaminate, html_layout, ordinal, secret_scan, warc
 from tabsmith.llm.common import scratch_path
+from tabsmith.llm.words import words
 
 from .conftest import DOCUMENTS, nasty_texts, prose, table
 
@@ -333,3 +335,35 @@ def test_leaks_in_a_hot_group(spark):
         texts.append((1000 + k, prose(5, 50) + " " + passage + " " + prose(6, 50) + f" copy{k}"))
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, texts), benchmark).collect()}
     assert found == {(1000 + k, 1) for k in range(30)}
+
+
+def test_leaks_against_brute_force(spark):
+    draw = np.random.default_rng(11)
+    known = prose(1, 400).split()
+    chance = 1 / np.arange(1, len(known) + 1)
+    say = lambda n: [known[i] for i in draw.choice(len(known), n, p=chance / chance.sum())]
+    items = [say(n) for n in range(5, 65) for _ in range(2)]
+    texts = []
+    for k in range(480):
+        held = list(items[k % len(items)])
+        if k >= 240:  # a paraphrase
+            held = [w if draw.random() < 0.8 else say(1)[0] for w in held]
+        texts.append(" ".join(say(int(draw.integers(0, 150))) + held + say(int(draw.integers(0, 150)))))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    block = decontaminate.segments(pa.array([" ".join(w) for w in items]))
+    vocabulary = np.unique(np.concatenate([s.words for s in block]))
+    confirm = decontaminate.Confirm(block, vocabulary)
+    expected = set()
+    for k, w in enumerate(texts):
+        (at,) = words(pa.array([w]), breaks=decontaminate.BREAKS)
+        place = np.searchsorted(vocabulary, at.hash)
+        terms = np.where(vocabulary[np.minimum(place, len(vocabulary) - 1)] == at.hash, place, len(vocabulary))
+        window, segment = (x.ravel() for x in np.meshgrid(np.arange(len(terms) // 32 + 2), np.arange(len(block)), indexing="ij"))
+        kept, share, answer = confirm.best(confirm.around(terms, window), segment)
+        leak = (share >= decontaminate.SURE) | (share >= decontaminate.LIKELY) & (answer >= decontaminate.ANSWER)
+        expected |= {(k, block[s].item) for s in segment[kept[leak]].tolist()}
+    assert {(k, k % len(items)) for k in range(240)} <= expected
+    got = decontaminate.leaks(table(spark, list(enumerate(texts))).repartition(4), benchmark)
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    by_length = {n: sum(len(items[i]) == n for _, i in expected - found) for n in range(5, 65)}
+    assert found == expected, by_length
