@@ -367,3 +367,14 @@ def test_leaks_against_brute_force(spark):
     found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
     by_length = {n: sum(len(items[i]) == n for _, i in expected - found) for n in range(5, 65)}
     assert found == expected, by_length
+
+
+def test_best_stretch_with_the_answer():
+    """An earlier stretch has as many common words, but not the answer."""
+    segment = decontaminate.Segment(0, np.arange(20, dtype=np.uint64), 15)
+    confirm = decontaminate.Confirm([segment], segment.words)
+    text = np.full((1, decontaminate.WINDOW), 20)
+    text[0, :12] = np.arange(12)
+    text[0, 60:72] = [0, 1, 2, 3, 4, 5, 6, 15, 16, 17, 18, 19]
+    kept, share, answer = confirm.best(text, np.array([0]))
+    assert kept.tolist() == [0] and share.tolist() == [0.6] and answer.tolist() == [1.0]
