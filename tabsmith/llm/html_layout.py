@@ -4,7 +4,8 @@ All visible text is kept, menus and footers too. Blocks stand on lines of their
 leaves a margin; white space collapses outside ``pre``; list items have markers and indents; cells of a table stand in
 columns (cells are padded up to ``PAD`` characters, longer ones stick out). Hidden: head, scripts, styles, templates,
 closed dialogs, elements with ``hidden``, ``display:none`` or ``visibility:hidden`` in their style or by a rule of a
-style sheet in the page whose selector is one tag, class or id.
+style sheet in the page whose selector is one tag, class or id. Of several declarations the cascade's winner counts; media
+queries are answered for a screen of ``SCREEN`` pixels.
 
 Edge cases: a null or empty page has the empty text; text without tags is one paragraph; broken or unclosed markup is
 mended as the tree is built; equal pages give equal texts; pages of any length and nesting are rendered whole, without
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PAD = 40
+SCREEN = {"width": 1280.0, "height": 800.0}
 
 # Fixed values of the HTML language.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -30,7 +32,8 @@ RAW_TEXT = {"title", "textarea"}
 HEAD_ONLY = {"base", "link", "meta", "title", "style", "script", "noscript", "template"}
 HIDDEN = {"head", "script", "style", "template", "title", "noscript", "iframe", "noembed", "noframes", "datalist", "object",
           "audio", "video", "canvas", "svg", "rp"}
-MARGIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "pre", "blockquote", "table", "figure", "hr", "menu"}
+MARGIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "pre", "blockquote", "table", "figure", "hr", "menu",
+          "xmp"}
 PLAIN_BLOCK = {"html", "body", "div", "article", "section", "nav", "header", "footer", "main", "aside", "li", "dt", "dd",
                "address", "fieldset", "form", "legend", "figcaption", "details", "summary", "dialog", "center", "caption",
                "hgroup", "search", "option", "optgroup", "select"}
@@ -50,9 +53,18 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-SEEN = re.compile(r"visibility\s*:\s*visible", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+STOP = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+MATTERS = re.compile(r"display|visibility", re.I)
+DECLARED = re.compile(
+    r"(?:^|(?<=;))\s*(?:(display)\s*:\s*(none|contents|block|flow(?:-root)?|flex|grid|list-item|ruby[\w-]*|table[\w-]*|inline[\w -]*|initial|inherit|unset|"
+    r"revert[\w-]*)|(visibility)\s*:\s*(visible|hidden|collapse|initial|inherit|unset|revert[\w-]*))\s*(!\s*important)?\s*(?=;|\Z)", re.I)
+SIMPLE = re.compile(r"[.#]?[\w-]+")
+GROUPING = {"media", "supports", "layer", "container", "document"}
+LENGTH_FEATURE = re.compile(r"(min-|max-)?(?:device-)?(width|height)\s*:\s*([\d.]+)\s*(px|r?em)?")
+RANGE_FEATURE = re.compile(r"(?:([\d.]+)(px|r?em)?\s*(<=?)\s*)?(width|height)\s*(?:([<>]=?|=)\s*([\d.]+)(px|r?em)?)?")
+SCREEN_HAS = {"color", "hover", "hover:hover", "any-hover:hover", "pointer:fine", "any-pointer:fine", "orientation:landscape", "grid:0", "scripting:enabled",
+              "prefers-color-scheme:light", "prefers-reduced-motion:no-preference", "prefers-contrast:no-preference", "update:fast"}
 
 
 class Node:
@@ -150,11 +162,11 @@ class Tree:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 body = html[at : stop.start() if stop else len(html)]
                 at = stop.end() if stop else len(html)
-                if tag == "style":
+                if tag == "style" and on_screen(attributes(m[3]).get("media", "")):
                     self.sheets.append(body)
                 self.start_tag(tag, m[3])
-                if tag in RAW_TEXT:
-                    self.path[-1].children.append(unescape(body))
+                if tag in RAW_TEXT or tag == "xmp":
+                    self.path[-1].children.append(body if tag == "xmp" else unescape(body))
                 self.end_tag(tag)
             else:
                 self.start_tag(tag, m[3])
@@ -162,15 +174,85 @@ class Tree:
         return self
 
 
-def hidden_by(sheets: list[str]) -> set[str]:
-    """Simple selectors that hide what they select."""
-    out = set()
+def _feature(feature: str) -> bool:
+    """Whether the screen has a media feature; unknown ones are false, as in browsers."""
+    pixels = lambda n, unit: float(n) * (16 if unit in ("em", "rem") else 1)
+    try:
+        if m := LENGTH_FEATURE.fullmatch(feature):
+            have, asked = SCREEN[m[2]], pixels(m[3], m[4])
+            return have >= asked if m[1] == "min-" else have <= asked if m[1] else have == asked
+        if m := RANGE_FEATURE.fullmatch(feature):
+            compare = {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__, "=": float.__eq__, None: lambda *_: True}
+            left = compare[m[3]](pixels(m[1], m[2]), SCREEN[m[4]]) if m[3] else True
+            return left and (compare[m[5]](SCREEN[m[4]], pixels(m[6], m[7])) if m[5] else True)
+    except ValueError:
+        return False
+    return re.sub(r"\s*:\s*", ":", feature) in SCREEN_HAS
+
+
+def on_screen(queries: str) -> bool:
+    """Whether a list of media queries applies to a screen; the empty list does."""
+    for query in queries.lower().split(","):
+        query = query.strip()
+        turned = query.startswith("not ")
+        query = re.sub(r"^(?:not|only)\s+", "", query)
+        holds = True
+        for any_of in re.split(r"\s+and\s+", query) if query else ():
+            either = [x.strip() for x in re.split(r"\s+or\s+", any_of)]
+            holds &= any(_feature(x[1:-1].strip()) if x.startswith("(") and x.endswith(")") else x in ("all", "screen") for x in either)
+        if holds != turned:
+            return True
+    return False
+
+
+def rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and body of the rules of a style sheet that apply to a screen."""
+    sheet = COMMENT.sub(" ", sheet)
+    at, applies, body = 0, [True], None
+    for m in STOP.finditer(sheet):
+        if len(m[0]) > 1:  # a string
+            continue
+        if m[0] == "{":
+            prelude, at = sheet[at : m.start()].strip(), m.end()
+            name = re.match(r"@([\w-]+)", prelude)
+            if name and name[1].lower() in GROUPING:
+                kind, asked = name[1].lower(), prelude[name.end() :].strip()
+                applies.append(applies[-1] and (on_screen(asked) if kind == "media" else not asked.lower().startswith("not")))
+            else:
+                body = (prelude, at) if applies[-1] and not name else None
+                applies.append(False)  # nothing inside a rule is a rule of its own
+        elif m[0] == "}":
+            if body:
+                yield body[0], sheet[body[1] : m.start()]
+            body, at = None, m.end()
+            if len(applies) > 1:
+                applies.pop()
+        elif not body:
+            at = m.end()
+    if body:
+        yield body[0], sheet[body[1] :]
+
+
+def declared(source: str, weight: int, order: int = 0) -> Iterator[tuple[str, tuple[bool, int, int, str]]]:
+    """``display`` and ``visibility`` of a list of declarations, as (important, weight, order, value)."""
+    for k, m in enumerate(DECLARED.finditer(source)):
+        yield (m[1] or m[3]).lower(), (bool(m[5]), weight, order + k, (m[2] or m[4]).lower())
+
+
+def styles(sheets: list[str]) -> dict[str, dict[str, tuple[bool, int, int, str]]]:
+    """By simple selector, the winning declarations."""
+    out: dict[str, dict] = {}
+    order = 0
     for sheet in sheets:
-        if UNSEEN.search(sheet):
-            for selectors, body in RULE.findall(sheet):
-                if UNSEEN.search(body):
-                    out.update(s.strip() for s in selectors.split(","))
-    return {s for s in out if re.fullmatch(r"[.#]?[\w-]+", s)}
+        for selectors, body in rules(sheet) if MATTERS.search(sheet) else ():
+            if MATTERS.search(body):
+                order += len(body)
+                for s in {s.strip() for s in selectors.split(",")}:
+                    if SIMPLE.fullmatch(s):
+                        own = out.setdefault(s if s[0] in ".#" else s.lower(), {})
+                        for name, value in declared(body, 1 + ".#".find(s[0]) + 1, order):
+                            own[name] = max(own.get(name, value), value)
+    return out
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -248,7 +330,7 @@ def aligned(rows: list[list[list[str]]]) -> list[str]:
 def render(html: str) -> str:
     """The visible text of a page as it is laid out."""
     tree = Tree().read(html)
-    hiding = hidden_by(tree.sheets)
+    sheet = styles(tree.sheets)
     writers, tables, lists, keep = [Lines()], [], [], 0
     todo: list[tuple] = [(tree.root, True, False)]
     while todo:
@@ -263,12 +345,18 @@ def render(html: str) -> str:
             if tag in HIDDEN:
                 continue
             given = attributes(node.attributes) if node.attributes.strip(" /") else {}
-            if given or hiding:
-                style = given.get("style", "")
-                names = {tag, "#" + given.get("id", "")} | {"." + c for c in given.get("class", "").split()}
-                if "hidden" in given or re.search(r"display\s*:\s*none", style, re.I) or hiding & names:
+            if given or sheet:
+                won: dict[str, tuple] = {}
+                for key, value in declared(COMMENT.sub(" ", given["style"]), 4) if "style" in given else ():
+                    won[key] = max(won.get(key, value), value)
+                for name in {tag, "#" + given.get("id", "")} | {"." + c for c in given.get("class", "").split()} if sheet else ():
+                    for key, value in sheet.get(name, {}).items():
+                        won[key] = max(won.get(key, value), value)
+                display = won["display"][3] if "display" in won else "none" if "hidden" in given else ""
+                if display == "none":
                     continue
-                visible = bool(SEEN.search(style)) or visible and not UNSEEN.search(style)
+                if "visibility" in won and won["visibility"][3] in ("visible", "initial", "hidden", "collapse"):
+                    visible = won["visibility"][3] in ("visible", "initial")
             if tag == "dialog" and "open" not in given or tag == "input":
                 continue
             if tag == "br":
@@ -288,7 +376,7 @@ def render(html: str) -> str:
                     out.marker = "- "
             elif tag in ("dd", "blockquote"):
                 out.indent += 2
-            elif tag == "pre":
+            elif tag in ("pre", "xmp"):
                 keep += 1
             elif tag == "table":
                 tables.append([])
@@ -306,7 +394,7 @@ def render(html: str) -> str:
             out.marker = ""
         elif tag in ("dd", "blockquote"):
             out.indent -= 2
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             keep -= 1
         elif tag in ("td", "th") and tables and tables[-1]:
             tables[-1][-1].append(writers.pop().done())

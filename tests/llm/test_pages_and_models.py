@@ -378,3 +378,20 @@ def test_best_stretch_with_the_answer():
     text[0, 60:72] = [0, 1, 2, 3, 4, 5, 6, 15, 16, 17, 18, 19]
     kept, share, answer = confirm.best(text, np.array([0]))
     assert kept.tolist() == [0] and share.tolist() == [0.6] and answer.tolist() == [1.0]
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<style>@media print { .nav, #side { display: none } }</style><i class=nav>a</i><i id=side>b</i>", "ab"),
+    ("<style>@media (max-width: 600px) {p{display:none}} @media screen and (min-width: 40em) {b{display:none}}</style><p>a<b>c</b></p>", "a"),
+    ("<style>@media not print{i{display:none}} @media only screen and (width < 50em), print {b{display:none}}</style><i>a</i><b>b</b>", "b"),
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<style>@import 'x.css'; @font-face{src:url('a;{b')} .x{display:none} .x{display:block}</style><p class=x>a", "a"),
+    ("<style>.x{display:none !important} #y{display:block}</style><p class=x id=y style='display:block'>a</p>b", "b"),
+    ("<style>#y{display:block} .x{display:none}</style><p class=x id=y>a", "a"),
+    ("<style>/* p{display:none} */ i{display:none}</style><p>a<i>b</i>", "a"),
+    ("<style>.x{visibility:hidden} .y{visibility:visible}</style><p class=x>a<b class=y>b</b></p>", "b"),
+    ("<style>@supports (display:grid) { @media screen { .x { color:red; display:none } } } .z{}</style><i class=x>a</i>b", "b"),
+    ("a<xmp><b>x</b> &amp;\n  y</xmp>b", "a\n\n<b>x</b> &amp;\n  y\n\nb"),
+])
+def test_visible_on_a_screen(html, text):
+    assert html_layout.render(html) == text
