@@ -6,8 +6,8 @@ strings are judged on the input.
 1. Suffixes are sampled where a string of ``LENGTH`` bytes must have one: its least ``LEAD``-byte word by hash, the leftmost of
    equals. Equal strings so have their sampled suffix in the same place. All neighbouring strings with one such suffix make
    a record, about one for every 90 bytes: the leading bytes and hash of the suffix, and a hash of the stretch that the strings cover.
-2. Splitters from a sample range-partition the records by the suffixes' leading bytes, then by hash, stretch and place, so that
-   also a word or stretch that a third of all texts share is cut into buckets of even size.
+2. Splitters from a sample range-partition the records by the suffixes' leading bytes, then by hash, stretch and place (of id
+   and row), so that also a word, stretch or whole text that a third of all rows share is cut into buckets of even size.
 3. Buckets are sorted by multikey quicksort: by the first key, then ties only by the next. Neighbours tell which stretches
    occur twice (all their strings are repeated) and which suffixes begin several stretches. The first and last record
    of every bucket are compared across the boundary.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import stored, text_key, text_or_empty
@@ -104,9 +104,9 @@ def records(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield text[owner], start + shift, end + shift, anchor - start, lead, words[anchor], mix(span_hashes(prefix, start, end) + (end - start).astype(np.uint64))
 
 
-def sort_key(lead: np.ndarray, word: np.ndarray, stretch: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+def sort_key(lead: np.ndarray, word: np.ndarray, stretch: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
     """32 bytes that order records: by leading bytes, word, stretch, and a spread of the place."""
-    place = mix(text ^ mix(start.astype(np.uint64), 2), 9)
+    place = mix(row ^ mix(start.astype(np.uint64), 2), 9)
     return np.ascontiguousarray(np.stack([lead, word, stretch, place], axis=1).astype(">u8")).view("S32").ravel()
 
 
@@ -159,15 +159,23 @@ def _place_batch(ids: pa.RecordBatch, part: tuple[np.ndarray, ...], buckets: np.
     columns = [ids.column(0).take(take), ids.column(1).take(take), pa.array(start), pa.array(end), pa.array(at.astype(np.int32)),
                *[pa.array(x.view(np.int64)) for x in (lead, word, stretch)]]
     names = list(PLACE_NAMES)
-    if buckets is not None:
-        key = sort_key(lead, word, stretch, ids.column(1).to_numpy().view(np.uint64)[text], start)
+    if buckets is None:
+        columns.append(ids.column(3).take(take))
+        names.append("row")
+    else:
+        key = sort_key(lead, word, stretch, ids.column(3).to_numpy().view(np.uint64)[text], start)
         columns.append(pa.array(np.searchsorted(buckets, key, "right").astype(np.int32)))
         names.append("bucket")
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+def row_hash() -> Column:
+    """Parts rows that repeat a text, or text and id. It only decides on buckets and samples, never on the result."""
+    return F.xxhash64("doc_id", text_key(), F.monotonically_increasing_id())
+
+
 def places(docs: DataFrame, splitters: np.ndarray | None) -> DataFrame:
-    """The records of all texts, with their bucket if there are splitters."""
+    """The records of all texts, with their bucket if there are splitters, else with a hash of their row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +183,8 @@ def places(docs: DataFrame, splitters: np.ndarray | None) -> DataFrame:
             for part in records(data, offsets):
                 yield _place_batch(batch, part, splitters)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return rows.mapInArrow(run, PLACE if splitters is None else PLACE + ", bucket int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text", row_hash().alias("row"))
+    return rows.mapInArrow(run, PLACE + (", row long" if splitters is None else ", bucket int"))
 
 
 def sampled_splitters(docs: DataFrame, total: int) -> np.ndarray:
@@ -184,13 +192,13 @@ def sampled_splitters(docs: DataFrame, total: int) -> np.ndarray:
     count = -(-total // BUCKET_BYTES)
     share = min(1.0, SAMPLE_BYTES / max(1, total))
     # a sample of whole texts would miss what long ones hold, so texts are drawn by hash and records thinned by count
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", text_key()), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = places(drawn, None).select("lead", "word", "stretch", "text_key", "start")
-    rows = rows.where(F.pmod(F.xxhash64("text_key", "start"), F.lit(max(1, int(min(total, SAMPLE_BYTES) / 90 / (200 * max(1, count)))))) == 0)
+    drawn = docs.where(F.pmod(row_hash(), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    rows = places(drawn, None).select("lead", "word", "stretch", "row", "start")
+    rows = rows.where(F.pmod(F.xxhash64("row", "start"), F.lit(max(1, int(min(total, SAMPLE_BYTES) / 90 / (200 * max(1, count)))))) == 0)
     table = rows.toArrow()  # some 200 keys a bucket
     if not table.num_rows or count < 2:
         return np.zeros(0, "S32")
-    c = [table.column(n).to_numpy() for n in ("lead", "word", "stretch", "text_key", "start")]
+    c = [table.column(n).to_numpy() for n in ("lead", "word", "stretch", "row", "start")]
     keys = np.sort(sort_key(*[x.view(np.uint64) for x in c[:4]], c[4]))
     return keys[np.arange(1, count) * len(keys) // count]
 

@@ -161,6 +161,20 @@ def test_suffix_dedup(spark, nasty, nothing, monkeypatch):
     assert suffix_dedup.without_repeats(nothing).count() == 0
 
 
+def test_copies_are_cut_into_even_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 20_000)
+    hot = prose(31, 80)
+    texts = [(k if k % 2 else None, hot) for k in range(2000)] + [(5000 + k, prose(5000 + k, 80)) for k in range(1000)]
+    docs = table(spark, texts).repartition(4).cache()
+    total = sum(len(t) for _, t in texts)
+    splitters = suffix_dedup.sampled_splitters(docs, total)
+    sizes = [r["count"] for r in suffix_dedup.places(docs, splitters).groupBy("bucket").count().collect()]
+    assert max(sizes) < 4 * sum(sizes) / (len(splitters) + 1)
+    got = suffix_dedup.without_repeats(docs)
+    kept = {r["doc_id"] for r in got.where("length(kept) > 0").select("doc_id").collect()}
+    assert kept == set(range(5000, 6000)) and got.count() == 3000
+
+
 def test_multikey_order():
     draw = np.random.default_rng(1)
     keys = [draw.integers(0, n, 5000).astype(np.uint64) for n in (3, 10, 100)]
