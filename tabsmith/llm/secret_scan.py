@@ -2,7 +2,9 @@
 
 Candidates that may encode a key are decoded (base64, base64url, hex) and parsed before they are reported: DER by its
 nested lengths (PKCS#1, PKCS#8, encrypted PKCS#8, SEC 1), OpenSSH keys by their length-prefixed fields, PEM blocks by
-their body, and signed tokens by the JSON of their header and claims. What only looks like a key is not reported.
+their body (escaped line breaks and header lines are understood; an encrypted body must fill the blocks of its cipher), and signed
+tokens by the JSON of their header and claims. What only looks like a key is not reported.
+Base64 may be wrapped over lines, real or escaped: the lengths inside a key tell where it ends.
 
 Edge cases: a null or empty text has no spans; equal rows give equal rows; texts of any length are searched whole;
 other columns are not read. Positions are code points, ends are exclusive.
@@ -28,8 +30,15 @@ ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{31,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{32,})={0,2}")
+BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\s\S])+)-----END \1-----")
+ESCAPED = re.compile(r"\\+(?:[nrt]|(?=\s))")
+HEADER = re.compile(r"^[ \t]*([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*?)[ \t\r]*$", re.M)
+CIPHER = re.compile(r"[A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})")
+ENCODED = re.compile(
+    r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=\\r))(?:M[A-Za-z0-9+/_-]{31,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{20,})={0,2}")
+WRAP = re.compile(r"[ \t]*(?:\\+r)?(?:\r?\n|\\+n)[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+LONGEST = 1 << 16
+"""Bytes of the longest key that is looked for over line breaks."""
 ENCODED_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[fF]70656[eE])[0-9A-Fa-f]{46,}")
 OPENSSH = b"openssh-key-v1\0"
 
@@ -102,6 +111,57 @@ def key_kind(data: bytes) -> str | None:
     return "der" if is_private_der(data) else "ssh" if is_openssh(data) else None
 
 
+def is_private_pem(body: str) -> bool:
+    """A PEM body, with its header lines and escapes."""
+    body = ESCAPED.sub("\n", body).replace("\\/", "/")
+    headers = {m[1].lower(): m[2] for m in HEADER.finditer(body)}
+    data = from_base64(HEADER.sub("", body) if headers else body)
+    if "ENCRYPTED" in headers.get("proc-type", ""):
+        cipher = CIPHER.fullmatch(headers.get("dek-info", ""))
+        return bool(cipher) and len(data) >= 32 and len(data) % (len(cipher[1]) // 2) == 0
+    return key_kind(data) is not None
+
+
+def least_size(data: bytes) -> int:
+    """Bytes that a key has at least, by the lengths at its beginning; 0 if it is none."""
+    if data.startswith(OPENSSH):
+        at, left = len(OPENSSH), 3
+        while left:
+            if at + 4 > len(data):
+                return at + 4
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        if at + 4 > len(data):
+            return at + 4
+        left, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+        while left and at + 4 <= len(data):
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        return at + 4 * left
+    if len(data) < 6 or data[0] != SEQUENCE or data[1] & 0x7F > 4 and data[1] & 0x80:
+        return 0
+    n = data[1] & 0x7F
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if data[1] & 0x80 else 2 + n
+
+
+def wrapped_key(text: str, start: int, end: int) -> tuple[str, int, int] | None:
+    """The key that begins with the run of base64 and goes on in the next lines."""
+    parts, count = [text[start:end]], len(text[start:end].rstrip("="))
+    while True:
+        body = "".join(parts)
+        size = least_size(from_base64(body[: count // 4 * 4]))
+        if not size or size > LONGEST:
+            return None
+        asked = -(-size * 4 // 3)
+        if count >= asked:
+            kind = key_kind(from_base64(body)) if count == asked else None
+            return kind and (kind, start, end)
+        while count < asked:
+            line = WRAP.match(text, end)
+            if not line or parts[-1].endswith("="):
+                return None
+            parts.append(line[1])
+            count, end = count + len(line[1].rstrip("=")), line.end()
+
+
 def is_signed_token(token: str) -> bool:
     parts = token.split(".")
     try:
@@ -123,11 +183,19 @@ def spans(text: str) -> Iterator[tuple[str, int, int]]:
     yield from (("hex", *m.span()) for m in HEX.finditer(text))
     if "eyJ" in text:
         yield from (("jwt", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0]))
+    blocks = []
     if "PRIVATE KEY-----" in text:
-        yield from (("pem", *m.span()) for m in BLOCK.finditer(text) if key_kind(from_base64(m[2])))
+        blocks = [m.span() for m in BLOCK.finditer(text) if is_private_pem(m[2])]
+        yield from (("pem", *b) for b in blocks)
+    done = 0
     for m in ENCODED.finditer(text):
+        if m.start() < done:
+            continue
         if kind := key_kind(from_base64(m[0])):
             yield kind, *m.span()
+        elif not any(a <= m.start() < b for a, b in blocks) and (key := wrapped_key(text, *m.span())):
+            done = key[2]
+            yield key
     for m in ENCODED_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             yield kind, *m.span()

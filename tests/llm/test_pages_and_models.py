@@ -395,3 +395,22 @@ def test_best_stretch_with_the_answer():
 ])
 def test_visible_on_a_screen(html, text):
     assert html_layout.render(html) == text
+
+
+def test_leaked_forms_of_keys():
+    kinds = lambda text: [k for k, *_ in secret_scan.spans(text) if k not in secret_scan.BASE]
+    for name, key, kind in (("RSA ", RSA, "der"), ("", PKCS8, "der"), ("OPENSSH ", SSH, "ssh")):
+        lines = re.findall(".{1,64}", b64(key))
+        pem = [f"-----BEGIN {name}PRIVATE KEY-----", *lines, f"-----END {name}PRIVATE KEY-----", ""]
+        for glue in ("\\n", "\\r\\n", "\\\\n", "\r\n", "\\\n"):
+            assert "pem" in kinds('{"key": "' + glue.join(pem) + '"}'), glue
+        for glue in ("\n", "\r\n", "\\n", "\n    "):
+            text = "x: " + glue.join(re.findall(".{1,44}", b64(key))) + glue + "and more text"
+            (span,) = [s for s in secret_scan.spans(text) if s[0] == kind]
+            assert span[1] == 3 and text[span[2] :] == glue + "and more text"
+        assert kinds("\n".join(re.findall(".{1,44}", b64(key[:-3])))) == []
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123456789ABCDEF\n\n"
+    secret = hashlib.sha512(b"x").digest() * 4
+    for escape in (lambda t: t, lambda t: t.replace("\n", "\\n")):
+        assert kinds(escape(head + b64(secret) + "\n-----END RSA PRIVATE KEY-----")) == ["pem"]
+        assert kinds(escape(head + b64(secret[:-3]) + "\n-----END RSA PRIVATE KEY-----")) == []
