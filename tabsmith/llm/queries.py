@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import decontaminate, digest_index, histogram_sort, html_layout, jaccard_join, ordinal, packing, secret_scan, suffix_dedup, warc
+from tabsmith.llm import (
+    decontaminate,
+    digest_index,
+    histogram_sort,
+    html_layout,
+    jaccard_join,
+    ordinal,
+    packing,
+    secret_scan,
+    slack_packing,
+    suffix_dedup,
+    turn_repair,
+    vector_codes,
+    warc,
+)
 from tabsmith.llm.common import scratch_path, text_or_empty
 from tabsmith.queries.base import Catalog, load
 
@@ -107,3 +121,23 @@ def op9_ordinal_quality(spark, sf_dir):
 @query("op10_structural_secrets")
 def op10_structural_secrets(spark, sf_dir):
     return secret_scan.summary(secret_scan.find_secrets(load(spark, sf_dir, "documents")))
+
+
+@query("op11_sliced_codes")
+def op11_sliced_codes(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings")
+    model = vector_codes.fit(vectors)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    codes = vector_codes.coded(vectors, model)
+    return codes.select("vec_id", vector_codes.hex_code().alias("code"), "error", "label_error", F.lit(model.sha256()).alias("codebooks_sha256"))
+
+
+@query("op12_turn_repair")
+def op12_turn_repair(spark, sf_dir):
+    return turn_repair.repaired(turn_repair.damaged(load(spark, sf_dir, "conversations")))
+
+
+@query("op13_slack_packing")
+def op13_slack_packing(spark, sf_dir):
+    return slack_packing.pack(load(spark, sf_dir, "documents"))
