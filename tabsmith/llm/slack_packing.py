@@ -22,6 +22,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ VOCABULARY = "byte_bpe_50k.json"
 ENCODED_AT_ONCE = 1 << 18
 """Characters given to the tokenizer at once."""
 TEXTS_AT_ONCE = 500
-KNOWN_WORDS = 400_000
-"""Words whose ids a task remembers; beyond, it starts anew."""
+KNOWN_WORDS = 700_000
+"""Words whose ids a Python worker remembers before it starts anew; the generation before stays for reference."""
 
 SPLIT = re.compile(r"(?<=\S)(?= \S)")
 TAILS = ".,;:!?"
@@ -54,6 +55,7 @@ def _byte_letters() -> list[str]:
 
 
 BYTE_LETTERS = dict(enumerate(_byte_letters()))
+SPACE = BYTE_LETTERS[32]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -75,7 +77,6 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         splitter = parts.get("pre_tokenizer") or {}
@@ -83,6 +84,9 @@ class Ids:
             and not splitter.get("add_prefix_space", False)
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.older_spaced: dict[str, bytes] = {}
+        self.older_bare: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
         self.line_end = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
@@ -101,22 +105,28 @@ class Ids:
 
     def _word(self, word: str, spaced: bool) -> bytes | None:
         """A word between spaces; None if more white space is next to them, which tokens may span."""
-        known = self.spaced if spaced else self.bare
+        known, older = (self.spaced, self.older_spaced) if spaced else (self.bare, self.older_bare)
         found = known.get(word)
-        if found is not None:
-            return found
+        if found is None:
+            found = older.get(word)
+            if found is None:
+                return self._new(word, spaced, known)
+            known[word] = found
+        return found
+
+    def _new(self, word: str, spaced: bool, known: dict[str, bytes]) -> bytes | None:
         core = word.rstrip(TAILS)
-        if core.isalpha() and max(core) < LETTERS_BELOW:
+        if core.isalpha() and (core.isascii() or max(core) < LETTERS_BELOW):
             if len(core) < len(word):
                 found = self._word(core, spaced) + self._word(word[len(core) :], False)
             else:
-                letters = (" " + core if spaced else core).encode().decode("latin-1").translate(BYTE_LETTERS)
-                found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+                found = array("I", [t.id for t in self.tokenize(SPACE + letters if spaced else letters)]).tobytes()
         elif "\n" in word:
             lines = [None if not line else self._word(line, spaced and not i) for i, line in enumerate(word.split("\n"))]
             if None in lines:
                 return None
-            found = self.line_end.join(lines)
+            return self.line_end.join(lines)
         elif not word or word[0].isspace() or word[-1].isspace():
             return None
         else:
@@ -127,11 +137,13 @@ class Ids:
     def _text(self, text: str) -> bytes:
         words = text.split(" ")
         ids = [self._word(words[0], False), *map(self.spaced.get, words[1:])]
-        if None in ids:
-            for i, found in enumerate(ids):
-                if found is None and (i == 0 or (found := self._word(words[i], True)) is None):
-                    return b"".join([self._loose(part) for part in SPLIT.split(text)])
-                ids[i] = found
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            found = self._word(words[at], True) if at else None
+            if found is None:
+                return b"".join([self._loose(part) for part in SPLIT.split(text)])
+            ids[at] = found
         return b"".join(ids)
 
     def _loose(self, part: str) -> bytes:
@@ -144,10 +156,17 @@ class Ids:
             return
         for text in texts:
             if len(self.spaced) + len(self.bare) > KNOWN_WORDS:
+                self.older_spaced, self.older_bare = self.spaced, self.bare
                 self.spaced, self.bare = {}, {}
             yield self._text(text)
 
 
+@cache
+def worker_ids(path: str) -> Ids:
+    """The ``Ids`` of this Python process: Spark gives it one task after another, and they share what it has learned."""
+    return Ids(path)
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -156,7 +175,7 @@ def pieces(docs: DataFrame, window: int, path: str, end: int) -> DataFrame:
     mark = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = worker_ids(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), TEXTS_AT_ONCE):
