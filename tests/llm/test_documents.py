@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.llm import digest_index, histogram_sort, jaccard_join, packing, suffix_dedup, words
@@ -245,3 +247,38 @@ def test_release(spark):
     assert local.exists()
     release_scratch(spark)
     assert not local.exists()
+
+
+def near_copies(count: int, length: int, changes: int) -> list[tuple[int, str]]:
+    base, draw = prose(9, length).split(), random.Random(count)
+    out = []
+    for i in range(count):
+        changed = list(base)
+        for at in draw.sample(range(length), changes):
+            changed[at] = f"c{i}x{at}"
+        out.append((i, " ".join(changed)))
+    return out
+
+
+@pytest.mark.parametrize("length, changes", [(40, 1), (120, 2)])
+def test_candidates_of_near_copies_grow_with_their_number(spark, monkeypatch, length, changes):
+    """The pairs of the first stars and of the join proper, and the links of the rounds, in a group three times as large."""
+    looked_at: dict[str, int] = {}
+    whole = jaccard_join.stored
+
+    def counting(df, name, *more):
+        out = whole(df, name, *more)
+        if name in ("star-pairs", "round-links", "pairs"):
+            looked_at[name] = looked_at.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counting)
+    totals = []
+    for count in (300, 900):
+        looked_at.clear()
+        texts = near_copies(count, length, changes)
+        found = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(table(spark, texts).repartition(4), 5, 80).collect()}
+        totals.append(sum(looked_at.values()))
+        if count == 300:
+            assert found == {i: c for i, _, c in brute_groups(texts, 5, 80)}
+    assert totals[1] <= 4.5 * totals[0] + 50
