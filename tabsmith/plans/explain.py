@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import col
 from tabsmith.operators.splitting import shifted_values
+from tabsmith.plans.boosting import MultinomialBoostingModel
 from tabsmith.plans.estimators import OneAgainstRestModel, RandomFeaturesModel
 from tabsmith.plans.fitted import FittedModel
 from tabsmith.plans.preprocess import FEATURES, feature_names
@@ -25,7 +26,7 @@ def _importances(model) -> np.ndarray | None:
         if any(isinstance(s, RandomFeaturesModel) for s in model.stages):
             return None  # weights of random features say nothing about the inputs
         return _importances(model.stages[-1])
-    if isinstance(model, OneAgainstRestModel):
+    if isinstance(model, (OneAgainstRestModel, MultinomialBoostingModel)):
         return model.importances()
     if hasattr(model, "featureImportances"):
         return model.featureImportances.toArray()

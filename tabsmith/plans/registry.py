@@ -11,6 +11,7 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 
+from tabsmith.plans.boosting import MultinomialBoosting
 from tabsmith.plans.estimators import (
     LABEL,
     PREDICTION,
@@ -126,11 +127,16 @@ def _boosting(classify: bool) -> Factory:
         common = {"maxIter": p.get("n_estimators", 100), "stepSize": p.get("learning_rate", 0.1),
                   "maxDepth": p.get("max_depth", 3), "seed": p["random_state"]}
 
+        patience = p.get("n_iter_no_change") or 0
+        if classify and ctx.n_classes > 2:
+            return MultinomialBoosting(ctx.n_classes, common["maxIter"], common["stepSize"], common["maxDepth"],
+                                       p.get("validation_fraction", 0.1), patience, p.get("tol", 1e-4))
+
         def build(options: dict) -> Estimator:
             every = common | options
             return boosted_classifier(ctx.n_classes, **every) if classify else boosted_regressor(**every)
 
-        if p.get("n_iter_no_change"):
+        if patience:
             return EarlyStopped(build, p.get("validation_fraction", 0.1), p.get("tol", 1e-4))
         return build({})
 

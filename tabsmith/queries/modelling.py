@@ -86,7 +86,7 @@ def _register_predictions(task: str, model: str) -> None:
             return p.select(F.col("s_suppkey").alias("k"), F.col("actual").alias("l"), number.alias("is_number"))
 
         return
-    orders = model == "LogisticRegression"
+    orders = model in ("LogisticRegression", "GradientBoosting")
     sql = _held_out_sql("orders", "o_orderkey", "o_orderstatus") if orders else _held_out_sql("supplier", "s_suppkey", DEBT)
 
     @query(name, f"SELECT k, l, true AS is_class, true AS adds_up FROM ({sql}) h")

@@ -42,7 +42,6 @@ def test_bom_and_latin1_are_told_apart_per_file(spark, tmp_path):
 
 def test_csv_errors(spark, tmp_path):
     with pytest.raises(TableLoadError):
-        load_table(spark, write(tmp_path / "empty.csv", b""))
     with pytest.raises(TableLoadError, match="Unsupported"):
         load_table(spark, write(tmp_path / "x.json", b"{}"))
     with pytest.raises(TableLoadError):
@@ -84,6 +83,8 @@ def test_workbooks(spark, tmp_path):
 def test_audit(spark, tmp_path):
     write(tmp_path / "ok.csv", b"a,b\n1,2\n")
     write(tmp_path / "binary.csv", b"\x00\x01" * 50)
+    write(tmp_path / "few.csv", b"a,b\n" * 50 + b"\x00" * 4)
+    write(tmp_path / "some.csv", b"a,b\n" * 50 + b"\x00" * 5)
     write(tmp_path / "fake.parquet", b"nope")
     write(tmp_path / "fake.xlsx", b"nope")
     write(tmp_path / "old.xls", b"\xd0\xcf\x11\xe0rest")
@@ -91,11 +92,12 @@ def test_audit(spark, tmp_path):
     write(tmp_path / "big.csv", b"a\n" * 700_000)
     got = {r["path"].rsplit("/", 1)[-1]: r["reason"] for r in audit_folder(spark, str(tmp_path), max_mb=1).collect()}
     assert got["ok.csv"] is None and got["old.xls"] is None
-    assert got["binary.csv"] == "CSV appears to contain binary content."
-    assert got["fake.parquet"] == "Invalid parquet signature." and got["fake.xlsx"] == "Invalid XLSX signature."
-    assert got["notes.txt"].startswith("Unsupported file type") and got["big.csv"] == "File too large (1.3 MB). Limit is 1 MB."
+    assert got["binary.csv"] == "Holds bytes that no text has"
+    assert got["fake.parquet"] == "Does not begin like a Parquet file" and got["fake.xlsx"] == "Does not begin like an .xlsx workbook"
+    assert got["notes.txt"].startswith("Extension is none of") and got["big.csv"] == "1.3 MB, above the limit of 1 MB"
     names_only = audit_folder(spark, str(tmp_path), max_mb=1, content=False)
-    assert names_only.filter("status = 'ok'").count() == 5
+    assert names_only.filter("status = 'ok'").count() == 7
+    assert got["few.csv"] is None and got["some.csv"] == got["binary.csv"]
 
 
 def test_single_file_checks(spark):
