@@ -32,7 +32,7 @@ from tabsmith.session import local_session  # noqa: E402
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linestatus"]
 KEY = ["l_orderkey", "l_linenumber"]
-COLD = {"load", "logistic_regression", "random_forest_supplier", "kmeans_customer"}
+COLD = {"load", "logistic_regression", "random_forest_supplier", "kmeans"}
 
 
 def drain(df: DataFrame) -> None:
@@ -68,8 +68,8 @@ def bench_queries(spark: SparkSession, sf: str) -> dict:
         drain(fitted["model"].score(lineitem))
 
     def clusters():
-        spec = RunSpec(["c_acctbal", "c_nationkey"], None, "Clustering", key="c_custkey", models=["KMeans"], scaling_strategy="StandardScaler")
-        train(spec, load(spark, sf, "customer")).release()
+        spec = RunSpec(["l_quantity", "l_discount", "l_extendedprice"], None, "Clustering", key="k", models=["KMeans"], scaling_strategy="StandardScaler")
+        train(spec, numbered).release()
 
     def forest():
         spec = RunSpec(["s_suppkey", "s_nationkey"], "s_acctbal", "Regression", key="s_suppkey", models=["RandomForest"])
@@ -99,7 +99,7 @@ def bench_queries(spark: SparkSession, sf: str) -> dict:
         ),
         "logistic_regression": logistic,
         "random_forest_supplier": forest,
-        "kmeans_customer": clusters,
+        "kmeans": clusters,
         "batch_scoring": scoring,
     }
 

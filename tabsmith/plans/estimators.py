@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.stat import Summarizer
@@ -249,30 +246,5 @@ class NearestRowsModel(FittedStage):
         return df.join(answer, col(ROW_ID).cast("bigint") == F.col("qid"), "left").drop("qid")
 
 
-STARTS_AT_ONCE = 4
-
-
-class BestKMeans(Estimator):
-    """KMeans from several starts; the start with the lowest cost wins. All starts read one cached table."""
-
-    def __init__(self, k: int, n_init: int = 20, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> None:
-        super().__init__()
-        self.k, self.n_init, self.seed, self.max_iter, self.tol = k, n_init, seed, max_iter, tol
-
-    def _fit(self, df: DataFrame) -> Model:
-        points = df.select(FEATURES).persist()
-        points.count()  # fills the cache before the starts read it
-
-        def start(i: int) -> Model:
-            return KMeans(featuresCol=FEATURES, predictionCol=PREDICTION, k=self.k, seed=self.seed + i,
-                          maxIter=self.max_iter, tol=self.tol, initMode="k-means||").fit(points)
-
-        with ThreadPoolExecutor(STARTS_AT_ONCE) as pool:
-            models = list(pool.map(inheritable_thread_target(df.sparkSession)(start), range(max(self.n_init, 1))))
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        points.unpersist()
-        return best
-
-
 def boosted_regressor(**params) -> GBTRegressor:
     return GBTRegressor(featuresCol=FEATURES, labelCol=LABEL, predictionCol=PREDICTION, **params)

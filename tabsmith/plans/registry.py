@@ -12,13 +12,13 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 
 from tabsmith.plans.boosting import MultinomialBoosting
+from tabsmith.plans.clusters import JointKMeans
 from tabsmith.plans.estimators import (
     LABEL,
     PREDICTION,
     PROBABILITY,
     RAW,
     WEIGHT,
-    BestKMeans,
     EarlyStopped,
     NearestRows,
     boosted_classifier,
@@ -161,7 +161,7 @@ def _neighbours(classify: bool) -> Factory:
 
 
 def _kmeans(p: dict, ctx: FitContext) -> Estimator:
-    return BestKMeans(p["n_clusters"], p["n_init"], p["random_state"], p.get("max_iter", 300), p.get("tol", 1e-4))
+    return JointKMeans(p["n_clusters"], p["n_init"], p["random_state"], p.get("max_iter", 300), p.get("tol", 1e-4))
 
 
 # Search spaces per model.
