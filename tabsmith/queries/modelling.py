@@ -77,13 +77,19 @@ def _known(predictions, key: str, labels) -> DataFrame:
 def _register_predictions(task: str, model: str) -> None:
     name = f"predict_{task.lower()}_{model.lower()}"
     if task == "Regression":
-        sql = _plain_held_out_sql("supplier", "s_suppkey", "s_acctbal")
+        on_parts = model in ("SVM", "GradientBoosting")
+        key, label = ("p_partkey", "p_retailprice") if on_parts else ("s_suppkey", "s_acctbal")
+        sql = _plain_held_out_sql("part" if on_parts else "supplier", key, label)
 
         @query(name, f"SELECT k, l, true AS is_number FROM ({sql}) h")
         def regress(spark, sf_dir):
-            p = _supplier(spark, sf_dir, task, [model]).runs[model].predictions
+            if on_parts:
+                spec = RunSpec(["p_size", "p_brand"], label, task, key=key, models=[model], scaling_strategy="StandardScaler")
+                p = run_workbench(load(spark, sf_dir, "part"), spec).runs[model].predictions
+            else:
+                p = _supplier(spark, sf_dir, task, [model]).runs[model].predictions
             number = F.col("prediction").isNotNull() & ~F.isnan("prediction")
-            return p.select(F.col("s_suppkey").alias("k"), F.col("actual").alias("l"), number.alias("is_number"))
+            return p.select(F.col(key).alias("k"), F.col("actual").alias("l"), number.alias("is_number"))
 
         return
     orders = model in ("LogisticRegression", "GradientBoosting")
