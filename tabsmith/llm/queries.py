@@ -65,9 +65,10 @@ FROM sized LEFT JOIN firsts USING (payload_digest)
 
 @query("op5_capture_index", WARC_SQL)
 def op5_capture_index(spark, sf_dir):
-    """Digests and sizes of responses are computed anew from the payloads that were read."""
-    _, index = warc.archived(load(spark, sf_dir, "pages"))
-    read = warc.read_captures(index.captures())
+    """Each page is looked up by its URL. Digests and sizes of responses are computed anew from the payloads that were read."""
+    pages = load(spark, sf_dir, "pages")
+    _, index = warc.archived(pages)
+    read = warc.read_captures(index.find_urls(pages))
     there = F.col("payload").isNotNull()
     return read.select(
         "page_id",

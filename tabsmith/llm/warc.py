@@ -6,8 +6,11 @@ column expressions and written by Spark's text writer, whose line separator is t
 archives appear whole or not at all and payloads are not shuffled.
 
 Index: captures are sorted by their reversed-host URL key (``com,example,www)/path``) into blocks of ``block_rows``
-lines, each compressed on its own; a sparse directory holds the first key of every block. A lookup searches the
-directory by halving, unpacks the one or two blocks that can hold the key, and reads the byte ranges of the records.
+lines, each compressed on its own; a sparse directory holds the first and last key of every block, in order, in files of
+at most ``DIRECTORY_ROWS`` lines. ``find`` takes a table of keys: they are sorted by range, each task halves the list of
+directory files and the file itself for each of its keys, the keys meet their blocks by block number, and each
+block is unpacked once and searched by halving. ``read_captures`` then reads the byte ranges of the records.
+Of the directory a task holds two files at a time, and the driver one line per file.
 
 Archives are read with seeks by ``pyarrow.fs``, so they must lie where that reaches (local or shared disks, HDFS, S3,
 GCS). Edge cases: a null page is empty; a null URL has the empty key; an empty table makes no archive, and its index is
@@ -17,13 +20,15 @@ white space and control characters of a URL are percent-encoded. Columns beside
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,20 +39,26 @@ END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 READ_BYTES = 8 << 20
 """Captures of one archive are read in ranges of about these bytes."""
+DIRECTORY_ROWS = 50_000
+"""Lines of one directory file."""
 CAPTURE = "key string, url string, type string, digest string, page_id long, file string, offset long, length long"
 
 
+def written_url(url: Column) -> Column:
+    """A URL as its record names it."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(url, " ", "%20"), "\n", "%0A"), "[\\x00-\\x1F\\x7F]", "%00")
+
+
 def record(kind: Column, page_id: Column, url: Column, payload: Column, digest: Column, size: Column, refers: Column, date: str) -> Column:
     """One WARC record without the blank lines behind it."""
     identity = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(END))
     body = F.when(kind == "response", F.concat(http, payload)).otherwise(http)
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, " ", "%20"), "\n", "%0A"), "[\\x00-\\x1F\\x7F]", "%00")
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), kind,
         F.lit("\r\nWARC-Record-ID: "), identity(page_id),
         F.lit(f"\r\nWARC-Date: {date}"),
-        F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), clean), F.lit("")),
+        F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), written_url(url)), F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), digest,
         F.when(kind == "revisit", F.concat(
             F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "),
@@ -157,7 +168,6 @@ class CaptureIndex:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self._directory: list[tuple] | None = None
 
     @classmethod
     def build(cls, spark: SparkSession, archives: str, path: str, block_rows: int = 3000) -> CaptureIndex:
@@ -179,7 +189,8 @@ class CaptureIndex:
             pack, "first_key string, last_key string, rows int, data binary")
         numbered = blocks.withColumn("block", F.monotonically_increasing_id())
         numbered.write.parquet(f"{path}/blocks")
-        spark.read.parquet(f"{path}/blocks").select("block", "first_key", "last_key", "rows").orderBy("first_key", "block").write.parquet(f"{path}/directory")
+        lines = spark.read.parquet(f"{path}/blocks").select("block", "first_key", "last_key", "rows").orderBy("block")
+        lines.write.option("maxRecordsPerFile", DIRECTORY_ROWS).parquet(f"{path}/directory")
         return cls(spark, path)
 
     def blocks(self) -> DataFrame:
@@ -189,28 +200,64 @@ class CaptureIndex:
         """All captures, unpacked."""
         return self.blocks().select("data").mapInArrow(_unpack, CAPTURE)
 
-    def directory(self) -> list[tuple]:
-        """(first key, last key, block) in order: a line per block, a few thousandths of the captures."""
-        if self._directory is None:
-            rows = self.spark.read.parquet(f"{self.path}/directory").collect()
-            self._directory = sorted((r["first_key"], r["last_key"], r["block"]) for r in rows)
-        return self._directory
-
-    def lookup(self, url: str) -> list[dict]:
-        """Captures of a URL: halving in the directory, then in the unpacked blocks."""
-        key = url_key(url)
-        entries = self.directory()
-        lo = bisect_left([last for _, last, _ in entries], key)
-        hi = bisect_right([first for first, _, _ in entries], key)
-        wanted = [block for _, _, block in entries[lo:hi]]
-        if not wanted:
-            return []
-        out = []
-        for row in self.blocks().where(F.col("block").isin(wanted)).select("data").collect():
-            rows = _rows(row["data"])
-            keys = rows.column("key").to_pylist()
-            out += rows.slice(i := bisect_left(keys, key), bisect_right(keys, key) - i).to_pylist()
-        return out
+    def directory(self) -> DataFrame:
+        """(block, first key, last key, rows): a line per block. Blocks are numbered in the order of their keys."""
+        return self.spark.read.parquet(f"{self.path}/directory")
+
+    def _files(self) -> list[tuple]:
+        """(first key, last key, file) of the directory's files, in the order of their blocks."""
+        named = self.directory().groupBy(F.input_file_name().alias("file"))
+        rows = named.agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"), F.min("block").alias("block")).collect()
+        return [(r["first"], r["last"], unquote(r["file"])) for r in sorted(rows, key=lambda r: r["block"])]
+
+    def find(self, keys: DataFrame) -> DataFrame:
+        """The captures of all ``keys(key)``, each once however often its key is asked for."""
+        files = self._files()
+        firsts, lasts = [f for f, _, _ in files], [last for _, last, _ in files]
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            @functools.lru_cache(2)
+            def lines(file: str) -> tuple[list, list, list]:
+                with opened(file) as source:
+                    table = pq.read_table(source, columns=["first_key", "last_key", "block"]).sort_by("block")
+                return tuple(c.to_pylist() for c in table.columns)
+
+            def hits() -> Iterator[tuple]:
+                for batch in batches:
+                    for key in batch.column(0).to_pylist():
+                        for i in range(bisect_left(lasts, key), bisect_right(firsts, key)):
+                            first, last, block = lines(files[i][2])
+                            for at in range(bisect_left(last, key), bisect_right(first, key)):
+                                yield block[at], key
+
+            yield from _batches(hits(), pa.schema([("block", pa.int64()), ("key", pa.string())]))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for wanted, data in zip(*batch.columns):
+                    rows = _rows(data.as_py())
+                    held = rows.column("key").to_pylist()
+                    for key in wanted.as_py():
+                        at = bisect_left(held, key)
+                        yield from rows.slice(at, bisect_right(held, key) - at).to_batches()
+
+        ordered = keys.where("key is not null").select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+        # A block holds no more different keys than rows.
+        wanted = ordered.mapInArrow(search, "block long, key string").groupBy("block").agg(F.collect_list("key").alias("keys"))
+        return wanted.join(self.blocks().select("block", "data"), "block").select("keys", "data").mapInArrow(pick, CAPTURE)
+
+    def find_urls(self, pages: DataFrame) -> DataFrame:
+        """The captures of the URLs of ``pages(url)``; a null URL finds the captures that have none."""
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([url_key(u or "") for u in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+        return self.find(pages.select(written_url(F.col("url")).alias("url")).mapInArrow(keyed, "key string"))
+
+    def lookup(self, url: str) -> DataFrame:
+        """The captures of one URL."""
+        return self.find_urls(self.spark.createDataFrame([(url,)], "url string"))
 
 
 def _block(table: pa.Table) -> pa.RecordBatch:

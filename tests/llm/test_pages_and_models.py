@@ -120,20 +120,35 @@ def test_archives_round_trip(spark):
         expected[i, "revisit" if revisit else "response", hashlib.sha1(data).hexdigest(), len(data), largest[h] if revisit else None, None if revisit else data] += 1
     assert collections.Counter((r["page_id"], r["record_type"], r["payload_digest"], r["payload_bytes"], r["refers_to"],
                                 None if r["payload"] is None else bytes(r["payload"])) for r in got) == expected
-    firsts = [f for f, _, _ in index.directory()]
+    firsts = [r["first_key"] for r in index.directory().orderBy("block").collect()]
     assert len(firsts) > 5 and firsts == sorted(firsts)
-    for i, url, h in rows[:200:7]:
-        (hit,) = index.lookup(url)
+    everything = collections.Counter(map(tuple, index.captures().collect()))
+    assert collections.Counter(map(tuple, index.find_urls(pages(spark, rows)).collect())) == everything
+    hot = index.lookup("https://copy.example.org:8080/7").collect()
+    assert [h["page_id"] for h in hot] == [307] and {r["page_id"] for r in index.lookup("u").collect()} == {500, 502, 503}
+    for i, url, h in rows[:200:67]:
+        (hit,) = index.lookup(url).collect()
         fields, body = warc.read_record(hit["file"], hit["offset"], hit["length"])
         assert hit["page_id"] == i and body.endswith(h.encode()) and fields["WARC-Target-URI"] == url
-    assert index.lookup("http://nowhere.example/") == []
+    assert index.lookup("http://nowhere.example/").count() == 0
     keys = [r["key"] for r in index.captures().collect()]
     assert len(keys) == len(rows) and warc.url_key("http://www.a.example.com/P?Q") == "com,example,a)/p?q"
 
 
+def test_a_hot_key_spans_blocks_and_directory_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "DIRECTORY_ROWS", 2)
+    rows = [(k, "http://hot.example/" if k % 3 == 0 else f"http://h.example/{k % 40}", f"<p>{k}") for k in range(300)]
+    root = scratch_path(spark, "warc-hot")
+    warc.write_archives(pages(spark, rows).repartition(3), f"{root}/archives")
+    index = warc.CaptureIndex.build(spark, f"{root}/archives", f"{root}/index", block_rows=8)
+    assert len(index._files()) > 4
+    assert sorted(r["page_id"] for r in index.lookup("http://HOT.example").collect()) == list(range(0, 300, 3))
+    assert sorted(r["page_id"] for r in index.find_urls(pages(spark, rows)).collect()) == list(range(300))
+
+
 def test_empty_archive(spark):
     _, index = warc.archived(pages(spark, []))
-    assert index.captures().count() == 0 and index.lookup("http://a.example/") == [] and warc.read_captures(index.captures()).count() == 0
+    assert index.captures().count() == 0 and index.lookup("http://a.example/").count() == 0 and warc.read_captures(index.captures()).count() == 0
 
 
 def der(tag, *parts):
