@@ -27,6 +27,7 @@ from tabsmith.plans.estimators import (
     kernel_regressor,
 )
 from tabsmith.plans.preprocess import FEATURES
+from tabsmith.plans.random_trees import RandomTrees
 
 TASKS = ("Classification", "Regression", "Clustering")
 DEEPEST = 30  # the deepest tree Spark grows
@@ -122,6 +123,14 @@ def _forest(extra: dict, classify: bool) -> Factory:
     return make
 
 
+def _random_trees(features: str, classify: bool) -> Factory:
+    def make(p: dict, ctx: FitContext) -> Estimator:
+        return RandomTrees(ctx.n_classes if classify else None, p["n_estimators"], p.get("max_depth"), p.get("min_samples_split", 2), features,
+                           p["random_state"])
+
+    return make
+
+
 def _boosting(classify: bool) -> Factory:
     def make(p: dict, ctx: FitContext) -> Estimator:
         common = {"maxIter": p.get("n_estimators", 100), "stepSize": p.get("learning_rate", 0.1),
@@ -219,13 +228,13 @@ def default_registry(seed: int = 42, n_clusters: int = 3, overrides: Mapping[str
     state = {"random_state": seed}
     add("Classification", "LogisticRegression", _logistic, {"max_iter": 2500, "class_weight": "balanced"},
         {"C": [0.01, 0.1, 1.0, 5.0, 10.0]})
-    forest, extra = {"n_estimators": 300, **state}, {"bootstrap": False, "maxBins": 16}
+    forest = {"n_estimators": 300, **state}
     add("Classification", "RandomForest", _forest({"featureSubsetStrategy": "sqrt"}, True),
         {**forest, "class_weight": "balanced"}, TREES)
     add("Regression", "RandomForest", _forest({"featureSubsetStrategy": "all"}, False), forest, TREES)
-    add("Classification", "ExtraTrees", _forest({"featureSubsetStrategy": "sqrt", **extra}, True),
+    add("Classification", "ExtraTrees", _random_trees("sqrt", True),
         {**forest, "class_weight": "balanced"}, TREES)
-    add("Regression", "ExtraTrees", _forest({"featureSubsetStrategy": "onethird", **extra}, False), forest, TREES)
+    add("Regression", "ExtraTrees", _random_trees("all", False), forest, TREES)
     add("Classification", "SVM", _kernel(True), {"kernel": "rbf", "class_weight": "balanced"}, KERNEL)
     add("Regression", "SVM", _kernel(False), {"kernel": "rbf", "epsilon": 0.1}, {**KERNEL, "epsilon": [0.01, 0.1]})
     for task, classify in (("Classification", True), ("Regression", False)):
