@@ -32,9 +32,23 @@ from tabsmith.plans.stages import FittedStage
 from tabsmith.session import durable
 
 CELLS = 4_000_000
+BLOCK_ROWS = 2_000
 FRACTION = 24
 UNIT = float(1 << FRACTION)
-SUMS = "cell long, total long, least double, most double"
+SLOTS = 8
+"""Numbers that a row of partial sums carries."""
+TOTALS, LEAST, MOST = ([f"{c}{i}" for i in range(SLOTS)] for c in "tlm")
+SUMS = ", ".join(["cell long", *[f"{c} long" for c in TOTALS], *[f"{c} double" for c in LEAST + MOST]])
+
+
+def folded(values: np.ndarray, empty: float) -> np.ndarray:
+    """[node, value] as rows of ``SLOTS`` values, the last row of a node filled up."""
+    short = -values.shape[1] % SLOTS
+    return np.column_stack([values, np.full((len(values), short), empty, values.dtype)]).reshape(-1, SLOTS)
+
+
+def lines_of(width: int) -> int:
+    return -(-width // SLOTS)
 
 
 @dataclass
@@ -90,13 +104,16 @@ class RandomTrees(Estimator):
     def _blocks(self, df: DataFrame, width: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    values = [np.array(batch.column(0).flatten(), float), np.array(batch.column(1)), np.array(batch.column(2))]
+                for i in range(0, batch.num_rows, BLOCK_ROWS):
+                    part = batch.slice(i, BLOCK_ROWS)
+                    values = [np.array(part.column(0).flatten(), float), np.array(part.column(1)), np.array(part.column(2))]
                     yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["x", "label", "weight"])
 
         weight = col(WEIGHT).cast("double") if WEIGHT in df.columns else F.lit(1.0)
         rows = df.select(vector_to_array(FEATURES).alias("x"), col(LABEL).cast("double").alias("label"), weight.alias("weight"))
-        return durable(rows.mapInArrow(run, "x binary, label binary, weight binary")).persist()
+        blocks = rows.mapInArrow(run, "x binary, label binary, weight binary")
+        # A small file is one partition; its blocks are dealt to all cores once, as every level passes over them.
+        return durable(blocks.repartition(max(blocks.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))).persist()
 
     @staticmethod
     def _summed(blocks: DataFrame, width: int, add, flat) -> pa.Table:
@@ -110,16 +127,21 @@ class RandomTrees(Estimator):
                     add(state, x.reshape(len(label), width), label, weight)
             if state:
                 cells, totals, least, most = flat(state)
-                for i in range(0, len(cells), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 50_000]) for v in (cells, totals, least, most)],
-                                                     ["cell", "total", "least", "most"])
+                for i in range(0, len(cells), 20_000):
+                    columns = [cells, *totals.T, *least.T, *most.T]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[i : i + 20_000])) for v in columns], ["cell", *TOTALS, *LEAST, *MOST])
+
+        merged = [*[F.sum(c).alias(c) for c in TOTALS], *[F.min(c).alias(c) for c in LEAST], *[F.max(c).alias(c) for c in MOST]]
+        return blocks.mapInArrow(run, SUMS).groupBy("cell").agg(*merged).toArrow()
 
-        summed = blocks.mapInArrow(run, SUMS).groupBy("cell").agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
-        return summed.toArrow()
+    @staticmethod
+    def _stacked(table: pa.Table, names: list[str]) -> np.ndarray:
+        return np.column_stack([np.array(table[c], float) for c in names])
 
     def _described(self, blocks: DataFrame, grove: Grove, trees: list[int], place: np.ndarray, n: int, width: int, norm: tuple) -> tuple[np.ndarray, ...]:
         """(rows, sums[node, part], least[node, feature or label], most) of the n open nodes; ``place`` is a node's number among them, or -1."""
         parts, columns = (self.n_classes or 1) + 2, width + 1
+        rows_each = lines_of(parts) + lines_of(columns)
         make = self._parts
 
         def add(state: dict, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
@@ -132,28 +154,30 @@ class RandomTrees(Estimator):
                 if not len(inside):
                     continue
                 node = node[inside]
-                state["totals"][0] += np.bincount(node, minlength=n)
-                for j in range(parts - 1):
-                    state["totals"][j + 1] += np.bincount(node, values[inside, j], n).astype(np.int64)
                 named, least, most = least_and_most(node, wide[inside])
+                first, size = named[0], named[-1] - named[0] + 1  # a tree's open nodes lie together
+                here = state["totals"][:, first : first + size]
+                here[0] += np.bincount(node - first, minlength=size)
+                for j in range(parts - 1):
+                    here[j + 1] += np.bincount(node - first, values[inside, j], size).astype(np.int64)
                 state["least"][named] = np.fmin(state["least"][named], least)
                 state["most"][named] = np.fmax(state["most"][named], most)
 
         def flat(state: dict) -> tuple[np.ndarray, ...]:
             seen = np.flatnonzero(state["totals"][0])
-            sums = (seen[:, None] * (parts + columns) + np.arange(parts)).ravel()
-            bounds = (seen[:, None] * (parts + columns) + parts + np.arange(columns)).ravel()
-            nothing = np.zeros(len(sums))
-            return (np.concatenate([sums, bounds]), np.concatenate([state["totals"].T[seen].ravel(), np.zeros(len(bounds), np.int64)]),
-                    np.concatenate([nothing, state["least"][seen].ravel()]), np.concatenate([nothing, state["most"][seen].ravel()]))
+            totals = folded(state["totals"].T[seen], 0)
+            least, most = folded(state["least"][seen], np.inf), folded(state["most"][seen], -np.inf)
+            cells = [(seen[:, None] * rows_each + np.arange(k) + k0).ravel() for k0, k in ((0, lines_of(parts)), (lines_of(parts), lines_of(columns)))]
+            none, nothing = np.zeros((len(least), SLOTS), np.int64), np.zeros((len(totals), SLOTS))
+            return np.concatenate(cells), np.concatenate([totals, none]), np.concatenate([nothing, least]), np.concatenate([nothing, most])
 
         table = self._summed(blocks, width, add, flat)
-        cell = np.array(table["cell"])
-        out = np.zeros((3, n * (parts + columns)))
-        for i, name in enumerate(("total", "least", "most")):
-            out[i, cell] = np.array(table[name], float)
-        out = out.reshape(3, n, parts + columns)
-        return out[0, :, 0], out[0, :, 1:parts] / UNIT, out[1, :, parts:], out[2, :, parts:]
+        cell, out = np.array(table["cell"]), np.zeros((3, n * rows_each, SLOTS))
+        for i, names in enumerate((TOTALS, LEAST, MOST)):
+            out[i, cell] = self._stacked(table, names)
+        totals = out[0].reshape(n, rows_each, SLOTS)[:, : lines_of(parts)].reshape(n, -1)[:, :parts]
+        least, most = (o.reshape(n, rows_each, SLOTS)[:, lines_of(parts) :].reshape(n, -1)[:, :columns] for o in out[1:])
+        return totals[:, 0], totals[:, 1:] / UNIT, least, most
 
     def _left_of(self, blocks: DataFrame, grove: Grove, trees: list[int], place: np.ndarray, chosen: np.ndarray, cuts: np.ndarray, width: int,
                  norm: tuple) -> np.ndarray:
@@ -167,24 +191,28 @@ class RandomTrees(Estimator):
             for tree in trees:
                 node = place[grove.places(x, tree)]
                 inside = np.flatnonzero(node >= 0)
+                if not len(inside):
+                    continue
+                at = node[inside]
+                first, size = at.min() * draws, (at.max() - at.min() + 1) * draws
+                here = state["totals"][:, first : first + size]
                 for d in range(draws):
-                    at = node[inside]
                     f = chosen[at, d]
                     below = (f >= 0) & (x[inside, f] <= cuts[at, d])
-                    rows, key = inside[below], at[below] * draws + d
+                    rows, key = inside[below], at[below] * draws + d - first
                     for j in range(parts):
-                        state["totals"][j] += np.bincount(key, values[rows, j], n * draws).astype(np.int64)
+                        here[j] += np.bincount(key, values[rows, j], size).astype(np.int64)
 
         def flat(state: dict) -> tuple[np.ndarray, ...]:
-            totals = state["totals"].T.ravel()
-            cells = np.flatnonzero(totals)
-            nothing = np.zeros(len(cells))
+            totals = folded(state["totals"].T.reshape(n, draws * parts), 0)
+            cells = np.flatnonzero(totals.any(axis=1))
+            nothing = np.zeros((len(cells), SLOTS))
             return cells, totals[cells], nothing, nothing
 
         table = self._summed(blocks, width, add, flat)
-        out = np.zeros(n * draws * parts)
-        out[np.array(table["cell"])] = np.array(table["total"], float)
-        return out.reshape(n, draws, parts) / UNIT
+        out = np.zeros((n * lines_of(draws * parts), SLOTS))
+        out[np.array(table["cell"])] = self._stacked(table, TOTALS)
+        return out.reshape(n, -1)[:, : draws * parts].reshape(n, draws, parts) / UNIT
 
     def _drawn(self, tree: int, level: int, least: np.ndarray, most: np.ndarray, draws: int) -> tuple[np.ndarray, np.ndarray]:
         """(features, thresholds)[node, draw] of one tree's open nodes; -1 where fewer features vary."""
