@@ -101,7 +101,7 @@ class RandomTrees(Estimator):
             values = ((label - centre) / scale * weight)[:, None]
         return np.rint(np.column_stack([weight, values]) * UNIT)
 
-    def _blocks(self, df: DataFrame, width: int) -> DataFrame:
+    def _blocks(self, df: DataFrame, n_rows: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(0, batch.num_rows, BLOCK_ROWS):
@@ -112,8 +112,9 @@ class RandomTrees(Estimator):
         weight = col(WEIGHT).cast("double") if WEIGHT in df.columns else F.lit(1.0)
         rows = df.select(vector_to_array(FEATURES).alias("x"), col(LABEL).cast("double").alias("label"), weight.alias("weight"))
         blocks = rows.mapInArrow(run, "x binary, label binary, weight binary")
-        # A small file is one partition; its blocks are dealt to all cores once, as every level passes over them.
-        return durable(blocks.repartition(max(blocks.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))).persist()
+        # Every level passes over the blocks: they are dealt once to as many tasks as there are cores, but to no more than full blocks.
+        tasks = max(rows.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+        return durable(blocks.repartition(max(1, min(tasks, -(-n_rows // BLOCK_ROWS))))).persist()
 
     @staticmethod
     def _summed(blocks: DataFrame, width: int, add, flat) -> pa.Table:
@@ -227,12 +228,12 @@ class RandomTrees(Estimator):
         return np.where(np.isfinite(order[rows, chosen]), chosen, -1), cuts
 
     def _fit(self, df: DataFrame) -> RandomTreesModel:
-        first = df.select(F.max(F.size(vector_to_array(FEATURES))), F.avg(col(LABEL)), F.max(F.abs(col(LABEL)))).first()
+        first = df.select(F.max(F.size(vector_to_array(FEATURES))), F.avg(col(LABEL)), F.max(F.abs(col(LABEL))), F.count("*")).first()
         width = first[0] or 0
         centre, scale = (0.0, 1.0) if self.n_classes or first[1] is None else (float(first[1]), max(float(first[2]) + abs(float(first[1])), 1e-300))
         norm, parts = (centre, scale), (self.n_classes or 1) + 1
         draws = min(width, max(1, int(math.sqrt(width)))) if self.features == "sqrt" else width
-        blocks = self._blocks(df, width)
+        blocks = self._blocks(df, first[3])
         tree_of = np.arange(self.trees)
         feature, threshold, left = np.full(self.trees, -1), np.zeros(self.trees), np.full(self.trees, -1)
         values = np.zeros((self.trees, parts - 1))
