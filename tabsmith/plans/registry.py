@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.classification import LogisticRegression
 
+from tabsmith.plans.bagged_forest import BaggedForest
 from tabsmith.plans.boosting import MultinomialBoosting
 from tabsmith.plans.clusters import JointKMeans
 from tabsmith.plans.estimators import (
@@ -30,7 +30,7 @@ from tabsmith.plans.preprocess import FEATURES
 from tabsmith.plans.random_trees import RandomTrees
 
 TASKS = ("Classification", "Regression", "Clustering")
-DEEPEST = 30  # the deepest tree Spark grows
+DEEPEST = 30  # levels of a forest without a depth
 
 
 @dataclass(frozen=True)
@@ -103,22 +103,11 @@ def _logistic(p: dict, ctx: FitContext) -> Estimator:
     )
 
 
-def _tree_params(p: dict) -> dict:
-    depth = p.get("max_depth")
-    return {
-        "numTrees": p["n_estimators"],
-        "maxDepth": DEEPEST if depth is None else min(depth, DEEPEST),
-        "minInstancesPerNode": max(1, p.get("min_samples_split", 2) // 2),
-        "seed": p["random_state"],
-    }
-
-
-def _forest(extra: dict, classify: bool) -> Factory:
+def _forest(features: str, classify: bool) -> Factory:
     def make(p: dict, ctx: FitContext) -> Estimator:
-        common = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION} | _tree_params(p) | extra
-        if classify:
-            return RandomForestClassifier(weightCol=WEIGHT, probabilityCol=PROBABILITY, rawPredictionCol=RAW, **common)
-        return RandomForestRegressor(**common)
+        depth = p.get("max_depth")
+        return BaggedForest(ctx.n_classes if classify else None, p["n_estimators"], DEEPEST if depth is None else min(depth, DEEPEST),
+                            p.get("min_samples_split", 2), features, p["random_state"], p.get("class_weight") == "balanced_subsample")
 
     return make
 
@@ -229,9 +218,9 @@ def default_registry(seed: int = 42, n_clusters: int = 3, overrides: Mapping[str
     add("Classification", "LogisticRegression", _logistic, {"max_iter": 2500, "class_weight": "balanced"},
         {"C": [0.01, 0.1, 1.0, 5.0, 10.0]})
     forest = {"n_estimators": 300, **state}
-    add("Classification", "RandomForest", _forest({"featureSubsetStrategy": "sqrt"}, True),
-        {**forest, "class_weight": "balanced"}, TREES)
-    add("Regression", "RandomForest", _forest({"featureSubsetStrategy": "all"}, False), forest, TREES)
+    add("Classification", "RandomForest", _forest("sqrt", True),
+        {**forest, "class_weight": "balanced_subsample"}, TREES)
+    add("Regression", "RandomForest", _forest("all", False), forest, TREES)
     add("Classification", "ExtraTrees", _random_trees("sqrt", True),
         {**forest, "class_weight": "balanced"}, TREES)
     add("Regression", "ExtraTrees", _random_trees("all", False), forest, TREES)
