@@ -5,7 +5,8 @@ no bag is stored, and none depends on partitions. With ``balanced`` the classes
 
 A level is one pass over the packed rows for each group of open nodes: tasks count the bag's rows and label sums per (node, drawn feature, bin),
 Spark adds up over tasks, and the driver, which holds sums of open nodes and the trees only, takes the best cut of each node. The sums of both
-children follow from it. Groups are cut so that a task's sums stay below ``CELLS`` numbers, however many nodes are open.
+children follow from it. Groups are cut so that a task's sums stay below ``CELLS`` numbers, however many nodes are open. Nodes of at most
+``LOCAL_ROWS`` rows leave the levels: in the end one shuffle brings the rows of each such node together, and a task grows what is below it.
 
 A node whose drawn features do not vary is tried again with the next features of its own order, until none is left. It is a leaf with fewer
 than ``least_rows`` different rows, one label, no feature that varies, or the depth asked for. An empty bag answers with the mean of the others.
@@ -33,8 +34,12 @@ from tabsmith.session import durable
 
 PURE = 1e-10
 """Spread of scaled labels (least 0, most 1) below which a node has one label."""
+LOCAL_ROWS = 2_000
+"""Different rows of a node that one task finishes."""
+ROWS_PER_TASK = 200_000
 SLOTS = 8
 """Numbers that a row of partial sums carries at most."""
+SUBTREE = ["feature", "cut", "left", "value", "gain"]
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
 
@@ -64,6 +69,159 @@ class Open:
         return Open(*(np.concatenate([a, b]) for a, b in zip(vars(self).values(), vars(other).values())))
 
 
+class Rules:
+    """What a forest asks of its nodes; sums are [.., part]: different rows, then the label sums of classes, or weight, sum and square of numbers."""
+
+    def __init__(self, n_classes: int | None, depth: int, least_rows: int, draws: int, width: int, balanced: bool) -> None:
+        self.n_classes, self.depth, self.least_rows, self.draws, self.width, self.balanced = n_classes, depth, least_rows, draws, width, balanced
+        self.parts = 1 + (n_classes or 3)
+
+    def add(self, sums: np.ndarray, cell: np.ndarray, label: np.ndarray, unit: np.ndarray) -> None:
+        """Add rows to sums[part, cell]: labels are class numbers or scaled numbers, ``unit`` whole weights."""
+        cells = sums.shape[1]
+        sums[0] += np.bincount(cell, minlength=cells)
+        if self.n_classes:
+            by_class = np.bincount(cell * self.n_classes + label.astype(np.int64), unit, cells * self.n_classes)
+            sums[1:] += by_class.reshape(-1, self.n_classes).T.astype(np.int64)
+        else:
+            for j in range(3):
+                sums[j + 1] += np.bincount(cell, np.rint(unit * label**j), cells).astype(np.int64)
+
+    def weighed(self, sums: np.ndarray, class_weights: np.ndarray) -> np.ndarray:
+        """(weight, label sums) under the weights of each node's tree, for sums[node, .., part] and class_weights[node, class]."""
+        if not self.n_classes:
+            return sums[..., 1:3]
+        shape = (len(sums), *[1] * (sums.ndim - 2), self.n_classes)
+        by_class = sums[..., 1:] * class_weights.reshape(shape)
+        return np.concatenate([by_class.sum(axis=-1, keepdims=True), by_class], axis=-1)
+
+    def mixed(self, sums: np.ndarray) -> np.ndarray:
+        """Whether the rows behind sums[node, part] have more than one label."""
+        if self.n_classes:
+            return (sums[:, 1:] > 0).sum(axis=1) > 1
+        weight = np.maximum(sums[:, 1], 1e-300)
+        return sums[:, 3] / weight - (sums[:, 2] / weight) ** 2 > PURE
+
+    def values(self, sums: np.ndarray, class_weights: np.ndarray) -> np.ndarray:
+        weighed = self.weighed(sums, class_weights)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(weighed[:, :1] > 0, weighed[:, 1:] / weighed[:, :1], 0.0)
+
+    def class_weights(self, roots: np.ndarray) -> np.ndarray:
+        """[tree, class] from the bags' sums: rows / (classes * rows of the class), 1 where bags are not balanced."""
+        if not self.balanced:
+            return np.ones((len(roots), self.n_classes or 1))
+        counts = roots[:, 1:]
+        present = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(counts > 0, counts.sum(axis=1, keepdims=True) / (present * counts), 0.0)
+
+    def may_split(self, sums: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        return self.mixed(sums) & (sums[:, 0] >= max(self.least_rows, 2)) & (depth < self.depth)
+
+
+class Growth:
+    """Trees while they grow. ``luck(level)`` is the generator that orders the features of a level's new nodes, ``set_aside(rows)`` says which
+    nodes are left to others."""
+
+    def __init__(self, rules: Rules, trees: int, depth: int, luck, set_aside, weights: np.ndarray | None = None) -> None:
+        self.rules, self.luck, self.set_aside = rules, luck, set_aside
+        self.grove = Grove(np.arange(trees), np.full(trees, -1), np.zeros(trees), np.full(trees, -1))
+        self.values, self.gains = np.zeros((trees, rules.n_classes or 1)), np.zeros((trees, rules.width))
+        self.depth, self.level, self.trees = np.full(trees, depth), 0, trees
+        self.filled, self.given = np.zeros(trees, bool), weights is not None
+        self.weights = weights if self.given else np.ones((trees, rules.n_classes or 1))
+        every = np.arange(trees)
+        self.opened = Open(every, every, self._ordered(trees), np.zeros(trees, int))
+        self.aside = self.opened.part(slice(0, 0))
+
+    def _ordered(self, n: int) -> np.ndarray:
+        """An own order of the features for each of n new nodes."""
+        return np.argsort(self.luck(self.level).random((n, self.rules.width)), axis=1, kind="stable")
+
+    def _roots(self, group: Open, whole: np.ndarray) -> np.ndarray:
+        """Note what the first sums say of the roots in a group; whether each node of it may be split."""
+        rules, roots = self.rules, group.node < self.trees
+        if not roots.any():
+            return ~roots
+        self.filled[group.tree[roots]] = whole[roots, 0] > 0
+        if not self.given:
+            self.weights[group.tree[roots]] = rules.class_weights(whole[roots])
+        self.values[group.node[roots]] = rules.values(whole[roots], self.weights[group.tree[roots]])
+        return ~roots | rules.may_split(whole, self.depth[group.node])
+
+    def run(self, histograms) -> None:
+        """Grow all open nodes; ``histograms(opened, chosen)`` gives sums[node, draw, bin, part] of their rows."""
+        rules, draws, width = self.rules, self.rules.draws, self.rules.width
+        size = max(1, CELLS // (draws * BINS * rules.parts))
+        while len(self.opened.node):
+            again, grown = self.opened.part(slice(0, 0)), []
+            for start in range(0, len(self.opened.node), size):
+                group = self.opened.part(slice(start, start + size))
+                at = group.tried[:, None] + np.arange(draws)
+                chosen = np.where(at < width, np.take_along_axis(group.order, np.minimum(at, width - 1), axis=1), -1)
+                sums = histograms(group, chosen)
+                whole = sums[:, 0].sum(axis=1)
+                able = self._roots(group, whole)
+                group, chosen, sums, whole = group.part(able), chosen[able], sums[able], whole[able]
+                if not len(group.node):
+                    continue
+                left = np.cumsum(sums, axis=2)[:, :, :-1]
+                right = whole[:, None, None] - left
+                own = self.weights[group.tree]
+                gain = purity(rules.weighed(left, own)) + purity(rules.weighed(right, own)) - purity(rules.weighed(whole, own))[:, None, None]
+                gain = np.where((left[..., 0] > 0) & (right[..., 0] > 0) & (chosen >= 0)[:, :, None], gain, -np.inf).reshape(len(gain), -1)
+                best = gain.argmax(axis=1)
+                rows = np.arange(len(best))
+                found = np.isfinite(gain[rows, best])
+                more = ~found & (group.tried + draws < width)
+                again = again.with_more(Open(group.node[more], group.tree[more], group.order[more], group.tried[more] + draws))
+                group, rows, best = group.part(found), rows[found], best[found]
+                draw, cut = np.divmod(best, BINS - 1)
+                feature = chosen[rows, draw]
+                np.add.at(self.gains, (group.tree, feature), np.maximum(gain[rows, best], 0.0))
+                grown.append((group.node, group.tree, feature, cut, left[rows, draw, cut], right[rows, draw, cut]))
+            self.level += 1
+            self.opened = again
+            if any(len(g[0]) for g in grown):
+                self._opened(*(np.concatenate(p) for p in zip(*grown)))
+
+    def _opened(self, node: np.ndarray, tree: np.ndarray, feature: np.ndarray, cut: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Hang the children under the nodes that were split."""
+        rules, n = self.rules, len(self.grove.feature)
+        self.grove.feature[node], self.grove.threshold[node], self.grove.left[node] = feature, cut, n + 2 * np.arange(len(node))
+        children, owners = np.stack([low, high], axis=1).reshape(2 * len(node), -1), np.repeat(tree, 2)
+        self.depth = np.concatenate([self.depth, np.repeat(self.depth[node] + 1, 2)])
+        self.append(np.full(len(owners), -1), np.zeros(len(owners)), np.full(len(owners), -1), rules.values(children, self.weights[owners]))
+        able = rules.may_split(children, self.depth[n:])
+        count = int(able.sum())
+        new = Open(n + np.flatnonzero(able), owners[able], self._ordered(count), np.zeros(count, int))
+        local = self.set_aside(children[able, 0])
+        self.aside = self.aside.with_more(new.part(local))
+        # A tree's nodes lie together in a group, so that a task's sums for it are one short stretch.
+        every = self.opened.with_more(new.part(~local))
+        self.opened = every.part(np.argsort(every.tree, kind="stable"))
+
+    def append(self, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, values: np.ndarray) -> None:
+        old = self.grove
+        self.grove = Grove(old.roots, np.concatenate([old.feature, feature]), np.concatenate([old.threshold, threshold]), np.concatenate([old.left, left]))
+        self.values = np.concatenate([self.values, values])
+
+
+def counted(rules: Rules, bins: np.ndarray, label: np.ndarray, unit: np.ndarray, node: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Sums[node, draw, bin, part] of rows held in memory; ``node`` is -1 for rows in no node."""
+    n, draws = chosen.shape
+    sums = np.zeros((rules.parts, n * draws * BINS), np.int64)
+    inside = np.flatnonzero(node >= 0)
+    for d in range(draws):
+        f = chosen[node[inside], d]
+        rows, f = inside[f >= 0], f[f >= 0]
+        rules.add(sums, (node[rows] * draws + d) * BINS + bins[rows, f], label[rows], unit[rows])
+    out = sums.T.reshape(n, draws, BINS, rules.parts).astype(float)
+    out[..., 1:] /= UNIT
+    return out
+
+
 class BaggedForest(Estimator):
     """``features`` of a split: ``sqrt`` or ``all``. Without ``n_classes`` the trees predict numbers."""
 
@@ -73,11 +231,6 @@ class BaggedForest(Estimator):
         self.n_classes, self.trees, self.depth, self.least_rows, self.features = n_classes, trees, depth, least_rows, features
         self.seed, self.balanced = seed, balanced and n_classes is not None
 
-    @property
-    def parts(self) -> int:
-        """Numbers per cell: different rows, then the label sums of classes, or weight, sum and square of numbers."""
-        return 1 + (self.n_classes or 3)
-
     @staticmethod
     def _edges(df: DataFrame) -> list[list[float]]:
         """Cuts of every feature: its values where it has fewer than ``BINS``, else its least value and even quantiles."""
@@ -125,50 +278,48 @@ class BaggedForest(Estimator):
         tasks = max(rows.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
         return durable(blocks.repartition(max(1, min(tasks, -(-n_rows // BLOCK_ROWS))))).persist()
 
-    def _histograms(self, blocks: DataFrame, grove: Grove, opened: Open, chosen: np.ndarray, width: int, norm: tuple[float, float]) -> np.ndarray:
+    def _taken(self, norm: tuple[float, float], grove: Grove, place: np.ndarray, trees: list[int]):
+        """Function from a block of ``width`` features to its bags' rows in the wanted nodes: (place, bins, scaled label, whole weight) per tree."""
+        n_classes, seed, (centre, scale) = self.n_classes, self.seed, norm
+
+        def read(block, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+            label, weight = (np.frombuffer(v.as_buffer()) for v in block[1:3])
+            keys = np.frombuffer(block[3].as_buffer(), np.int64)
+            bins = np.frombuffer(block[0].as_buffer(), np.uint8).reshape(len(label), width)
+            scaled = label if n_classes else (label - centre) / scale
+            for tree in trees:
+                times = bag_counts(keys, seed, tree)
+                inside = np.flatnonzero(times)
+                node = place[grove.places(bins[inside], tree)]
+                inside, node = inside[node >= 0], node[node >= 0]
+                if len(inside):
+                    yield node, bins[inside], scaled[inside], np.rint(times[inside] * weight[inside] * UNIT)
+
+        return read
+
+    def _histograms(self, blocks: DataFrame, rules: Rules, grove: Grove, opened: Open, chosen: np.ndarray, norm: tuple[float, float]) -> np.ndarray:
         """Sums[node, draw, bin, part] of the bags' rows in the open nodes; a chosen feature of -1 is no draw."""
-        (n, draws), parts, n_classes, seed = chosen.shape, self.parts, self.n_classes, self.seed
+        (n, draws), parts, width = chosen.shape, rules.parts, rules.width
         place = np.full(len(grove.feature), -1)
         place[opened.node] = np.arange(n)
-        trees, lines, slots = np.unique(opened.tree).tolist(), -(-parts // SLOTS), min(parts, SLOTS)
+        read = self._taken(norm, grove, place, np.unique(opened.tree).tolist())
+        lines, slots = -(-parts // SLOTS), min(parts, SLOTS)
         names = [f"t{i}" for i in range(slots)]
-        centre, scale = norm
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = None
             for batch in batches:
                 for block in zip(*batch.columns):
-                    label, weight = (np.frombuffer(v.as_buffer()) for v in block[1:3])
-                    keys = np.frombuffer(block[3].as_buffer(), np.int64)
-                    bins = np.frombuffer(block[0].as_buffer(), np.uint8).reshape(len(label), width)
                     if sums is None:
                         sums = np.zeros((parts, n * draws * BINS), np.int64)
-                    scaled = np.zeros(len(label)) if n_classes else (label - centre) / scale
-                    for tree in trees:
-                        times = bag_counts(keys, seed, tree)
-                        inside = np.flatnonzero(times)
-                        node = place[grove.places(bins[inside], tree)]
-                        inside, node = inside[node >= 0], node[node >= 0]
-                        if not len(inside):
-                            continue
+                    for node, bins, label, unit in read(block, width):
                         first, size = int(node.min()), int(node.max() - node.min()) + 1
                         here = sums[:, first * draws * BINS : (first + size) * draws * BINS]
-                        unit = np.rint(times[inside] * weight[inside] * UNIT)
-                        y = scaled[inside]
                         for d in range(draws):
                             f = chosen[node, d]
-                            drawn = f >= 0
-                            rows = inside[drawn]
-                            cell = ((node[drawn] - first) * draws + d) * BINS + bins[rows, f[drawn]]
-                            here[0] += np.bincount(cell, minlength=here.shape[1])
-                            if n_classes:
-                                both = cell * n_classes + label[rows].astype(np.int64)
-                                add = np.bincount(both, unit[drawn], here.shape[1] * n_classes)
-                                here[1:] += add.reshape(-1, n_classes).T.astype(np.int64)
-                            else:
-                                for j in range(3):
-                                    value = np.rint(unit[drawn] * y[drawn] ** j)
-                                    here[j + 1] += np.bincount(cell, value, here.shape[1]).astype(np.int64)
+                            drawn = np.flatnonzero(f >= 0)
+                            cell = ((node[drawn] - first) * draws + d) * BINS + bins[drawn, f[drawn]]
+                            rules.add(here, cell, label[drawn], unit[drawn])
             if sums is None:
                 return
             seen = np.flatnonzero(sums[0])
@@ -188,106 +339,80 @@ class BaggedForest(Estimator):
         out[..., 1:] /= UNIT
         return out
 
-    def _weighed(self, sums: np.ndarray, class_weights: np.ndarray) -> np.ndarray:
-        """(weight, label sums) under the weights of each node's tree, for sums[node, .., part] and class_weights[node, class]."""
-        if not self.n_classes:
-            return sums[..., 1:3]
-        shape = (len(sums), *[1] * (sums.ndim - 2), self.n_classes)
-        by_class = sums[..., 1:] * class_weights.reshape(shape)
-        return np.concatenate([by_class.sum(axis=-1, keepdims=True), by_class], axis=-1)
-
-    def _mixed(self, sums: np.ndarray) -> np.ndarray:
-        """Whether the rows behind sums[node, part] have more than one label."""
-        if self.n_classes:
-            return (sums[:, 1:] > 0).sum(axis=1) > 1
-        weight = np.maximum(sums[:, 1], 1e-300)
-        return sums[:, 3] / weight - (sums[:, 2] / weight) ** 2 > PURE
-
-    def _values(self, sums: np.ndarray, class_weights: np.ndarray) -> np.ndarray:
-        weighed = self._weighed(sums, class_weights)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(weighed[:, :1] > 0, weighed[:, 1:] / weighed[:, :1], 0.0)
-
-    def class_weights(self, roots: np.ndarray) -> np.ndarray:
-        """[tree, class] from the bags' sums: rows / (classes * rows of the class), 1 where bags are not balanced."""
-        if not self.balanced:
-            return np.ones((len(roots), self.n_classes or 1))
-        counts = roots[:, 1:]
-        present = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(counts > 0, counts.sum(axis=1, keepdims=True) / (present * counts), 0.0)
+    def _local(self, blocks: DataFrame, rules: Rules, growth: Growth, norm: tuple[float, float], n_rows: int) -> pa.Table:
+        """Subtrees below the nodes set aside, each grown by the task that gets the node's rows."""
+        grove, aside, width = growth.grove, growth.aside, rules.width
+        place = np.full(len(grove.feature), -1)
+        place[aside.node] = aside.node
+        read, seed = self._taken(norm, grove, place, np.unique(aside.tree).tolist()), self.seed
+        owner, depth = dict(zip(aside.node.tolist(), aside.tree.tolist())), dict(zip(aside.node.tolist(), growth.depth[aside.node].tolist()))
+        weights, trees = growth.weights, growth.trees
 
-    def _ordered(self, level: int, n: int, width: int) -> np.ndarray:
-        """An own order of the features for each of n new nodes."""
-        return np.argsort(np.random.default_rng([self.seed, level, 1]).random((n, width)), axis=1, kind="stable")
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in zip(*batch.columns):
+                    for node, bins, label, unit in read(block, width):
+                        ends = pa.py_buffer(np.arange(0, (len(node) + 1) * width, width, dtype=np.int32).tobytes())
+                        packed = pa.Array.from_buffers(pa.binary(), len(node), [None, ends, pa.py_buffer(np.ascontiguousarray(bins).tobytes())])
+                        yield pa.RecordBatch.from_arrays([pa.array(node), packed, pa.array(label), pa.array(unit)], ["node", "bins", "label", "unit"])
+
+        def grow(key: tuple, table: pa.Table) -> pa.Table:
+            node = key[0].as_py()
+            bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(table.num_rows, width)
+            label, unit = np.array(table["label"]), np.array(table["unit"])
+            given = None if node < trees else weights[owner[node]][None]
+            small = Growth(rules, 1, depth[node], lambda level: np.random.default_rng([seed, level, 2, node]), lambda n: np.zeros(len(n), bool), given)
+
+            def histograms(opened: Open, chosen: np.ndarray) -> np.ndarray:
+                where = np.full(len(small.grove.feature), -1)
+                where[opened.node] = np.arange(len(opened.node))
+                return counted(rules, bins, label, unit, where[small.grove.places(bins, 0)], chosen)
+
+            small.run(histograms)
+            found = [small.grove.feature.astype(np.int32), small.grove.threshold.astype(np.int32), small.grove.left.astype(np.int64), small.values, small.gains[0]]
+            return pa.table([pa.array([node]), *[pa.array([v.tobytes()], pa.binary()) for v in found]], names=["node", *SUBTREE])
+
+        tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-n_rows * self.trees // ROWS_PER_TASK))
+        spread = blocks.mapInArrow(rows, "node long, bins binary, label double, unit double").repartition(tasks, "node")
+        return spread.groupBy("node").applyInArrow(grow, ", ".join(["node long", *[f"{c} binary" for c in SUBTREE]])).toArrow()
+
+    def _hang(self, growth: Growth, found: pa.Table) -> None:
+        """Put the subtrees under their nodes."""
+        order = np.argsort(np.array(found["node"]), kind="stable")
+        kinds = (np.int32, np.int32, np.int64, float, float)
+        tree_of = dict(zip(growth.aside.node.tolist(), growth.aside.tree.tolist()))
+        new, base = [], len(growth.grove.feature)
+        for row in found.take(pa.array(order)).to_pylist():
+            node = row["node"]
+            feature, cut, left, values, gains = (np.frombuffer(row[c], k) for c, k in zip(SUBTREE, kinds))
+            values, left = values.reshape(len(feature), -1), np.where(left > 0, left + base - 1, -1)
+            growth.grove.feature[node], growth.grove.threshold[node], growth.grove.left[node] = feature[0], cut[0], left[0]
+            growth.values[node] = values[0]
+            growth.gains[tree_of[node]] += gains
+            if node < growth.trees:
+                growth.filled[node] = True
+            new.append((feature[1:], cut[1:].astype(float), left[1:], values[1:]))
+            base += len(feature) - 1
+        if new:
+            growth.append(*(np.concatenate(p) for p in zip(*new)))
 
     def _fit(self, df: DataFrame) -> RandomTreesModel:
         first = df.agg(F.min(col(LABEL)), F.max(col(LABEL)), F.count("*")).first()
         edges = self._edges(df)
-        width = len(edges)
+        width, n_rows = len(edges), first[2]
         norm = (0.0, 1.0) if self.n_classes or first[0] is None else (float(first[0]), float(first[1] - first[0]) or 1.0)
         draws = max(1, min(width, int(math.sqrt(width)) if self.features == "sqrt" else width))
-        blocks = self._blocks(df, edges, first[2])
-        grove = Grove(np.arange(self.trees), np.full(self.trees, -1), np.zeros(self.trees), np.full(self.trees, -1))
-        values, gains = np.zeros((self.trees, self.n_classes or 1)), np.zeros((self.trees, max(width, 1)))
-        bags, weights = np.zeros(self.trees, bool), np.ones((self.trees, self.n_classes or 1))
-        opened = Open(np.arange(self.trees), np.arange(self.trees), self._ordered(0, self.trees, width), np.zeros(self.trees, int))
-        depth_of, level = np.zeros(self.trees, int), 0
-        size = max(1, CELLS // (draws * BINS * self.parts))
-        while len(opened.node) and width and first[2]:
-            again, grown = [], []
-            for start in range(0, len(opened.node), size):
-                group = opened.part(slice(start, start + size))
-                at = group.tried[:, None] + np.arange(draws)
-                chosen = np.where(at < width, np.take_along_axis(group.order, np.minimum(at, width - 1), axis=1), -1)
-                sums = self._histograms(blocks, grove, group, chosen, width, norm)
-                whole = sums[:, 0].sum(axis=1)
-                roots = group.node < self.trees
-                if roots.any():
-                    bags[group.tree[roots]] = whole[roots, 0] > 0
-                    weights[group.tree[roots]] = self.class_weights(whole[roots])
-                    values[group.node[roots]] = self._values(whole[roots], weights[group.tree[roots]])
-                    able = ~roots | (self._mixed(whole) & (whole[:, 0] >= max(self.least_rows, 2)) & (self.depth > 0))
-                    group, chosen, sums, whole = group.part(able), chosen[able], sums[able], whole[able]
-                if not len(group.node):
-                    continue
-                left = np.cumsum(sums, axis=2)[:, :, :-1]
-                right = whole[:, None, None] - left
-                own = weights[group.tree]
-                gain = purity(self._weighed(left, own)) + purity(self._weighed(right, own)) - purity(self._weighed(whole, own))[:, None, None]
-                gain = np.where((left[..., 0] > 0) & (right[..., 0] > 0) & (chosen >= 0)[:, :, None], gain, -np.inf).reshape(len(gain), -1)
-                best = gain.argmax(axis=1)
-                rows = np.arange(len(best))
-                found = np.isfinite(gain[rows, best])
-                more = ~found & (group.tried + draws < width)
-                again.append(Open(group.node[more], group.tree[more], group.order[more], group.tried[more] + draws))
-                group, rows, best = group.part(found), rows[found], best[found]
-                draw, cut = np.divmod(best, BINS - 1)
-                feature = chosen[rows, draw]
-                np.add.at(gains, (group.tree, feature), np.maximum(gain[rows, best], 0.0))
-                grown.append((group.node, group.tree, feature, cut, left[rows, draw, cut], right[rows, draw, cut]))
-            node, tree, feature, cut, low, high = (np.concatenate(p) for p in zip(*grown)) if grown else [np.zeros(0, int)] * 6
-            opened = again[0] if again else opened.part(slice(0, 0))
-            for other in again[1:]:
-                opened = opened.with_more(other)
-            level += 1
-            if not len(node):
-                continue
-            n = len(grove.feature)
-            grove.feature[node], grove.threshold[node], grove.left[node] = feature, cut, n + 2 * np.arange(len(node))
-            children = np.stack([low, high], axis=1).reshape(2 * len(node), -1)
-            owners = np.repeat(tree, 2)
-            depth_of = np.concatenate([depth_of, np.repeat(depth_of[node] + 1, 2)])
-            values = np.concatenate([values, self._values(children, weights[owners])])
-            none = np.full(len(owners), -1)
-            grove = Grove(grove.roots, np.concatenate([grove.feature, none]), np.concatenate([grove.threshold, np.zeros(len(owners))]),
-                          np.concatenate([grove.left, none]))
-            able = self._mixed(children) & (children[:, 0] >= max(self.least_rows, 2)) & (depth_of[n:] < self.depth)
-            new = Open(n + np.flatnonzero(able), owners[able], self._ordered(level, int(able.sum()), width), np.zeros(int(able.sum()), int))
-            opened = opened.with_more(new)
-            # A tree's nodes lie together in a group, so that a task's sums for it are one short stretch.
-            opened = opened.part(np.argsort(opened.tree, kind="stable"))
-        blocks.unpersist()
+        rules = Rules(self.n_classes, self.depth, self.least_rows, draws, width, self.balanced)
+        growth = Growth(rules, self.trees, 0, lambda level: np.random.default_rng([self.seed, level, 1]), lambda rows: rows <= LOCAL_ROWS)
+        if width and n_rows:
+            blocks = self._blocks(df, edges, n_rows)
+            if n_rows <= LOCAL_ROWS:
+                growth.aside, growth.opened = growth.opened, growth.aside
+            growth.run(lambda opened, chosen: self._histograms(blocks, rules, growth.grove, opened, chosen, norm))
+            if len(growth.aside.node):
+                self._hang(growth, self._local(blocks, rules, growth, norm, n_rows))
+            blocks.unpersist()
+        grove, values, gains, bags = growth.grove, growth.values, growth.gains, growth.filled
         if not bags.all():
             values[: self.trees][~bags] = values[: self.trees][bags].mean(axis=0) if bags.any() else 1.0 / (self.n_classes or 1)
         if not self.n_classes:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tabsmith.plans import bagged_forest
-from tabsmith.plans.bagged_forest import BaggedForest, bag_counts
+from tabsmith.plans.bagged_forest import BaggedForest, Rules, bag_counts
 from tabsmith.plans.random_trees import RandomTreesModel
 from tests.test_random_trees import frame, points, predictions
 
@@ -54,8 +54,9 @@ def few_values(n=120):
     return np.round(np.column_stack([x[:, 0] * 4, x[:, 1], x[:, 2], x[:, 3] * 3])), y, w
 
 
-@pytest.mark.parametrize("balanced,depth", [(False, 4), (True, 3), (True, 30)])
-def test_one_tree_of_classes_equals_a_plain_form(spark, balanced, depth):
+@pytest.mark.parametrize("balanced,depth,local", [(False, 4, 0), (True, 3, 2000), (True, 30, 30), (True, 30, 0)])
+def test_one_tree_of_classes_equals_a_plain_form(spark, monkeypatch, balanced, depth, local):
+    monkeypatch.setattr(bagged_forest, "LOCAL_ROWS", local)
     x, y, w = few_values()
     model = BaggedForest(3, 1, depth, 2, "all", 7, balanced).fit(frame(spark, x, y, w))
     leaves, weight = plain_tree(x, y, w, bag_counts(row_keys(spark, len(x)), 7, 0), "balanced" if balanced else "given", depth)
@@ -65,7 +66,9 @@ def test_one_tree_of_classes_equals_a_plain_form(spark, balanced, depth):
         assert all(np.allclose(got[i]["_probability"].toArray(), share, atol=1e-6) for i in rows)
 
 
-def test_one_tree_of_numbers_equals_a_plain_form(spark):
+@pytest.mark.parametrize("local", [0, 40, 2000])
+def test_one_tree_of_numbers_equals_a_plain_form(spark, monkeypatch, local):
+    monkeypatch.setattr(bagged_forest, "LOCAL_ROWS", local)
     x, _, w = few_values()
     y = np.round(1000 + 50 * x[:, 0] - 20 * x[:, 1] ** 2 + 3 * x[:, 3], 2)
     model = BaggedForest(None, 1, 3, 2, "all", 5).fit(frame(spark, x, y, w))
@@ -84,11 +87,11 @@ def test_bags_are_poisson_and_independent(spark):
 
 def test_classes_of_every_bag_weigh_the_same(spark):
     draw = np.random.default_rng(0)
-    forest = BaggedForest(3, 20, balanced=True)
+    rules = Rules(3, 30, 2, 1, 1, True)
     counts = draw.integers(1, 500, (20, 3)).astype(float)
     counts[4, 1] = 0
     roots = np.column_stack([counts.sum(axis=1), counts])
-    weighed = counts * forest.class_weights(roots)
+    weighed = counts * rules.class_weights(roots)
     for row, whole in zip(weighed, counts.sum(axis=1)):
         assert np.allclose(row[row > 0], whole / (row > 0).sum())
     # A class of one row in twenty: roots of balanced bags hold each class to the same share.
@@ -100,7 +103,9 @@ def test_classes_of_every_bag_weigh_the_same(spark):
     assert np.all(np.array(plain.state["values"])[:5, 1] < 0.15)
 
 
-def test_forests_do_not_depend_on_partitions_or_groups_and_are_saved(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("local", [20, 2000])
+def test_forests_do_not_depend_on_partitions_or_groups_and_are_saved(spark, tmp_path, monkeypatch, local):
+    monkeypatch.setattr(bagged_forest, "LOCAL_ROWS", local)
     x, y, w = points()
     whole = BaggedForest(3, 6, 5).fit(frame(spark, x, y, w, 1))
     monkeypatch.setattr(bagged_forest, "BLOCK_ROWS", 40)
@@ -111,8 +116,7 @@ def test_forests_do_not_depend_on_partitions_or_groups_and_are_saved(spark, tmp_
     assert [r["_probability"] for r in predictions(whole, df)] == [r["_probability"] for r in predictions(again, df)]
     assert abs(again.importances().sum() - 1) < 1e-9 and again.importances()[2] == 0
     monkeypatch.setattr(bagged_forest, "CELLS", 700)
-    split = BaggedForest(3, 6, 5).fit(frame(spark, x, y, w, 3))
-    assert [(f, t) for f, t in zip(split.state["feature"], split.state["threshold"])][:6] == list(zip(whole.state["feature"], whole.state["threshold"]))[:6]
+    assert BaggedForest(3, 6, 5).fit(frame(spark, x, y, w, 3)).state == whole.state
 
 
 def test_a_feature_is_found_among_constant_ones(spark):
