@@ -77,7 +77,7 @@ def _known(predictions, key: str, labels) -> DataFrame:
 def _register_predictions(task: str, model: str) -> None:
     name = f"predict_{task.lower()}_{model.lower()}"
     if task == "Regression":
-        on_parts = model in ("SVM", "GradientBoosting", "ExtraTrees")
+        on_parts = model in ("SVM", "GradientBoosting", "ExtraTrees", "RandomForest")
         key, label = ("p_partkey", "p_retailprice") if on_parts else ("s_suppkey", "s_acctbal")
         sql = _plain_held_out_sql("part" if on_parts else "supplier", key, label)
 
@@ -116,6 +116,14 @@ def extra_trees_status(spark, sf_dir):
     return _known(summary.runs["ExtraTrees"].predictions, "o_orderkey", ["F", "O", "P"])
 
 
+@query("forest_status",
+       f"SELECT k, l, true AS is_class, true AS adds_up FROM ({_held_out_sql('orders', 'o_orderkey', 'o_orderstatus')}) h")
+def forest_status(spark, sf_dir):
+    """All orders, ten levels deep, each bag balanced on its own."""
+    summary = _status(spark, sf_dir, ["RandomForest"], model_params={"RandomForest": {"max_depth": 10}})
+    return _known(summary.runs["RandomForest"].predictions, "o_orderkey", ["F", "O", "P"])
+
+
 def _board_rows(summary, task: str) -> DataFrame:
     """Each model's place, and whether its board values equal those recomputed from its predictions."""
     board = summary.leaderboard.collect()
