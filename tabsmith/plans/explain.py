@@ -15,6 +15,7 @@ from tabsmith.plans.boosting import MultinomialBoostingModel
 from tabsmith.plans.estimators import OneAgainstRestModel, RandomFeaturesModel
 from tabsmith.plans.fitted import FittedModel
 from tabsmith.plans.preprocess import FEATURES, feature_names
+from tabsmith.plans.random_trees import RandomTreesModel
 from tabsmith.plans.stages import ROW_ID
 
 IMPORTANCE = "feature string, importance double"
@@ -26,7 +27,7 @@ def _importances(model) -> np.ndarray | None:
         if any(isinstance(s, RandomFeaturesModel) for s in model.stages):
             return None  # weights of random features say nothing about the inputs
         return _importances(model.stages[-1])
-    if isinstance(model, (OneAgainstRestModel, MultinomialBoostingModel)):
+    if isinstance(model, (OneAgainstRestModel, MultinomialBoostingModel, RandomTreesModel)):
         return model.importances()
     if hasattr(model, "featureImportances"):
         return model.featureImportances.toArray()

@@ -81,12 +81,12 @@ def test_best_model_leads_the_board(classified):
 def test_importance_names_the_inputs(classified):
     runs = classified.runs
     assert runs["KNN"].importance is None and runs["SVM"].importance is None
-    for name in ("LogisticRegression", "RandomForest", "GradientBoosting"):
+    for name in ("LogisticRegression", "RandomForest", "ExtraTrees", "GradientBoosting"):
         table = runs[name].importance.collect()
         assert {r["feature"] for r in table} == {"x", "z", "c_u"} and table[0]["feature"] == "x"
 
 
-@pytest.mark.parametrize("name", ["LogisticRegression", "SVM", "KNN", "GradientBoosting"])
+@pytest.mark.parametrize("name", ["LogisticRegression", "RandomForest", "SVM", "KNN", "GradientBoosting"])
 def test_saved_models_score_alike(classified, rows, tmp_path, name):
     fitted = classified.runs[name].fitted
     fitted.save(str(tmp_path / "m"))
