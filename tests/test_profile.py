@@ -111,6 +111,21 @@ def test_running_totals_in_buckets(spark, rows_per_bucket):
     assert len(got) == 151
 
 
+def test_running_totals_over_very_many_buckets(spark):
+    df = spark.range(600_000).selectExpr("0 as g", "id * 3 as v", "cast(1 as bigint) as n")
+    got = running_totals(df, ["g"], "v", ["n"], rows_per_bucket=100).agg(F.count_if(F.col("cum_n") == F.col("v") / 3 + 1), F.count("*")).first()
+    assert tuple(got) == (600_000, 600_000), "cuts times drawn values exceed an int"
+
+
+@pytest.mark.parametrize("value", ["cast(id as string)", "timestamp_seconds(id * 77)", "date_add(date'2000-01-01', cast(id as int))", "id / 7",
+                                   "cast(id as decimal(12, 2))", "to_binary(lpad(hex(id), 8, '0'), 'hex')"])
+def test_buckets_of_every_type_follow_the_order(spark, value):
+    df = spark.range(900).selectExpr("id % 2 as g", f"{value} as v", "id as n")
+    got = running_totals(df, ["g"], "v", ["n"], rows_per_bucket=20)
+    plain = running_totals(df, ["g"], "v", ["n"])
+    assert got.count() == 900 and got.exceptAll(plain).count() == 0
+
+
 def test_running_totals_use_no_single_window_in_buckets(spark):
     df = spark.createDataFrame([(i,) for i in range(200)], "v int")
     plan = number_distinct(df, "v", rows_per_bucket=10)
