@@ -209,6 +209,14 @@ def test_large_table_is_sampled_to_size(spark):
     assert sample.exceptAll(sampling.sample_rows(df.repartition(5), 300, ["x"])).count() == 0
 
 
+def test_sample_is_exact_where_rows_share_a_key(spark):
+    df = spark.range(2000).selectExpr("id % 300 as k", "id as v", "map('a', id) as m", "array(id) as l")
+    for n in (100, 101, 500, 1999):
+        drawn = sampling.sample_rows(df.repartition(5), n, ["k"])
+        assert drawn.count() == n
+        assert {r["v"] for r in drawn.collect()} == {r["v"] for r in sampling.sample_rows(df, n, ["k"]).collect()}
+
+
 def test_small_table_is_not_reported_as_sampled(spark):
     df = spark.range(10).withColumnRenamed("id", "x")
     assert sampling.sample_if_large(df, ["x"]) == (df, False)
