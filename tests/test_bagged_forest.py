@@ -119,6 +119,29 @@ def test_forests_do_not_depend_on_partitions_or_groups_and_are_saved(spark, tmp_
     assert BaggedForest(3, 6, 5).fit(frame(spark, x, y, w, 3)).state == whole.state
 
 
+@pytest.mark.parametrize("balanced", [True, False])
+@pytest.mark.parametrize("classes", [3, None])
+def test_bags_added_up_by_vector_equal_a_plain_form(spark, monkeypatch, classes, balanced):
+    x, y, w = points(1200)
+    x = np.round(np.column_stack([x[:, 0], x[:, 1], x[:, 2], np.zeros(1200), x[:, 4] / 40]))
+    y = y if classes else np.round(50 * x[:, 0] - 20 * x[:, 1] ** 2 + y, 2)
+    monkeypatch.setattr(BaggedForest, "_histograms", lambda *a: pytest.fail("rows are read once, not once a level"))
+    df = frame(spark, x, y, w, 5)
+    model = BaggedForest(classes, 1, 5, 2, "all", 7, balanced).fit(df)
+    kind = classes and ("balanced" if balanced else "given")
+    leaves, weight = plain_tree(x, y, w, bag_counts(row_keys(spark, len(x)), 7, 0), kind, 5)
+    got = predictions(model, df)
+    assert len(leaves) > 10
+    for rows in leaves:
+        total = weight[rows].sum()
+        if classes:
+            share = np.array([weight[rows][y[rows] == k].sum() for k in range(3)]) / total
+            assert all(np.allclose(got[i]["_probability"].toArray(), share, atol=1e-6) for i in rows)
+        else:
+            assert np.allclose([got[i]["_prediction"] for i in rows], (weight[rows] * y[rows]).sum() / total, atol=1e-2)
+    assert BaggedForest(classes, 4, 5).fit(df).state == BaggedForest(classes, 4, 5).fit(df.repartition(2)).state
+
+
 def test_a_feature_is_found_among_constant_ones(spark):
     x = np.column_stack([np.ones(80)] * 8 + [np.arange(80)])
     y = (np.arange(80) >= 40).astype(int)
