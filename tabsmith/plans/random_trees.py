@@ -7,6 +7,9 @@ adds up over tasks, and the driver, which holds sums of open nodes and the trees
 stay below ``CELLS`` numbers, however many nodes are open.
 
 Draws depend on (seed, tree, level) and the place of the node, sums are of integers, so a model depends on neither partitions nor the order of tasks.
+Rows with the same features are always in the same node. Where a table has few different vectors of features, one pass adds its rows up by vector, and the
+levels read those sums: whole numbers again, and the least and greatest label, so the model is the same.
+
 A node is a leaf when it has fewer rows than ``least_rows``, one label, no feature that varies, or the depth asked for; without a depth, trees grow to
 the end, and then a model has about as many nodes a tree as the table has rows.
 """
@@ -35,6 +38,8 @@ CELLS = 4_000_000
 BLOCK_ROWS = 2_000
 FRACTION = 24
 UNIT = float(1 << FRACTION)
+FOLD_VECTORS = 100_000
+"""Different vectors of features up to which rows are added up."""
 SLOTS = 8
 """Numbers that a row of partial sums carries."""
 TOTALS, LEAST, MOST = ([f"{c}{i}" for i in range(SLOTS)] for c in "tlm")
@@ -74,8 +79,12 @@ class Grove:
 
 def least_and_most(groups: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(different groups, least, most) of every column of x."""
-    order = np.argsort(groups, kind="stable")
-    named, starts = np.unique(groups[order], return_index=True)
+    first = groups.min()
+    near = groups - first
+    order = np.argsort(near.astype(np.uint16) if near.max() < 1 << 16 else near, kind="stable")  # 16 bits are sorted by digits
+    ordered = groups[order]
+    starts = np.flatnonzero(np.diff(ordered, prepend=first - 1))
+    named = ordered[starts]
     return named, np.minimum.reduceat(x[order], starts, axis=0), np.maximum.reduceat(x[order], starts, axis=0)
 
 
@@ -101,31 +110,80 @@ class RandomTrees(Estimator):
             values = ((label - centre) / scale * weight)[:, None]
         return np.rint(np.column_stack([weight, values]) * UNIT)
 
-    def _blocks(self, df: DataFrame, n_rows: int) -> DataFrame:
+    def _blocks(self, df: DataFrame, n_rows: int, norm: tuple) -> DataFrame:
+        """(x, parts, low, high) of packed rows: features, (rows, weight, label sums) in whole numbers, least and greatest label."""
+        make = self._parts
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(0, batch.num_rows, BLOCK_ROWS):
                     part = batch.slice(i, BLOCK_ROWS)
-                    values = [np.array(part.column(0).flatten(), float), np.array(part.column(1)), np.array(part.column(2))]
-                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["x", "label", "weight"])
+                    label = np.array(part.column(1))
+                    sums = np.column_stack([np.ones(len(label)), make(label, np.array(part.column(2)), *norm)])
+                    values = [np.array(part.column(0).flatten(), float), sums, label, label]
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["x", "parts", "low", "high"])
 
         weight = col(WEIGHT).cast("double") if WEIGHT in df.columns else F.lit(1.0)
         rows = df.select(vector_to_array(FEATURES).alias("x"), col(LABEL).cast("double").alias("label"), weight.alias("weight"))
-        blocks = rows.mapInArrow(run, "x binary, label binary, weight binary")
+        blocks = rows.mapInArrow(run, "x binary, parts binary, low binary, high binary")
         # Every level passes over the blocks: they are dealt once to as many tasks as there are cores, but to no more than full blocks.
         tasks = max(rows.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
         return durable(blocks.repartition(max(1, min(tasks, -(-n_rows // BLOCK_ROWS))))).persist()
 
+    def _folded(self, blocks: DataFrame, n_rows: int, width: int) -> DataFrame:
+        """The blocks with one row per vector of features, or as they are where vectors are many."""
+        k, most = (self.n_classes or 1) + 2, min(FOLD_VECTORS, n_rows // 4)
+        names = [f"t{i}" for i in range(k)]
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            for batch in batches:
+                for block in batch.column(0):
+                    if len(seen) <= most:
+                        rows = np.frombuffer(block.as_buffer()).reshape(-1, width) + 0.0
+                        seen.update(v.tobytes() for v in np.unique(rows, axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)[: most + 1], pa.binary())], ["x"])
+
+        found = blocks.select("x").mapInArrow(vectors, "x binary").distinct().limit(most + 1).count()
+        if found > most:
+            return blocks
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in zip(*batch.columns):
+                    x, parts, low, high = (np.frombuffer(v.as_buffer()) for v in block)
+                    x, at = np.unique(x.reshape(len(low), width) + 0.0, axis=0, return_inverse=True)
+                    sums = [np.bincount(at.ravel(), p, len(x)).astype(np.int64) for p in parts.reshape(len(low), k).T]
+                    named, least, most = least_and_most(at.ravel(), np.column_stack([low, high]))
+                    columns = [pa.array([v.tobytes() for v in x], pa.binary()), *map(pa.array, sums), pa.array(least[:, 0]), pa.array(most[:, 1])]
+                    yield pa.RecordBatch.from_arrays(columns, ["x", *names, "low", "high"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, BLOCK_ROWS):
+                    part = batch.slice(i, BLOCK_ROWS)
+                    parts = np.column_stack([np.array(part.column(c), float) for c in names])
+                    values = [b"".join(part.column("x").to_pylist()), parts.tobytes(), *[np.array(part.column(c), float).tobytes() for c in ("low", "high")]]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["x", "parts", "low", "high"])
+
+        schema = ", ".join(["x binary", *[f"{c} long" for c in names], "low double", "high double"])
+        merged = [*[F.sum(c).alias(c) for c in names], F.min("low").alias("low"), F.max("high").alias("high")]
+        tasks = max(1, min(blocks.sparkSession.sparkContext.defaultParallelism, -(-found // BLOCK_ROWS)))
+        summed = blocks.mapInArrow(fold, schema).groupBy("x").agg(*merged).repartition(tasks)
+        out = durable(summed.mapInArrow(pack, "x binary, parts binary, low binary, high binary")).persist()
+        blocks.unpersist()
+        return out
+
     @staticmethod
     def _summed(blocks: DataFrame, width: int, add, flat) -> pa.Table:
-        """Run ``add(x, label, weight)`` on every block of a task, and sum what ``flat()`` then yields over all tasks."""
+        """Run ``add(x, parts, low, high)`` on every block of a task, and sum what ``flat()`` then yields over all tasks."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state: dict = {}
             for batch in batches:
                 for parts in zip(*batch.columns):
-                    x, label, weight = (np.frombuffer(p.as_buffer()) for p in parts)
-                    add(state, x.reshape(len(label), width), label, weight)
+                    x, sums, low, high = (np.frombuffer(p.as_buffer()) for p in parts)
+                    add(state, x.reshape(len(low), width), sums.reshape(len(low), -1), low, high)
             if state:
                 cells, totals, least, most = flat(state)
                 for i in range(0, len(cells), 20_000):
@@ -139,16 +197,15 @@ class RandomTrees(Estimator):
     def _stacked(table: pa.Table, names: list[str]) -> np.ndarray:
         return np.column_stack([np.array(table[c], float) for c in names])
 
-    def _described(self, blocks: DataFrame, grove: Grove, trees: list[int], place: np.ndarray, n: int, width: int, norm: tuple) -> tuple[np.ndarray, ...]:
+    def _described(self, blocks: DataFrame, grove: Grove, trees: list[int], place: np.ndarray, n: int, width: int) -> tuple[np.ndarray, ...]:
         """(rows, sums[node, part], least[node, feature or label], most) of the n open nodes; ``place`` is a node's number among them, or -1."""
         parts, columns = (self.n_classes or 1) + 2, width + 1
         rows_each = lines_of(parts) + lines_of(columns)
-        make = self._parts
 
-        def add(state: dict, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        def add(state: dict, x: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
             if not state:
                 state.update(totals=np.zeros((parts, n), np.int64), least=np.full((n, columns), np.inf), most=np.full((n, columns), -np.inf))
-            values, wide = make(label, weight, *norm), np.column_stack([x, label])
+            wide = np.column_stack([x, low, high])
             for tree in trees:
                 node = place[grove.places(x, tree)]
                 inside = np.flatnonzero(node >= 0)
@@ -158,11 +215,10 @@ class RandomTrees(Estimator):
                 named, least, most = least_and_most(node, wide[inside])
                 first, size = named[0], named[-1] - named[0] + 1  # a tree's open nodes lie together
                 here = state["totals"][:, first : first + size]
-                here[0] += np.bincount(node - first, minlength=size)
-                for j in range(parts - 1):
-                    here[j + 1] += np.bincount(node - first, values[inside, j], size).astype(np.int64)
-                state["least"][named] = np.fmin(state["least"][named], least)
-                state["most"][named] = np.fmax(state["most"][named], most)
+                for j in range(parts):
+                    here[j] += np.bincount(node - first, values[inside, j], size).astype(np.int64)
+                state["least"][named] = np.fmin(state["least"][named], least[:, :columns])
+                state["most"][named] = np.fmax(state["most"][named], np.delete(most, columns - 1, axis=1))
 
         def flat(state: dict) -> tuple[np.ndarray, ...]:
             seen = np.flatnonzero(state["totals"][0])
@@ -180,15 +236,15 @@ class RandomTrees(Estimator):
         least, most = (o.reshape(n, rows_each, SLOTS)[:, lines_of(parts) :].reshape(n, -1)[:, :columns] for o in out[1:])
         return totals[:, 0], totals[:, 1:] / UNIT, least, most
 
-    def _left_of(self, blocks: DataFrame, grove: Grove, trees: list[int], place: np.ndarray, chosen: np.ndarray, cuts: np.ndarray, width: int,
-                 norm: tuple) -> np.ndarray:
+    def _left_of(self, blocks: DataFrame, grove: Grove, trees: list[int], place: np.ndarray, chosen: np.ndarray, cuts: np.ndarray,
+                 width: int) -> np.ndarray:
         """Sums[node, draw, part] of the rows up to each drawn threshold; a feature of -1 is no draw."""
-        (n, draws), parts, make = chosen.shape, (self.n_classes or 1) + 1, self._parts
+        (n, draws), parts = chosen.shape, (self.n_classes or 1) + 1
 
-        def add(state: dict, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        def add(state: dict, x: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
             if not state:
                 state["totals"] = np.zeros((parts, n * draws), np.int64)
-            values = make(label, weight, *norm)
+            values = values[:, 1:]
             for tree in trees:
                 node = place[grove.places(x, tree)]
                 inside = np.flatnonzero(node >= 0)
@@ -233,7 +289,9 @@ class RandomTrees(Estimator):
         centre, scale = (0.0, 1.0) if self.n_classes or first[1] is None else (float(first[1]), max(float(first[2]) + abs(float(first[1])), 1e-300))
         norm, parts = (centre, scale), (self.n_classes or 1) + 1
         draws = min(width, max(1, int(math.sqrt(width)))) if self.features == "sqrt" else width
-        blocks = self._blocks(df, first[3])
+        blocks = self._blocks(df, first[3], norm)
+        if width:
+            blocks = self._folded(blocks, first[3], width)
         tree_of = np.arange(self.trees)
         feature, threshold, left = np.full(self.trees, -1), np.zeros(self.trees), np.full(self.trees, -1)
         values = np.zeros((self.trees, parts - 1))
@@ -247,7 +305,7 @@ class RandomTrees(Estimator):
                 place = np.full(len(feature), -1)
                 place[group] = np.arange(len(group))
                 trees = sorted(set(tree_of[group].tolist()))
-                rows, sums, least, most = self._described(blocks, grove, trees, place, len(group), width, norm)
+                rows, sums, least, most = self._described(blocks, grove, trees, place, len(group), width)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     values[group] = np.where(sums[:, :1] > 0, sums[:, 1:] / sums[:, :1], 0.0)
                 split = (rows >= max(self.least_rows, 2)) & (least[:, -1] < most[:, -1])
@@ -262,7 +320,7 @@ class RandomTrees(Estimator):
                 # Numbers are drawn for all open nodes of a tree in their order; ``start`` keeps groups of one tree apart.
                 pairs = [self._drawn(t, level * 1_000_003 + start, least[owners == t], most[owners == t], draws) for t in trees]
                 chosen, cuts = (np.concatenate(p) for p in zip(*pairs))
-                below = self._left_of(blocks, grove, trees, place, chosen, cuts, width, norm)
+                below = self._left_of(blocks, grove, trees, place, chosen, cuts, width)
                 gain = purity(below) + purity(sums[:, None] - below) - purity(sums)[:, None]
                 best = np.where(chosen >= 0, gain, -np.inf).argmax(axis=1)
                 rows = np.arange(len(group))

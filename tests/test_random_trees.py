@@ -110,6 +110,21 @@ def test_trees_do_not_depend_on_partitions_and_are_saved(spark, tmp_path, monkey
     assert again.getNumTrees == 6 and abs(again.importances().sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("classes", [3, None])
+def test_rows_added_up_by_features_give_the_same_trees(spark, monkeypatch, classes):
+    x, y, w = points(900)
+    x = np.round(np.column_stack([x[:, 0], x[:, 1], x[:, 2], x[:, 4] / 40]))
+    df = frame(spark, x, y if classes else y * 7.3 + x[:, 0], w, 5)
+    read = []
+    plain = RandomTrees._described
+    monkeypatch.setattr(RandomTrees, "_described", lambda self, blocks, *a: read.append(blocks.selectExpr("sum(length(low)) / 8").first()[0]) or plain(self, blocks, *a))
+    folded = RandomTrees(classes, 4).fit(df)
+    assert read[0] == len(np.unique(x + 0.0, axis=0)) < 200, "levels read vectors, not rows"
+    monkeypatch.setattr(random_trees, "FOLD_VECTORS", 0)
+    assert RandomTrees(classes, 4).fit(df).state == folded.state
+    assert read[-1] == 900 and len(folded.state["feature"]) > 20
+
+
 def test_groups_of_open_nodes_keep_every_node(spark, monkeypatch):
     x, y, w = points()
     monkeypatch.setattr(random_trees, "CELLS", 200)
