@@ -139,3 +139,15 @@ def test_tables_without_a_split(spark):
     x, _, _ = points(20)
     pure = RandomTrees(2, 3).fit(frame(spark, x, np.ones(20), np.ones(20)))
     assert len(pure.state["feature"]) == 3 and all(r["_prediction"] == 1 for r in predictions(pure, frame(spark, x, np.ones(20), np.ones(20))))
+
+
+def test_noted_places_give_the_same_trees_and_the_last_level_costs_no_pass(spark, monkeypatch):
+    x, y, w = points(600)
+    passes = []
+    plain = RandomTrees._described
+    monkeypatch.setattr(RandomTrees, "_described", lambda self, blocks, *a: passes.append("noted" in blocks.columns) or plain(self, blocks, *a))
+    shallow = RandomTrees(3, 5, 8).fit(frame(spark, x, y, w)).state
+    assert passes == [False] * 8, "nodes at the depth asked for are known from their parents"
+    monkeypatch.setattr(random_trees, "KEEP_CELLS", 0)
+    assert RandomTrees(3, 5, 8).fit(frame(spark, x, y, w)).state == shallow
+    assert passes[8:] == [False] * 3 + [True] * 5
