@@ -113,19 +113,25 @@ def _select_ranks(
         active = [r for r in ranks if r.value is None]
         if not active:
             return {(r.column, r.rank): r.value for r in ranks}
-        guesses = table.agg(*[_guess(r, alias[r.column], direct_rows) for r in active]).first()
-        open_ones: list[tuple[_Rank, float, float]] = []
-        for r, guess in zip(active, guesses):
-            if r.inside <= direct_rows:
-                r.value = float(guess[0])
-            else:
-                open_ones.append((r, float(guess[0]), float(guess[-1])))
+        # Ranks that search the same rows share one sketch, those with the same guess one set of counts.
+        searched: dict[tuple, list[_Rank]] = {}
+        for r in active:
+            searched.setdefault((r.column, r.low, r.high), []).append(r)
+        guesses = table.agg(*[_guess(some, alias[key[0]], direct_rows) for key, some in searched.items()]).first()
+        open_ones: dict[tuple, list[_Rank]] = {}
+        for some, guess in zip(searched.values(), guesses):
+            for i, r in enumerate(some):
+                if r.inside <= direct_rows:
+                    r.value = float(guess[i])
+                else:
+                    a, b = float(guess[2 * i]), float(guess[2 * i + 1])
+                    open_ones.setdefault((r.column, r.low, r.high, a, b), []).append(r)
         if not open_ones:
             continue
         counts = []
-        for r, a, b in open_ones:
-            x = alias[r.column]
-            inside = r.within(x)
+        for (column, _, _, a, b), some in open_ones.items():
+            x = alias[column]
+            inside = some[0].within(x)
             counts += [
                 F.count_if(inside & (x < a)),
                 F.count_if(inside & (x == a)),
@@ -133,16 +139,18 @@ def _select_ranks(
                 F.count_if(inside & (x == b)) if b > a else F.lit(0).cast("bigint"),
             ]
         got = table.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
-        for i, (r, a, b) in enumerate(open_ones):
-            _narrow(r, a, b, [int(n) for n in got[4 * i : 4 * i + 4]])
+        for i, ((_, _, _, a, b), some) in enumerate(open_ones.items()):
+            for r in some:
+                _narrow(r, a, b, [int(n) for n in got[4 * i : 4 * i + 4]])
 
 
-def _guess(r: _Rank, x: Column, direct_rows: int) -> Column:
-    inside = F.when(r.within(x), x)
-    if r.inside <= direct_rows:
-        return F.percentile(inside, F.array(F.lit(r.share)))
+def _guess(ranks: list[_Rank], x: Column, direct_rows: int) -> Column:
+    """The values of ranks among the same rows, or two ends around each where these are many."""
+    inside = F.when(ranks[0].within(x), x)
+    if ranks[0].inside <= direct_rows:
+        return F.percentile(inside, F.array(*[F.lit(r.share) for r in ranks]))
     slack = 2.0 / SKETCH
-    return F.percentile_approx(inside, [max(r.share - slack, 0.0), min(r.share + slack, 1.0)], SKETCH)
+    return F.percentile_approx(inside, [end for r in ranks for end in (max(r.share - slack, 0.0), min(r.share + slack, 1.0))], SKETCH)
 
 
 def _narrow(r: _Rank, a: float, b: float, counts: list[int]) -> None:

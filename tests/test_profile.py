@@ -228,3 +228,25 @@ def test_profile_totals(spark):
     assert got["", "rows"]["value"] == 4 and got["", "duplicate_rows"]["value"] == 1
     assert got["x", "zeros"]["value"] == 1 and got["x", "negative"]["value"] == 2
     assert got["s", "top_1"]["text"] == "a" and got["s", "top_1"]["value"] == 3
+
+
+def test_ranks_of_the_same_rows_share_a_sketch(spark, monkeypatch):
+    sketches = []
+    plain = quantiles.F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: sketches.append(a) or plain(*a))
+    df = spark.range(3000).selectExpr("id * 7 % 3000 as a", "id % 5 as b")
+    got = quantiles.quantiles(df, ["a", "b"], [0.1, 0.5, 0.9], direct_rows=100)
+    assert got["a"] == pytest.approx([299.9, 1499.5, 2699.1]) and got["b"] == [0, 2, 4]
+    assert len(sketches) == 2, "one per column, however many ranks are wanted"
+
+
+def test_fingerprint_query_shuffles_into_more_tasks_as_rows_grow(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tabsmith.queries import profiling
+
+    parts, plain = [], DataFrame.repartition
+    monkeypatch.setattr(profiling, "TASK_ROWS", 1000)
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *c: parts.append(n) or plain(self, n, *c))
+    row = profiling.fingerprint_lineitem(spark, "/root/testdata/sf0.001").first()
+    assert parts == [5 + row["rows"] // 1000] and row["same_in_any_order"] and row["differs_by_a_cell"] and row["differs_by_a_row"]
