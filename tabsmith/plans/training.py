@@ -34,6 +34,7 @@ from tabsmith.plans.registry import FitContext, ModelRegistry, default_registry
 from tabsmith.plans.spec import RunSpec
 from tabsmith.plans.stages import ROW_ID
 from tabsmith.plans.tuning import Optimizer, RandomSearch
+from tabsmith.session import spread
 
 LOG = logging.getLogger(__name__)
 METRICS = {"Classification": CLASSIFICATION, "Regression": REGRESSION, "Clustering": CLUSTERING}
@@ -82,9 +83,9 @@ class _Table:
 def _prepare_rows(data: TrainingData, spec: RunSpec) -> _Table:
     frame = data.frame
     if spec.key is None:
-        frame = with_row_id(frame, None)
+        frame = spread(with_row_id(frame, None), data.rows, ROW_ID)
     else:
-        frame = with_row_id(frame, spec.key).persist()
+        frame = spread(with_row_id(frame, spec.key), data.rows, ROW_ID).persist()
     if spec.task == "Clustering":
         return _Table(frame, data.rows, [], {}, "string", frame)
     if spec.task == "Regression":

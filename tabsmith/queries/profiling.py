@@ -25,6 +25,7 @@ from tabsmith.queries.base import (
     rounded,
     union,
 )
+from tabsmith.session import TASK_ROWS
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -154,7 +155,7 @@ def fingerprint_lineitem(spark, sf_dir):
     df = load(spark, sf_dir, "lineitem")
     text = profile.fingerprint_text(df)
     one = (F.col("l_orderkey") == df.agg(F.min("l_orderkey")).first()[0]) & (F.col("l_linenumber") == 1)
-    turned = profile.fingerprint_text(df.repartition(5, "l_partkey"))
+    turned = profile.fingerprint_text(df.repartition(5 + df.count() // TASK_ROWS, "l_partkey"))
     cell = profile.fingerprint_text(df.withColumn("l_tax", F.when(one, F.col("l_tax") + 1).otherwise(F.col("l_tax"))))
     row = profile.fingerprint_text(df.where(~one))
     return df.agg(F.count("*").alias("rows"), F.lit(turned == text).alias("same_in_any_order"),
