@@ -228,3 +228,13 @@ def test_catalog_is_consistent():
     every = catalog()
     assert set(every.sql) <= set(every.queries) and len(every.queries) > 120
     assert sum(name in every.sql for name in every.queries) / len(every.queries) > 0.75
+
+
+def test_rows_of_one_file_are_spread_over_tasks(spark, rows, monkeypatch):
+    from tabsmith import session
+
+    monkeypatch.setattr(session, "LEAST_ROWS", 40, raising=False)
+    monkeypatch.setattr(session, "TASK_ROWS", 30, raising=False)
+    run = run_workbench(rows.coalesce(1), spec(["SVM"], "v", "Regression"))
+    sizes = run.runs["SVM"].predictions.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 48 and len(sizes) > 4, "a task has about 30 of the 240 rows"
