@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.session import durable
@@ -24,6 +25,10 @@ BLOCK_ROWS = 8_192
 QUERY_ROWS = 8_192
 CELL_ROWS = 4_096
 MAX_PIVOTS = 1_024
+PAIRS_AT_ONCE = 2_000_000_000
+"""Pairs of rows and donors that are measured without a search."""
+MAX_GAP_SETS = 8
+"""Sets of gaps up to which rows are searched set by set."""
 
 
 def _matrix(points: pd.Series) -> np.ndarray:
@@ -117,8 +122,9 @@ def nearest(
     query_rows: int = QUERY_ROWS,
     cell_rows: int = CELL_ROWS,
     max_pivots: int = MAX_PIVOTS,
+    squared: bool = False,
 ) -> DataFrame:
-    """(qid, tid, distance, place): the k nearest ``train(tid, x)`` of each ``queries(qid, x)``.
+    """(qid, tid, distance, place): the k nearest ``train(tid, x)`` of each ``queries(qid, x)``; ``squared`` leaves out the root.
 
     ``x`` is an array of doubles without nulls; ids are bigint and unique. Euclidean distance, ties by
     ``tid``. Exact for any data; how much is skipped depends on how well the pivots separate it.
@@ -166,7 +172,7 @@ def nearest(
             for i, near in smallest(d, ids, k):
                 out[0].append(np.full(len(near), qids[part][i]))
                 out[1].append(ids[near])
-                out[2].append(np.sqrt(d[i][near]))
+                out[2].append(d[i][near] if squared else np.sqrt(d[i][near]))
         return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("qid", "tid", "distance"), out)})
 
     keys = ["cell", "t_part", "q_part"]
@@ -189,6 +195,46 @@ def _gap_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(shared > 0, total * a.shape[1] / shared, np.nan)
 
 
+def _gaps(x: str) -> Column:
+    """Which entries of an array are missing, as a text of true and false."""
+    return F.array_join(F.transform(x, lambda v: (v.isNull() | F.isnan(v)).cast("string")), ",")
+
+
+def _gap_sets(df: DataFrame) -> list[tuple[bool, ...]]:
+    """The sets of gaps that occur, no more than one above ``MAX_GAP_SETS``."""
+    found = df.select(_gaps("x").alias("g")).distinct().limit(MAX_GAP_SETS + 1).collect()
+    return sorted(tuple(v == "true" for v in r["g"].split(",")) for r in found)
+
+
+def _donor_means_by_gaps(rows: DataFrame, donors: DataFrame, width: int, k: int, asked: list[tuple[bool, ...]], given: list[tuple[bool, ...]]) -> DataFrame:
+    """``donor_means`` by pairs of sets of gaps: a pair has one set of shared coordinates, where exact search applies."""
+    def of(df: DataFrame, gaps: tuple[bool, ...], name: str, shared: list[int]) -> DataFrame:
+        same = _gaps("x") == ",".join(str(g).lower() for g in gaps)
+        points = F.array(*[F.get("x", F.lit(i)).cast("double") for i in shared])
+        return df.filter(same).select(F.col("rid").alias(name), points.alias("x"))
+
+    found = []
+    for need in asked:
+        for have in given:
+            shared = [i for i in range(width) if not need[i] and not have[i]]
+            fields = [i for i in range(width) if need[i] and not have[i]]
+            if not shared or not fields:
+                continue
+            near = nearest(of(rows, need, "qid", shared), of(donors, have, "tid", shared), k, squared=True)
+            scaled = (F.col("distance") * width / len(shared)).alias("distance")
+            found.append(near.select("qid", "tid", scaled, F.explode(F.array(*map(F.lit, fields))).alias("field")))
+    if not found:
+        return rows.sparkSession.createDataFrame([], "rid bigint, field int, value double")
+    order = Window.partitionBy("qid", "field").orderBy("distance", "tid")
+    best = reduce(DataFrame.unionByName, found).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    values = donors.select(F.col("rid").alias("tid"), F.col("x").alias("donor_x"))
+    chosen = best.join(values, "tid").withColumn("value", F.get("donor_x", F.col("field")))
+    # In one order, so that a mean does not depend on the order of the join.
+    listed = F.sort_array(F.collect_list(F.struct("place", "value")))
+    total = F.aggregate(listed, F.lit(0.0), lambda s, v: s + v["value"])
+    return chosen.groupBy(F.col("qid").alias("rid"), "field").agg((total / F.count("*")).alias("value"))
+
+
 def donor_means(
     rows: DataFrame, donors: DataFrame, names: Sequence[str], k: int, *,
     block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
@@ -198,9 +244,14 @@ def donor_means(
     ``rows(rid, x)`` have at least one null in ``x``, ``donors(rid, x)`` are all rows to learn from. The
     distance uses the coordinates both have; donors of a field must have it. A value without any donor
     at a defined distance gets no row. Distances over changing sets of coordinates obey no triangle
-    inequality, so nothing can be skipped: the work is rows with gaps times donors, in bounded blocks.
+    inequality. Rows and donors of one set of gaps each share one set of coordinates, though, where pivots skip what cannot be
+    near: large tables with few sets of gaps are searched pair by pair of these. Otherwise the work is rows with gaps times donors, in bounded blocks.
     """
     n_donors, n_rows = donors.count(), rows.count()
+    if n_donors * n_rows > PAIRS_AT_ONCE:
+        kinds = [_gap_sets(df) for df in (rows, donors)]
+        if all(len(k) <= MAX_GAP_SETS for k in kinds):
+            return _donor_means_by_gaps(rows, donors, len(names), k, *kinds)
     t_parts = max(1, math.ceil(n_donors / block_rows))
     q_parts = max(1, math.ceil(n_rows / query_rows))
     width = len(names)
@@ -244,5 +295,3 @@ def donor_means(
     order = Window.partitionBy("rid", "field").orderBy("distance", "donor")
     near = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     return near.groupBy("rid", "field").agg(F.avg("value").alias("value"))
-
-

@@ -19,7 +19,7 @@ from tabsmith.operators.lookup import attach
 from tabsmith.operators.neighbours import donor_means
 from tabsmith.operators.quantiles import quantiles
 from tabsmith.operators.scalers import centre_and_scale, degree_two_terms, scaled
-from tabsmith.session import durable
+from tabsmith.session import durable, spread
 
 PREFIX = "f__"
 ROW_ID = "_rid"
@@ -148,7 +148,8 @@ class NeighbourFill(Estimator):
         kept = [c for c in self.columns if means[c] is not None]
         donors = df.select(col(ROW_ID).alias("rid"), F.array(*[number(df, c) for c in kept]).alias("x"))
         state = {"columns": kept, "k": self.k, "means": {c: means[c] for c in kept}}
-        return NeighbourFillModel(state, {"donors": durable(donors)})
+        n_rows = donors.count()
+        return NeighbourFillModel(state, {"donors": durable(spread(donors, n_rows, "rid"))})
 
 
 class NeighbourFillModel(FittedStage):

@@ -132,6 +132,24 @@ def test_neighbour_fill_against_brute_force(spark):
             assert r[PREFIX + name] == pytest.approx(want)
 
 
+def test_neighbour_fill_by_sets_of_gaps_measures_few_pairs(spark, monkeypatch):
+    from tabsmith.operators import neighbours
+
+    draw = np.random.default_rng(3)
+    x = np.column_stack([np.arange(300.0), draw.integers(0, 9, 300), draw.integers(0, 50, 300)])
+    x[np.arange(300) % 5 == 1, 1] = np.nan
+    x[np.arange(300) % 6 == 2, 2] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, f"{ROW_ID} bigint, a double, b double, c double")
+    whole = [tuple(r) for r in NeighbourFill(["a", "b", "c"], 4).fit(df).transform(df).orderBy(ROW_ID).collect()]
+    searched, plain = [], neighbours.nearest
+    monkeypatch.setattr(neighbours, "PAIRS_AT_ONCE", 0, raising=False)
+    monkeypatch.setattr(neighbours, "nearest", lambda q, t, *a, **b: searched.append(len(q.first()["x"])) or plain(q, t, *a, cell_rows=20, **b))
+    parts = [tuple(r) for r in NeighbourFill(["a", "b", "c"], 4).fit(df).transform(df).orderBy(ROW_ID).collect()]
+    assert parts == whole
+    assert sorted(searched) == [1, 1, 1, 1, 1, 2, 2], "every pair of sets of gaps over the coordinates it shares"
+
+
 def test_chained_fill_recovers_a_linear_relation(spark):
     rng = np.random.default_rng(7)
     a, b = rng.normal(size=400), rng.normal(size=400)
