@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tabsmith.operators.neighbours import _matrix, squared_distances
 
 BLOCK_ROWS = 4_096
+NEAR = 1e-6
+"""Share of the squared lengths below which a squared distance is not taken from a product."""
 
 
 def squared_silhouette(df: DataFrame, cluster: str, point: str) -> DataFrame:
@@ -54,6 +56,17 @@ def squared_silhouette(df: DataFrame, cluster: str, point: str) -> DataFrame:
     return rows.agg(F.avg(value).alias("silhouette_sq"))
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances from one matrix product; pairs so close that it would lose digits are measured coordinate by coordinate."""
+    scale = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)
+    squares = scale - 2.0 * (a @ b.T)
+    row, column = np.nonzero(~(squares > NEAR * scale))
+    if len(row) > squares.size // 50:
+        return np.sqrt(squared_distances(a, b))
+    squares[row, column] = ((a[row] - b[column]) ** 2).sum(axis=1)
+    return np.sqrt(squares)
+
+
 def euclidean_silhouette(df: DataFrame, key: str, cluster: str, point: str, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row (silhouette): the exact mean silhouette under Euclidean distance.
 
@@ -87,7 +100,7 @@ def euclidean_silhouette(df: DataFrame, key: str, cluster: str, point: str, *, b
         points, others = _matrix(p["x"]), _matrix(q["x2"])
         member = np.zeros((len(q), k))
         member[np.arange(len(q)), q["c2"].to_numpy()] = 1.0
-        sums = [np.sqrt(squared_distances(points[i : i + 512], others)) @ member for i in range(0, len(p), 512)]
+        sums = [distances(points[i : i + 512], others) @ member for i in range(0, len(p), 512)]
         return pd.DataFrame({"id": p["id"], "c": p["c"], "sums": list(np.concatenate(sums))})
 
     part = left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2")).applyInPandas(

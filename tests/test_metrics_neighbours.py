@@ -146,3 +146,16 @@ def test_silhouette_of_one_cluster_is_null(spark):
     assert silhouette.squared_silhouette(df, "c", "x").first()[0] is None
     apart = spark.createDataFrame([(1, 0, [1.0]), (2, 1, [2.0])], "k bigint, c int, x array<double>")
     assert silhouette.euclidean_silhouette(apart, "k", "c", "x").first()[0] is None
+
+
+def test_distances_by_a_product_keep_their_digits(monkeypatch):
+    from tabsmith.operators import silhouette
+
+    draw = np.random.default_rng(4)
+    a, b = draw.normal(size=(90, 16)), draw.normal(size=(200, 16))
+    b[:5] = a[:5]
+    b[5:9] = a[5:9] + 1e-9
+    plain = silhouette.squared_distances
+    assert np.allclose(silhouette.distances(a + 3e5, b + 3e5), np.sqrt(plain(a + 3e5, b + 3e5)), rtol=1e-9, atol=0), "far from zero"
+    monkeypatch.setattr(silhouette, "squared_distances", None)
+    assert np.allclose(silhouette.distances(a, b), np.sqrt(plain(a, b)), rtol=1e-9, atol=0)
