@@ -52,8 +52,9 @@ class FittedModel:
     @property
     def needs_row_id(self) -> bool:
         from tabsmith.plans.estimators import NearestRowsModel
+        from tabsmith.plans.random_trees import RandomTreesModel
 
-        return any(isinstance(s, (NearestRowsModel, NeighbourFillModel)) for s in self.pipeline.stages)
+        return any(isinstance(s, (NearestRowsModel, NeighbourFillModel)) or (isinstance(s, RandomTreesModel) and s.tables) for s in self.pipeline.stages)
 
     def missing_columns(self, df: DataFrame) -> list[str]:
         return [c for c in self.features if c not in df.columns]
@@ -77,7 +78,7 @@ class FittedModel:
 
     def score(self, df: DataFrame, key: str | None = None) -> DataFrame:
         """All input columns plus the outputs. Stateless per row, so it works on streams too, except for
-        models that search neighbours: those need a batch table and a row id (``key``, or a numbering that is
+        models that search neighbours or keep subtrees in a table: those need a batch table and a row id (``key``, or a numbering that is
         checkpointed)."""
         gone = self.missing_columns(df)
         if gone:
@@ -86,7 +87,7 @@ class FittedModel:
         rows = df
         if self.needs_row_id and ROW_ID not in given:
             if df.isStreaming:
-                raise ValueError("Neighbour models cannot score a stream.")
+                raise ValueError("Models that look rows up in a table cannot score a stream.")
             rows = with_row_id(df, key)
         return self.outputs(self.pipeline.transform(rows), given)
 

@@ -12,7 +12,9 @@ Rows with the same features are always in the same node. Where a table has few d
 levels read those sums: whole numbers again, and the least and greatest label, so the model is the same.
 
 A node is a leaf when it has fewer rows than ``least_rows``, one label, no feature that varies, or the depth asked for; without a depth, trees grow to
-the end, and then a model has about as many nodes a tree as the table has rows.
+the end, and then a model has about as many nodes a tree as the table has rows. Where the model may have more than ``NODES`` nodes, those of at most
+``LOCAL_ROWS`` rows leave the levels: one shuffle brings the rows of each together, a task grows what is below it, and the subtrees stay in a table, which
+rows to be scored are brought to by node. The driver then holds the nodes above them only.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.columns import col
 from tabsmith.plans.boosting import LABEL, PREDICTION, PROBABILITY, WEIGHT
 from tabsmith.plans.preprocess import FEATURES
-from tabsmith.plans.stages import FittedStage
+from tabsmith.plans.stages import ROW_ID, FittedStage
 from tabsmith.session import durable
 
 CELLS = 4_000_000
@@ -48,6 +50,17 @@ FRACTION = 24
 UNIT = float(1 << FRACTION)
 FOLD_VECTORS = 100_000
 """Different vectors of features up to which rows are added up."""
+NODES = 2_000_000
+"""Nodes of a model up to which the driver holds them all."""
+LOCAL_ROWS = 8_000
+"""Rows of a node that one task finishes, where the driver does not hold all nodes."""
+TASK_ROWS = 500_000
+"""Rows of such nodes that a task finishes one after another."""
+SALT_PARTS = 32
+"""Partitions of rows to be scored that share a copy of the subtrees."""
+WHOLE = float(1 << 40)
+"""Parts of one in which values of trees are added up over tasks: whole numbers, whose sum has no order."""
+SUBTREE = ("feature", "threshold", "values")
 SLOTS = 8
 """Numbers that a row of partial sums carries."""
 TOTALS, LEAST, MOST = ([f"{c}{i}" for i in range(SLOTS)] for c in "tlm")
@@ -150,6 +163,72 @@ def purity(sums: np.ndarray) -> np.ndarray:
         return np.where(sums[..., 0] > 0, (sums[..., 1:] ** 2).sum(axis=-1) / sums[..., 0], 0.0)
 
 
+def drawn(luck: np.random.Generator, least: np.ndarray, most: np.ndarray, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, thresholds)[node, draw] of one tree's open nodes; -1 where fewer features vary."""
+    order = np.where(most > least, luck.random(least.shape), np.inf)
+    chosen = np.argsort(order, axis=1, kind="stable")[:, :draws]
+    rows = np.arange(len(least))[:, None]
+    low, high = least[rows, chosen], most[rows, chosen]
+    with np.errstate(invalid="ignore"):
+        cuts = low + luck.random(chosen.shape) * (high - low)
+    cuts = np.where(cuts < high, cuts, low)
+    return np.where(np.isfinite(order[rows, chosen]), chosen, -1), cuts
+
+
+def means(sums: np.ndarray) -> np.ndarray:
+    """Label means of nodes from (rows, weight, label sums)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(sums[:, 1:2] > 0, sums[:, 2:] / sums[:, 1:2], 0.0)
+
+
+def grown(x: np.ndarray, parts: np.ndarray, low: np.ndarray, high: np.ndarray, draws: int, depth: float, least_rows: int,
+          luck: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, threshold, sums, gains) of the tree of the rows given, by the rules of the levels; ``depth`` levels at most.
+
+    Nodes are numbered level by level, so the children of the i-th node that is split are 1 + 2i and 2 + 2i.
+    """
+    width = x.shape[1]
+    feature, threshold, sums, gains = [np.full(1, -1)], [np.zeros(1)], [parts.sum(axis=0)[None]], np.zeros(width)
+    node, level = np.zeros(len(x), np.intp), 0
+    while len(node) and level < depth:
+        whole = sums[-1]
+        order = np.argsort(node, kind="stable")
+        x, parts, low, high, node = x[order], parts[order], low[order], high[order], node[order]
+        starts = np.flatnonzero(np.diff(node, prepend=-1))
+        named = node[starts]
+        least, most = np.fmin.reduceat(x, starts, axis=0), np.fmax.reduceat(x, starts, axis=0)
+        split = (np.minimum.reduceat(low, starts) < np.maximum.reduceat(high, starts)) & (most > least).any(axis=1)
+        split &= whole[named, 0] >= max(least_rows, 2)
+        named, least, most = named[split], least[split], most[split]
+        n = len(named)
+        if not n:
+            break
+        place = np.full(len(whole), -1)
+        place[named] = np.arange(n)
+        node = place[node]
+        inside = node >= 0
+        x, parts, low, high, node = x[inside], parts[inside], low[inside], high[inside], node[inside]
+        chosen, cuts = drawn(luck, least, most, draws)
+        rows, below = np.arange(len(x)), np.zeros((n, chosen.shape[1], parts.shape[1]))
+        for d in range(chosen.shape[1]):
+            f = chosen[node, d]
+            left = np.flatnonzero((f >= 0) & (x[rows, f] <= cuts[node, d]))
+            for j in range(parts.shape[1]):
+                below[:, d, j] = np.bincount(node[left], parts[left, j], n)
+        one, two, here = below[..., 1:] / UNIT, (whole[named][:, None] - below)[..., 1:] / UNIT, whole[named]
+        gain = purity(one) + purity(two) - purity(here[:, 1:] / UNIT)[:, None]
+        best, each = np.where(chosen >= 0, gain, -np.inf).argmax(axis=1), np.arange(n)
+        f, cut, left = chosen[each, best], cuts[each, best], below[each, best]
+        np.add.at(gains, f, np.maximum(gain[each, best], 0))
+        feature[-1][named], threshold[-1][named] = f, cut
+        feature.append(np.full(2 * n, -1))
+        threshold.append(np.zeros(2 * n))
+        sums.append(np.stack([left, here - left], axis=1).reshape(2 * n, -1))
+        node = 2 * node + ~(x[rows, f[node]] <= cut[node])
+        level += 1
+    return np.concatenate(feature), np.concatenate(threshold), np.concatenate(sums), gains
+
+
 class RandomTrees(Estimator):
     """``features`` of a split: ``sqrt`` or ``all``. Without ``n_classes`` the trees predict numbers."""
 
@@ -186,8 +265,8 @@ class RandomTrees(Estimator):
         tasks = max(rows.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
         return durable(blocks.repartition(max(1, min(tasks, -(-n_rows // BLOCK_ROWS))))).persist()
 
-    def _folded(self, blocks: DataFrame, n_rows: int, width: int) -> DataFrame:
-        """The blocks with one row per vector of features, or as they are where vectors are many."""
+    def _folded(self, blocks: DataFrame, n_rows: int, width: int) -> tuple[DataFrame, int]:
+        """The blocks with one row per vector of features, or as they are where vectors are many, and their rows."""
         k, most = (self.n_classes or 1) + 2, min(FOLD_VECTORS, n_rows // 4)
         names = [f"t{i}" for i in range(k)]
 
@@ -202,7 +281,7 @@ class RandomTrees(Estimator):
 
         found = blocks.select("x").mapInArrow(vectors, "x binary").distinct().limit(most + 1).count()
         if found > most:
-            return blocks
+            return blocks, n_rows
 
         def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -228,7 +307,7 @@ class RandomTrees(Estimator):
         summed = blocks.mapInArrow(fold, schema).groupBy("x").agg(*merged).repartition(tasks)
         out = durable(summed.mapInArrow(pack, "x binary, parts binary, low binary, high binary")).persist()
         blocks.unpersist()
-        return out
+        return out, found
 
     @staticmethod
     def _summed(blocks: DataFrame, kept: Kept | None, width: int, add, flat, merged: dict[str, str]) -> pa.Table:
@@ -395,29 +474,63 @@ class RandomTrees(Estimator):
         out[np.array(table["cell"])] = self._stacked(table, TOTALS)
         return out.reshape(n, -1)[:, : draws * parts].reshape(n, draws, parts)
 
-    def _drawn(self, tree: int, level: int, least: np.ndarray, most: np.ndarray, draws: int) -> tuple[np.ndarray, np.ndarray]:
-        """(features, thresholds)[node, draw] of one tree's open nodes; -1 where fewer features vary."""
-        luck = np.random.default_rng([self.seed, tree, level])
-        order = np.where(most > least, luck.random(least.shape), np.inf)
-        chosen = np.argsort(order, axis=1, kind="stable")[:, :draws]
-        rows = np.arange(len(least))[:, None]
-        low, high = least[rows, chosen], most[rows, chosen]
-        with np.errstate(invalid="ignore"):
-            cuts = low + luck.random(chosen.shape) * (high - low)
-        cuts = np.where(cuts < high, cuts, low)
-        return np.where(np.isfinite(order[rows, chosen]), chosen, -1), cuts
-
     def _placed(self, group: np.ndarray, tree_of: np.ndarray, nodes: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
         """The spans of a group of open nodes, and every node's number in it, or -1."""
         place = np.full(nodes + 1, -1)
         place[group] = np.arange(len(group))
         return self._spans(tree_of[group]), place
 
-    @staticmethod
-    def _means(sums: np.ndarray) -> np.ndarray:
-        """Label means of nodes from (rows, weight, label sums)."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(sums[:, 1:2] > 0, sums[:, 2:] / sums[:, 1:2], 0.0)
+    def _below(self, blocks: DataFrame, grove: Grove, aside: np.ndarray, levels: np.ndarray, tree_of: np.ndarray, width: int, rows: int,
+               draws: int, norm: tuple[float, float]) -> DataFrame:
+        """(node, feature, threshold, values, gains) of the subtrees below the nodes set aside, each grown by the task that gets the node's rows."""
+        trees, place = np.unique(tree_of[aside]).tolist(), np.full(len(grove.feature) + 1, -1)
+        place[aside] = np.arange(len(aside))
+        parts, depth, least_rows, seed, (centre, scale) = (self.n_classes or 1) + 2, self.depth, self.least_rows, self.seed, norm
+        owners, below = tree_of[aside], [math.inf if depth is None else depth - v for v in levels.tolist()]
+        n_classes, names = self.n_classes, ["x", "parts", "low", "high"]
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+
+            def settle() -> Iterator[pa.RecordBatch]:
+                columns = [np.concatenate(v) for v in zip(*held)]
+                columns = [v.reshape(len(columns[2]), -1) for v in columns]
+                held.clear()
+                reached = routable(columns[0])
+                for tree in trees:  # from the roots: noted places know the nodes open at their level only
+                    node = place.take(grove.places(reached, tree))
+                    order = np.argsort(node, kind="stable")
+                    ordered = node[order]
+                    starts = np.flatnonzero(np.diff(ordered, prepend=-2))
+                    runs = [order[i:j] for i, j in zip(starts, [*starts[1:], len(order)]) if ordered[i] >= 0]
+                    numbers = [int(v) for v in ordered[starts] if v >= 0]
+                    packed = [pa.array([v[r].tobytes() for r in runs], pa.binary()) for v in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *packed], ["node", *names])
+
+            size = 0
+            for batch in batches:
+                for block in zip(*batch.columns):
+                    held.append(tuple(np.frombuffer(p.as_buffer()) for p in block))
+                    size += len(held[-1][2])
+                    if size >= CHUNK_ROWS:
+                        yield from settle()
+                        size = 0
+            if held:
+                yield from settle()
+
+        def grow(key: tuple, table: pa.Table) -> pa.Table:
+            i = key[0].as_py()
+            x, sums, low, high = (np.frombuffer(b"".join(table[c].to_pylist())) for c in names)
+            luck = np.random.default_rng([seed, int(owners[i]), int(aside[i]), 1])
+            feature, threshold, sums, gains = grown(x.reshape(len(low), width), sums.reshape(len(low), parts), low, high, draws, below[i], least_rows, luck)
+            leaf = feature < 0
+            values = means(sums[leaf])
+            found = [feature.astype(np.int32), threshold[~leaf], values if n_classes else values * scale + centre, gains]
+            return pa.table([pa.array([int(aside[i])]), *[pa.array([v.tobytes()], pa.binary()) for v in found]], names=["node", *SUBTREE, "gains"])
+
+        tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-rows * len(trees) // TASK_ROWS))
+        dealt = blocks.select(*names).mapInArrow(deal, ", ".join(["node long", *[f"{c} binary" for c in names]])).repartition(tasks, "node")
+        return durable(dealt.groupBy("node").applyInArrow(grow, ", ".join(["node long", *[f"{c} binary" for c in (*SUBTREE, "gains")]])))
 
     def _fit(self, df: DataFrame) -> RandomTreesModel:
         first = df.select(F.max(F.size(vector_to_array(FEATURES))), F.avg(col(LABEL)), F.max(F.abs(col(LABEL))), F.count("*")).first()
@@ -425,19 +538,26 @@ class RandomTrees(Estimator):
         centre, scale = (0.0, 1.0) if self.n_classes or first[1] is None else (float(first[1]), max(float(first[2]) + abs(float(first[1])), 1e-300))
         norm, parts = (centre, scale), (self.n_classes or 1) + 1
         draws = min(width, max(1, int(math.sqrt(width)))) if self.features == "sqrt" else width
-        blocks = self._blocks(df, first[3], norm)
+        blocks, distinct = self._blocks(df, first[3], norm), first[3]
         if width:
-            blocks = self._folded(blocks, first[3], width)
+            blocks, distinct = self._folded(blocks, first[3], width)
+        most = 2 * distinct if self.depth is None else min(2 * distinct, 1 << min(self.depth + 1, 62))
+        local, aside, levels = most * self.trees > NODES, [], []
         tree_of = np.arange(self.trees)
         feature, threshold, left = np.full(self.trees, -1), np.zeros(self.trees), np.full(self.trees, -1)
         gains, level, opened = np.zeros(max(width, 1)), 0, np.arange(self.trees)
         sums, n_rows, kept = np.repeat(self._whole(blocks)[None], self.trees, axis=0), first[3], None
-        values = self._means(sums)
+        values = means(sums)
         size = max(1, CELLS // max(2 * (width + 1), draws * (parts + 1), 1))
         while len(opened) and width and (self.depth is None or level < self.depth):
             grove = Grove(np.arange(self.trees), feature, threshold, left)
             able = sums[:, 0] >= max(self.least_rows, 2)
-            opened, sums, grown = opened[able], sums[able], []
+            opened, sums, split_nodes = opened[able], sums[able], []
+            if local:
+                small = sums[:, 0] <= LOCAL_ROWS
+                aside.append(opened[small])
+                levels.append(np.full(np.count_nonzero(small), level))
+                opened, sums = opened[~small], sums[~small]
             if kept:
                 kept.outside = len(feature)
             if level and level % KEEP_LEVELS == 0 and n_rows * self.trees >= KEEP_CELLS and len(opened):
@@ -455,7 +575,7 @@ class RandomTrees(Estimator):
                     continue
                 spans, place = self._placed(group, tree_of, len(feature))
                 # Numbers are drawn for all open nodes of a tree in their order; ``start`` keeps groups of one tree apart.
-                pairs = [self._drawn(t, level * 1_000_003 + start, least[i : i + n], most[i : i + n], draws) for t, i, n in spans]
+                pairs = [drawn(np.random.default_rng([self.seed, t, level * 1_000_003 + start]), least[i : i + n], most[i : i + n], draws) for t, i, n in spans]
                 chosen, cuts = (np.concatenate(p) for p in zip(*pairs))
                 below = self._left_of(blocks, kept, grove, spans, place, chosen, cuts, width)
                 one, two = (v[..., 1:] / UNIT for v in (below, whole[:, None] - below))
@@ -463,26 +583,36 @@ class RandomTrees(Estimator):
                 best = np.where(chosen >= 0, gain, -np.inf).argmax(axis=1)
                 rows = np.arange(len(group))
                 np.add.at(gains, chosen[rows, best], np.maximum(gain[rows, best], 0))
-                grown.append((group, chosen[rows, best], cuts[rows, best], below[rows, best], whole - below[rows, best]))
+                split_nodes.append((group, chosen[rows, best], cuts[rows, best], below[rows, best], whole - below[rows, best]))
             level += 1
-            if not grown:
+            if not split_nodes:
                 break
-            group, f, cut, low, high = (np.concatenate(p) for p in zip(*grown))
+            group, f, cut, low, high = (np.concatenate(p) for p in zip(*split_nodes))
             feature[group], threshold[group], left[group] = f, cut, len(feature) + 2 * np.arange(len(group))
             opened = np.arange(len(feature), len(feature) + 2 * len(group))
             sums = np.stack([low, high], axis=1).reshape(len(opened), -1)
             tree_of = np.concatenate([tree_of, np.repeat(tree_of[group], 2)])
             feature, left = np.concatenate([feature, np.full(len(opened), -1)]), np.concatenate([left, np.full(len(opened), -1)])
-            threshold, values = np.concatenate([threshold, np.zeros(len(opened))]), np.concatenate([values, self._means(sums)])
+            threshold, values = np.concatenate([threshold, np.zeros(len(opened))]), np.concatenate([values, means(sums)])
+        aside, tables = np.concatenate(aside) if aside else np.zeros(0, int), {}
+        if len(aside):
+            grove = Grove(np.arange(self.trees), feature, threshold, left)
+            found = self._below(blocks, grove, aside, np.concatenate(levels), tree_of, width, first[3], draws, norm)
+            shares = found.select("node", "gains").toArrow().sort_by("node")["gains"].to_pylist()
+            gains = gains + np.frombuffer(b"".join(shares)).reshape(-1, width).sum(axis=0)
+            tables["subtrees"] = found.drop("gains")
         blocks.unpersist()
         if not self.n_classes:
             values = values * scale + centre
         share = gains[:width] / gains.sum() if gains.sum() else gains[:width]
         return RandomTreesModel({"n_classes": self.n_classes, "trees": self.trees, "feature": feature.tolist(), "threshold": threshold.tolist(),
-                                 "left": left.tolist(), "values": values.tolist(), "importances": share.tolist()})
+                                 "left": left.tolist(), "values": values.tolist(), "importances": share.tolist(), "aside": np.sort(aside).tolist(),
+                                 "norm": norm}, tables)
 
 
 class RandomTreesModel(FittedStage):
+    """Needs the row id column in the rows it scores where it has a table of subtrees."""
+
     def importances(self) -> np.ndarray:
         return np.array(self.state["importances"])
 
@@ -490,7 +620,70 @@ class RandomTreesModel(FittedStage):
     def getNumTrees(self) -> int:
         return self.state["trees"]
 
+    def _joined(self, df: DataFrame) -> DataFrame:
+        """Rows go down the upper nodes, are brought to the subtrees by node, and each row's values are added up."""
+        trees, n_classes, values, (centre, scale) = self.state["trees"], self.state["n_classes"], np.array(self.state["values"]), self.state["norm"]
+        grove = Grove(np.arange(trees), *(np.array(self.state[k]) for k in ("feature", "threshold", "left")))
+        outside = np.zeros(len(values), bool)
+        outside[self.state["aside"]] = True
+        k, salts = values.shape[1], max(1, -(-df.rdd.getNumPartitions() // SALT_PARTS))
+        names = [f"v{i}" for i in range(k)]
+
+        def whole(v: np.ndarray) -> np.ndarray:
+            return np.rint((v if n_classes else (v - centre) / scale) * WHOLE).astype(np.int64)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                qid, salt = np.array(batch.column(0)), batch.column(2)[0].as_py()
+                x = np.array(batch.column(1).flatten(), float).reshape(len(qid), -1)
+                reached, known = routable(x), np.zeros((len(qid), k), np.int64)
+                for tree in range(trees):
+                    node = grove.places(reached, tree)
+                    known += np.where(outside[node][:, None], 0, whole(values[node]))
+                    rows = np.flatnonzero(outside[node])
+                    order = rows[np.argsort(node[rows], kind="stable")]
+                    starts = np.flatnonzero(np.diff(node[order], prepend=-1))
+                    runs = [order[i:j] for i, j in zip(starts, [*starts[1:], len(order)])]
+                    packed = [pa.array([v[r].tobytes() for r in runs], pa.binary()) for v in (qid, reached)]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[order[starts]], pa.int64()), pa.array([salt] * len(runs), pa.int32()), *packed],
+                                                     ["node", "salt", "qid", "x"])
+                # Sums that are known already have keys of their own below zero.
+                packed = [pa.array([v.tobytes()], pa.binary()) for v in (qid, known)]
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - (int(qid[0]) & (1 << 62) - 1)]), pa.array([salt], pa.int32()), *packed], ["node", "salt", "qid", "x"])
+
+        def answer(key: tuple, rows: pa.Table, subtree: pa.Table) -> pa.Table:
+            qid = np.frombuffer(b"".join(rows["qid"].to_pylist()), np.int64)
+            blob = b"".join(rows["x"].to_pylist())
+            if key[0].as_py() < 0 or not len(qid):
+                found = np.frombuffer(blob, np.int64).reshape(len(qid), k)
+            else:
+                feature, cuts, leaves = (np.frombuffer(subtree[c][0].as_buffer(), t) for c, t in zip(SUBTREE, (np.int32, float, float)))
+                leaf = feature < 0
+                threshold, left, own = np.zeros(len(feature)), np.full(len(feature), -1), np.zeros((len(feature), k))
+                threshold[~leaf], left[~leaf], own[leaf] = cuts, 1 + 2 * np.arange(len(cuts)), leaves.reshape(-1, k)
+                below = Grove(np.zeros(1, int), feature, threshold, left)
+                found = whole(own[below.places(np.frombuffer(blob).reshape(len(qid), -1), 0)])
+            return pa.table([pa.array(qid), *[pa.array(np.ascontiguousarray(v)) for v in found.T]], names=["qid", *names])
+
+        salt = (F.spark_partition_id() % salts).cast("int").alias("salt")
+        points = df.select(col(ROW_ID).cast("bigint").alias("qid"), vector_to_array(FEATURES).alias("x"), salt)
+        dealt = points.mapInArrow(deal, "node long, salt int, qid binary, x binary")
+        subtrees = self.tables["subtrees"].withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        paired = dealt.groupBy("node", "salt").cogroup(subtrees.groupBy("node", "salt"))
+        schema = ", ".join(["qid long", *[f"{c} long" for c in names]])
+        summed = paired.applyInArrow(answer, schema).groupBy("qid").agg(*[F.sum(c).alias(c) for c in names])
+        mean = [F.col(c) / F.lit(WHOLE * trees) for c in names]
+        if not n_classes:
+            answers = summed.select("qid", (mean[0] * F.lit(scale) + F.lit(centre)).alias(PREDICTION))
+        else:
+            answers = _best(summed.select("qid", F.array(*mean).alias("_chances")))
+        return df.join(answers, col(ROW_ID).cast("bigint") == F.col("qid"), "left").drop("qid")
+
     def _transform(self, df: DataFrame) -> DataFrame:
+        if self.tables:
+            return self._joined(df)
         trees, n_classes, values = self.state["trees"], self.state["n_classes"], np.array(self.state["values"])
         grove = Grove(np.arange(trees), *(np.array(self.state[k]) for k in ("feature", "threshold", "left")))
 
@@ -510,6 +703,9 @@ class RandomTreesModel(FittedStage):
         def chances(points: pd.Series) -> pd.Series:
             return pd.Series(list(mean(points)) if len(points) else [], dtype=object)
 
-        out = df.withColumn("_chances", chances(vector_to_array(FEATURES)))
-        best = (F.array_position("_chances", F.array_max("_chances")) - 1).cast("double")
-        return out.withColumns({PROBABILITY: array_to_vector("_chances"), PREDICTION: best}).drop("_chances")
+        return _best(df.withColumn("_chances", chances(vector_to_array(FEATURES))))
+
+
+def _best(df: DataFrame) -> DataFrame:
+    best = (F.array_position("_chances", F.array_max("_chances")) - 1).cast("double")
+    return df.withColumns({PROBABILITY: array_to_vector("_chances"), PREDICTION: best}).drop("_chances")

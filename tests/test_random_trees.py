@@ -151,3 +151,39 @@ def test_noted_places_give_the_same_trees_and_the_last_level_costs_no_pass(spark
     monkeypatch.setattr(random_trees, "KEEP_CELLS", 0)
     assert RandomTrees(3, 5, 8).fit(frame(spark, x, y, w)).state == shallow
     assert passes[8:] == [False] * 3 + [True] * 5
+
+
+@pytest.mark.parametrize("classes,depth", [(3, None), (3, 6), (None, None)])
+def test_small_nodes_are_grown_by_tasks_and_kept_in_a_table(spark, tmp_path, monkeypatch, classes, depth):
+    """Grown to the end the driver holds the nodes of more than so many rows and their children, not a node per row and tree."""
+    monkeypatch.setattr(random_trees, "NODES", 100)
+    monkeypatch.setattr(random_trees, "LOCAL_ROWS", 60)
+    monkeypatch.setattr(random_trees, "KEEP_CELLS", 0)
+    x, y, w = points(900)
+    y = y if classes else np.round(1000 + 50 * x[:, 0] - 20 * x[:, 1])
+    models = [RandomTrees(classes, 5, depth).fit(frame(spark, x, y, w, parts)) for parts in (1, 6)]
+    assert models[0].state == models[1].state and len(models[0].state["feature"]) < 5 * 150 and models[0].state["aside"]
+    table = {r["node"]: r for r in models[0].tables["subtrees"].collect()}
+    assert sorted(table) == models[0].state["aside"] and table == {r["node"]: r for r in models[1].tables["subtrees"].collect()}
+    models[0].write().overwrite().save(str(tmp_path / "trees"))
+    again = RandomTreesModel.read().load(str(tmp_path / "trees"))
+    monkeypatch.setattr(random_trees, "SALT_PARTS", 2)
+    first, second = (predictions(m, frame(spark, x, y, w, 6)) for m in (models[0], again))
+    assert first == second
+    got = np.array([r["_prediction"] for r in first])
+    assert depth is not None or np.allclose(got, y, atol=1e-3), "grown to the end, trees know their own rows"
+    if classes:
+        assert all(abs(r["_probability"].toArray().sum() - 1) < 1e-9 for r in first) and np.mean(got == y) > 0.8
+
+
+def test_a_tree_grown_by_a_task_follows_the_rules_of_the_levels():
+    x, y, w = points(300)
+    parts = RandomTrees(3)._parts(y, w, 0.0, 1.0)
+    sums = np.column_stack([np.ones(300), parts])
+    feature, threshold, total, gains = random_trees.grown(x, sums, y, y, 2, np.inf, 2, np.random.default_rng(1))
+    left = np.where(feature >= 0, 1 + 2 * (np.cumsum(feature >= 0) - 1), -1)
+    leaf = random_trees.Grove(np.zeros(1, int), feature, threshold, left).places(x, 0)
+    assert set(leaf) == set(np.flatnonzero(feature < 0)) and 2 not in feature and gains.sum() > 0
+    for node in set(leaf):
+        assert len(set(y[leaf == node])) == 1 and np.array_equal(total[node], sums[leaf == node].sum(axis=0))
+    assert len(random_trees.grown(x, sums, y, y, 2, 2, 2, np.random.default_rng(1))[0]) <= 7
