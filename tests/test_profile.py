@@ -250,3 +250,21 @@ def test_fingerprint_query_shuffles_into_more_tasks_as_rows_grow(spark, monkeypa
     monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *c: parts.append(n) or plain(self, n, *c))
     row = profiling.fingerprint_lineitem(spark, "/root/testdata/sf0.001").first()
     assert parts == [5 + row["rows"] // 1000] and row["same_in_any_order"]
+
+
+def test_correlation_takes_one_pass_whatever_the_offsets(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=3000)
+    data = {"a": 1e9 + x, "b": np.sort(draw.normal(size=3000)) * 1e6, "c": np.full(3000, 0.1), "d": np.where(draw.random(3000) < 0.3, np.nan, 5e8 - x + draw.normal(size=3000)),
+            "e": np.arange(3000) * 1000.0}
+    plain = pd.DataFrame(data)
+    df = spark.createDataFrame(plain).selectExpr("a", "b", "c", "nullif(d, double('nan')) as d", "e").repartitionByRange(7, "e")
+    spark.sparkContext.setJobGroup("one pass", "")
+    table = correlation.correlation(df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("one pass"), "no pass finds the means first"
+    spark.sparkContext.setJobGroup("", "")
+    expected = (plain - plain.median()).corr()  # pandas itself loses digits to an offset
+    for row in table.collect():
+        want = expected.loc[row["col_i"], row["col_j"]]
+        assert row["n"] == (plain[row["col_i"]].notna() & plain[row["col_j"]].notna()).sum()
+        assert (row["r"] is None) == ("c" in (row["col_i"], row["col_j"])) and (row["r"] is None or abs(row["r"] - want) < 1e-9)
