@@ -211,7 +211,7 @@ def train_models(
         raise RuntimeError(f"No model could be trained: {errors}")
     board = _leaderboard(runs, errors, spec)
     best = board.first()["Model"]
-    cached = [table.base]
+    cached = [table.base, *data.cleaning.cached]
     if shared:
         cached += [t for t in (shared.train, shared.test, shared.split) if t is not None]
     return TrainingSummary(board, runs, errors, best, data, table.labels, cached)
