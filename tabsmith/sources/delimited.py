@@ -19,6 +19,10 @@ MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+MAY_BE_NUMBER = r"(?s)^[\x00-\x20]*[+-]?(?:[0-9.]+(?:[eE][+-]?[0-9]+)?[dDfF]?|0[xX].*|[iI][nN][fF].*|[nN][aA][nN].*)[\x00-\x20]*$"
+"""Every text that Spark casts to a double, and few others."""
+MAY_BE_INTEGER = r"^[\x00-\x20\x7F-\x9F]*[+-]?[0-9]+[\x00-\x20\x7F-\x9F]*$"
+"""Every text without a point that Spark casts to a bigint, and few others."""
 
 
 class TableLoadError(ValueError):
@@ -56,8 +60,9 @@ def check_headers(spark: SparkSession, paths: Sequence[str]) -> None:
     """All files begin with the same line."""
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
+        F.monotonically_increasing_id().alias("at"), "value")
     first = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("value"))
+    first = first.withColumn("value", F.regexp_replace("value", "^\ufeff|\r$", ""))
     found = [r["value"] for r in first.select("value").distinct().limit(2).collect()]
     if len(found) > 1:
         raise TableLoadError(f"The files begin with different headers: {found[0]!r} and {found[1]!r}.")
@@ -103,9 +108,10 @@ def infer_types(df: DataFrame) -> DataFrame:
 
     One scan tests every column against every type.
     """
+    # A cast that fails costs a Java exception for every value: only what may be a number is cast.
     tests = {
-        "bigint": lambda x: x.try_cast("bigint").isNotNull() & ~x.contains("."),
-        "double": lambda x: x.try_cast("double").isNotNull() & ~F.lower(x).rlike("[df]$"),
+        "bigint": lambda x: F.when(x.rlike(MAY_BE_INTEGER), x.try_cast("bigint").isNotNull()).otherwise(False),
+        "double": lambda x: F.when(x.rlike(MAY_BE_NUMBER), x.try_cast("double").isNotNull() & ~F.lower(x).rlike("[df]$")).otherwise(False),
         "boolean": lambda x: x.isin("True", "False", "TRUE", "FALSE", "true", "false"),
     }
     aggs = []

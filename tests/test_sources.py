@@ -3,7 +3,9 @@ from __future__ import annotations
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from tabsmith.sources import delimited
 from tabsmith.sources.audit import FileRejected, audit_folder, check_file
 from tabsmith.sources.delimited import TableLoadError, file_encodings, read_csv
 from tabsmith.sources.tables import load_table
@@ -108,3 +110,20 @@ def test_single_file_checks(spark):
         check_file(spark, "a.csv", 10, "image/png")
     check_file(spark, "a.csv", 10, "text/csv", head=b"a,b")
     check_file(spark, "a.parquet", 10, "image/png", head=b"PAR1")
+
+
+def test_every_text_that_casts_to_a_number_is_tested(spark):
+    """Only texts of this form are cast, as a failed cast costs an exception a row."""
+    texts = ["1", "-1.5", "+.5", "5.", "1e5", "1E-3", "1d", "2F", "0x1p3", "-0X1.8P-2", "NaN", "-nan", "inf", "+Infinity", "-INF", "\t12\n", "\u000112", "1_0", "x", "",
+             ".", "1-2", "5-LOW", "1998-02-06", "e5", "١"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.selectExpr("t", "try_cast(t as double) is not null as number").collect()
+    assert sum(r["number"] for r in rows) >= 14
+    guarded = {r["t"] for r in df.filter(F.col("t").rlike(delimited.MAY_BE_NUMBER)).collect()}
+    assert all(r["t"] in guarded for r in rows if r["number"])
+    assert not guarded & {"x", "", "5-LOW", "1998-02-06", "1-2", "e5"}
+    whole = df.filter("try_cast(t as bigint) is not null and not contains(t, '.')").collect()
+    guarded = {r["t"] for r in df.filter(F.col("t").rlike(delimited.MAY_BE_INTEGER)).collect()}
+    assert guarded == {r["t"] for r in whole} == {"1", "\t12\n", "\u000112"}
+    kinds = spark.createDataFrame([("5-LOW", "1.5", "0x1p3", "-Infinity"), (None, " 2 ", "7", "3")], "a string, b string, c string, d string")
+    assert dict(delimited.infer_types(kinds).dtypes) == {"a": "string", "b": "double", "c": "double", "d": "double"}
