@@ -1,11 +1,11 @@
 """Exact nearest neighbours as a partitioned join.
 
-Rows are assigned to the nearest of a bounded number of pivots. A query needs only those cells that
-can hold one of its k nearest rows: an upper bound of the k-th distance follows from the pivots, and a
-cell farther away than that bound is skipped without loss (after Lu et al., "Efficient Processing of k
-Nearest Neighbor Joins using MapReduce", VLDB 2012). Cells and their queries are cut into blocks of
-bounded size, so a dense cell is many tasks. A block keeps at most k rows per query; blocks of one
-query meet in a window that stops at k. No block of pairs ever leaves a task.
+Rows are assigned to the nearest of a bounded number of pivots. A query searches its own cell first, which
+bounds its k-th distance; a cell farther away than that bound is skipped without loss (after Lu et al., "Efficient
+Processing of k Nearest Neighbor Joins using MapReduce", VLDB 2012). Cells and their queries are cut into blocks of
+bounded size, so a dense cell is many tasks, and boxes of close rows are skipped within a block in the same way. A
+block keeps at most k rows per query; blocks of one query meet in a window that stops at k. No block of pairs ever
+leaves a task.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ BLOCK_ROWS = 8_192
 QUERY_ROWS = 8_192
 CELL_ROWS = 4_096
 MAX_PIVOTS = 1_024
+LEAF_ROWS = 64
+"""Rows of a block that are skipped or measured together."""
 PAIRS_AT_ONCE = 2_000_000_000
 """Pairs of rows and donors that are measured without a search."""
 MAX_GAP_SETS = 8
@@ -61,56 +64,202 @@ def _chunks(n: int, size: int) -> Iterator[slice]:
         yield slice(start, start + size)
 
 
-def _route(
-    queries: DataFrame, train: DataFrame, k: int, n_pivots: int
-) -> tuple[DataFrame, DataFrame, dict[int, tuple[int, float]]]:
-    """(train rows with their cell, queries with each cell they need, cell -> (rows, radius))."""
-    drawn = train.orderBy(F.xxhash64("tid"), "tid").limit(n_pivots).select("x").collect()
-    pivots = np.array([r["x"] for r in drawn], dtype=float)
+def _leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
+    """Positions of the rows in groups of at most ``size`` that lie close together: halves along the widest coordinate."""
+    done, left = [], [np.arange(len(points))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= size:
+            done.append(rows)
+            continue
+        part = points[rows]
+        widest = int((part.max(axis=0) - part.min(axis=0)).argmax())
+        half = len(rows) // 2
+        order = np.argpartition(part[:, widest], half)
+        left += [rows[order[:half]], rows[order[half:]]]
+    return done
+
+
+def near_rows(asked: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row of ``asked``, row of ``points``, squared distance) of the k nearest points each, ties by id, by row and place.
+
+    Points are cut into leaves, and asked rows into tiles, that lie close together; a tile measures the leaves whose box is near enough only.
+    Points farther than the square root of ``bounds`` may be left out.
+    """
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    if len(asked) and len(points) and k > 0:
+        k = min(k, len(points))
+        by_id = np.argsort(ids, kind="stable")
+        points = points[by_id]
+        # Boxes say nothing about infinite numbers.
+        plain = not points.shape[1] or not (np.isfinite(points).all() and np.isfinite(asked).all())
+        leaves = [np.arange(len(points))] if plain else _leaves(points, LEAF_ROWS)
+        size = len(asked) if plain else LEAF_ROWS * len(asked) // len(points)
+        size = min(max(size, 8), LEAF_ROWS)
+        tiles = [np.arange(len(asked))[part] for part in _chunks(len(asked), size)] if plain else _leaves(asked, size)
+        low, high = (np.array([f(points[leaf], axis=0) for leaf in leaves]) for f in (np.min, np.max))
+        sizes = np.array([len(leaf) for leaf in leaves])
+        for tile in tiles:
+            q = asked[tile]
+            if plain:
+                apart = np.zeros(1)
+            else:
+                gap = np.maximum(np.maximum(low - q.max(axis=0), q.min(axis=0) - high), 0.0)
+                apart = (gap * gap).sum(axis=1)
+            order = apart.argsort(kind="stable")
+            first = max(int(np.searchsorted(sizes[order].cumsum(), k)) + 1, int((apart == 0).sum()))
+            at = np.concatenate([leaves[i] for i in order[:first]])
+            d = squared_distances(q, points[at])
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+            if bounds is not None:
+                limit = np.minimum(limit, bounds[tile])
+            more = [leaves[i] for i in order[first:] if apart[i] <= limit.max() * (1 + 1e-9)]
+            if more:
+                rest = np.concatenate(more)
+                at, d = np.concatenate([at, rest]), np.concatenate([d, squared_distances(q, points[rest])], axis=1)
+                limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+            row, column = np.nonzero(d <= limit[:, None])
+            value, column = d[row, column], at[column]
+            best = np.lexsort((column, value, row))
+            row, column, value = row[best], column[best], value[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = place < k
+            for some, found in zip(out, (tile[row[kept]], by_id[column[kept]], value[kept])):
+                some.append(found)
+    row, column, value = (np.concatenate(some) for some in out)
+    by_row = np.argsort(row, kind="stable")
+    return row[by_row], column[by_row], value[by_row]
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    """The matrix of a column of arrays of the same length."""
+    values = table.column(name).combine_chunks()
+    return np.array(values.flatten(), float).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0))
+
+
+def _blocks(queries: DataFrame, train: DataFrame, cells: dict[int, int], asked: dict[int, int], block_rows: int, query_rows: int, first_only: bool):
+    """``queries(cell, skip, ..)`` and ``train(cell, ..)`` cogrouped by blocks of bounded size: parts of a cell by parts of its queries.
+
+    ``skip`` is the number of first parts a query leaves out; ``first_only`` takes the first part of each cell only.
+    """
+    spark = queries.sparkSession
+    plan = [(int(c), max(1, math.ceil(cells[c] / block_rows)), max(1, math.ceil(asked[c] / query_rows))) for c in sorted(cells) if asked.get(c)]
+    layout = F.broadcast(spark.createDataFrame(plan, "cell int, t_parts int, q_parts int"))
+    t_part = F.lit(0) if first_only else F.explode(F.when(F.col("skip") < F.col("t_parts"), F.sequence("skip", F.col("t_parts") - 1)))
+    left = queries.join(layout, "cell").select(
+        *queries.columns, t_part.alias("t_part"), F.pmod(F.xxhash64("qid"), F.col("q_parts")).cast("int").alias("q_part"))
+    right = train.join(layout, "cell").select(
+        "cell", F.pmod(F.xxhash64("tid"), F.col("t_parts")).cast("int").alias("t_part"),
+        F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"), "tid", F.col("x").alias("tx"))
+    if first_only:
+        right = right.filter(F.col("t_part") == 0)
+    keys = ["cell", "t_part", "q_part"]
+    # The work of a block is not in its bytes: small shuffles must not be merged into few tasks.
+    groups = sum(q * (1 if first_only else t) for _, t, q in plan)
+    tasks = max(1, min(groups, max(4 * spark.sparkContext.defaultParallelism, groups // 4)))
+    left, right = (side.repartition(tasks, *keys) for side in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+
 
+def _place(rows: DataFrame, name: str, pivots: np.ndarray, numbers: np.ndarray) -> DataFrame:
+    """Rows (``name``, x) with the number of the nearest pivot as ``cell``, and their ``gap`` to it."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _chunks(len(batch), 4096):
-                rows = batch.iloc[part]
-                d = np.sqrt(squared_distances(_matrix(rows["x"]), pivots))
+                some = batch.iloc[part]
+                d = np.sqrt(squared_distances(_matrix(some["x"]), pivots))
                 cell = d.argmin(axis=1)
-                yield rows.assign(cell=cell.astype("int32"), gap=d[np.arange(len(rows)), cell])
+                yield some.assign(cell=numbers[cell].astype("int32"), gap=d[np.arange(len(some)), cell])
+
+    return durable(rows.select(name, "x").mapInPandas(place, f"{name} bigint, x array<double>, cell int, gap double"))
+
+
+def _in_cells(queries: DataFrame, train: DataFrame, k: int, n_pivots: int, block_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(final rows with place, candidate rows of the queries that more than one block can answer), distances squared.
 
-    placed = train.select("tid", "x").mapInPandas(place, "tid bigint, x array<double>, cell int, gap double")
-    placed = durable(placed)  # read three times below
+    A query searches the first block of its own cell, which bounds its k-th distance. Only cells that can hold a nearer row are searched then.
+    """
+    drawn = train.orderBy(F.xxhash64("tid"), "tid").limit(n_pivots).select("x").collect()
+    pivots = np.array([r["x"] for r in drawn], dtype=float)
+    placed = _place(train, "tid", pivots, np.arange(len(pivots)))
     by_gap = Window.partitionBy("cell").orderBy("gap")
     inner = placed.withColumn("r", F.row_number().over(by_gap)).filter(F.col("r") <= k)
     size = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius"))
     # Pivots times k numbers: bounded by the arguments.
-    cells = {r["cell"]: (int(r["n"]), float(r["radius"])) for r in size.collect()}
+    sizes = {r["cell"]: (int(r["n"]), float(r["radius"])) for r in size.collect()}
     close: dict[int, list[float]] = {}
     for r in inner.select("cell", "gap").collect():
         close.setdefault(r["cell"], []).append(float(r["gap"]))
-    used = np.array(sorted(cells))
-    centres = pivots[used]
-    radius = np.array([cells[c][1] for c in used])
+    used = np.array(sorted(sizes))
+    cells = {int(c): sizes[c][0] for c in used}
+    centres, radius = pivots[used], np.array([sizes[c][1] for c in used])
     reach = np.full((len(used), k), np.inf)
     for i, c in enumerate(used):
         gaps = sorted(close[c])[:k]
         reach[i, : len(gaps)] = gaps
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in _chunks(len(batch), 1024):
-                rows = batch.iloc[part]
-                d = np.sqrt(squared_distances(_matrix(rows["x"]), centres))
-                bounds = (d[:, :, None] + reach[None, :, :]).reshape(len(rows), -1)
-                kth = min(k, bounds.shape[1]) - 1
-                limit = np.partition(bounds, kth, axis=1)[:, kth]
-                # A little slack keeps rounding from skipping a cell at the very edge of the bound.
-                needed = d - radius[None, :] <= limit[:, None] * (1 + 1e-9) + 1e-12
-                q, c = np.nonzero(needed)
-                yield pd.DataFrame(
-                    {"qid": rows["qid"].to_numpy()[q], "x": rows["x"].to_numpy()[q], "cell": used[c].astype("int32")}
-                )
-
-    routed = queries.select("qid", "x").mapInPandas(route, "qid bigint, x array<double>, cell int")
-    return placed, routed, cells
+    parts = np.array([math.ceil(cells[c] / block_rows) for c in used])
+    position = {int(c): i for i, c in enumerate(used)}
+    homes = _place(queries, "qid", centres, used)
+    asked = {r["cell"]: int(r["n"]) for r in homes.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+    def needed(x: np.ndarray, home: int, limit: np.ndarray) -> Iterator[np.ndarray]:
+        """The cells each row needs besides the first part of its own."""
+        between = np.sqrt(squared_distances(centres[home : home + 1], centres))[0]
+        for part in _chunks(len(x), 1024):
+            d = np.sqrt(squared_distances(x[part], centres))
+            far = limit[part]
+            short = np.flatnonzero(~np.isfinite(far))
+            if len(short):  # fewer than k rows in the block
+                ends = (d[short][:, :, None] + reach[None]).reshape(len(short), -1)
+                kth = min(k, ends.shape[1]) - 1
+                far = far.copy()
+                far[short] = np.partition(ends, kth, axis=1)[:, kth]
+            # Rows of another cell are nearer to its pivot: they lie behind the plane half way between the two.
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(between > 0, (d * d - d[:, home : home + 1] ** 2) / (2 * between), 0.0)
+                slack = np.where(between > 0, d * d / between, 0.0) * 1e-12
+            # A little slack keeps rounding from skipping a cell at the very edge of the bound.
+            edge = far[:, None] * (1 + 1e-9) + 1e-12
+            open_ = (d - radius <= edge) & (plane - slack <= edge)
+            open_[:, home] = parts[home] > 1
+            for row in open_:
+                yield used[np.flatnonzero(row)]
+
+    def first(q: pa.Table, t: pa.Table) -> pa.Table:
+        x = _numbers(q, "x")
+        row, at, d = near_rows(x, _numbers(t, "tx"), np.array(t.column("tid")), k) if t.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        starts = np.searchsorted(row, np.arange(q.num_rows + 1))
+        full = np.diff(starts) >= k
+        limit = np.full(q.num_rows, np.inf)
+        limit[full] = np.sqrt(d[starts[1:][full] - 1])
+        more = list(needed(x, position[q.column("cell")[0].as_py()], limit)) if q.num_rows else []
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in more])])
+        lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in (
+            (starts, pa.array(np.array(t.column("tid"))[at] if t.num_rows else at, pa.int64())), (starts, pa.array(d, pa.float64())),
+            (ends, pa.array(np.concatenate([np.zeros(0, np.int32), *more]).astype(np.int32))))]
+        return pa.table([q.column("qid"), q.column("x"), q.column("cell"), pa.array(limit), *lists], ["qid", "x", "cell", "far", "tids", "squares", "more"])
+
+    def second(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows or not t.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["qid", "tid", "distance"])
+        bounds = np.array(q.column("far"), float) ** 2 * (1 + 1e-9)
+        row, at, d = near_rows(_numbers(q, "x"), _numbers(t, "tx"), np.array(t.column("tid")), k, bounds)
+        return pa.table([np.array(q.column("qid"))[row], np.array(t.column("tid"))[at], d], ["qid", "tid", "distance"])
+
+    answers = _blocks(homes.select("qid", "x", "cell", F.lit(0).alias("skip")), placed, cells, asked, block_rows, query_rows, True)
+    answers = durable(answers.applyInArrow(
+        first, "qid bigint, x array<double>, cell int, far double, tids array<bigint>, squares array<double>, more array<int>"))
+    pair = F.posexplode(F.arrays_zip("tids", "squares")).alias("at", "pair")
+    found = answers.select("qid", F.size("more").alias("open"), pair).select(
+        "qid", F.col("pair.tids").alias("tid"), F.col("pair.squares").alias("distance"), (F.col("at") + 1).alias("place"), "open")
+    settled, candidates = found.filter("open = 0").drop("open"), found.filter("open > 0").drop("open", "place")
+    routed = answers.select("qid", "x", "far", F.col("cell").alias("home"), F.explode("more").alias("cell"))
+    routed = routed.select("qid", "x", "cell", "far", (F.col("home") == F.col("cell")).cast("int").alias("skip"))
+    again = {r["cell"]: int(r["n"]) for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    if again:
+        rest = _blocks(routed, placed, cells, again, block_rows, query_rows, False)
+        candidates = candidates.unionByName(rest.applyInArrow(second, "qid bigint, tid bigint, distance double"))
+    return settled, candidates
 
 
 def nearest(
@@ -129,58 +278,28 @@ def nearest(
     ``x`` is an array of doubles without nulls; ids are bigint and unique. Euclidean distance, ties by
     ``tid``. Exact for any data; how much is skipped depends on how well the pivots separate it.
     """
-    spark = queries.sparkSession
     n = train.count()
     if n == 0 or k < 1:
-        return spark.createDataFrame([], "qid bigint, tid bigint, distance double, place int")
+        return queries.sparkSession.createDataFrame([], "qid bigint, tid bigint, distance double, place int")
     n_pivots = int(min(max_pivots, max(1, n // cell_rows)))
     if n_pivots == 1:
-        placed = train.select("tid", "x", F.lit(0).alias("cell"))
-        routed = queries.select("qid", "x", F.lit(0).alias("cell"))
-        cells, asked = {0: (n, math.inf)}, {0: queries.count()}
-    else:
-        placed, routed, cells = _route(queries, train, k, n_pivots)
-        asked = {r["cell"]: int(r["n"]) for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = [
-        (int(c), max(1, math.ceil(cells[c][0] / block_rows)), max(1, math.ceil(asked.get(c, 0) / query_rows)))
-        for c in sorted(cells)
-    ]
-    layout = F.broadcast(spark.createDataFrame(plan, "cell int, t_parts int, q_parts int"))
-    left = routed.join(layout, "cell").select(
-        "cell",
-        F.explode(F.sequence(F.lit(0), F.col("t_parts") - 1)).alias("t_part"),
-        F.pmod(F.xxhash64("qid"), F.col("q_parts")).cast("int").alias("q_part"),
-        "qid",
-        "x",
-    )
-    right = placed.join(layout, "cell").select(
-        "cell",
-        F.pmod(F.xxhash64("tid"), F.col("t_parts")).cast("int").alias("t_part"),
-        F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q_part"),
-        "tid",
-        F.col("x").alias("tx"),
-    )
+        one = queries.select("qid", "x", F.lit(0).alias("cell"), F.lit(0).alias("skip"))
+        blocks = _blocks(one, train.select("tid", "x", F.lit(0).alias("cell")), {0: n}, {0: max(queries.count(), 1)}, block_rows, query_rows, False)
 
-    def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"qid": [], "tid": [], "distance": []})
-        ids, points = t["tid"].to_numpy(), _matrix(t["tx"])
-        qids, asked_points = q["qid"].to_numpy(), _matrix(q["x"])
-        out: list[list[np.ndarray]] = [[], [], []]
-        for part in _chunks(len(q), 512):
-            d = squared_distances(asked_points[part], points)
-            for i, near in smallest(d, ids, k):
-                out[0].append(np.full(len(near), qids[part][i]))
-                out[1].append(ids[near])
-                out[2].append(d[i][near] if squared else np.sqrt(d[i][near]))
-        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("qid", "tid", "distance"), out)})
+        def search(q: pa.Table, t: pa.Table) -> pa.Table:
+            if not q.num_rows or not t.num_rows:
+                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["qid", "tid", "distance"])
+            row, at, d = near_rows(_numbers(q, "x"), _numbers(t, "tx"), np.array(t.column("tid")), k)
+            return pa.table([np.array(q.column("qid"))[row], np.array(t.column("tid"))[at], d], ["qid", "tid", "distance"])
 
-    keys = ["cell", "t_part", "q_part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        search, "qid bigint, tid bigint, distance double"
-    )
+        settled, candidates = None, blocks.applyInArrow(search, "qid bigint, tid bigint, distance double")
+    else:
+        settled, candidates = _in_cells(queries, train, k, n_pivots, block_rows, query_rows)
     order = Window.partitionBy("qid").orderBy("distance", "tid")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    found = candidates.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    if settled is not None:
+        found = found.unionByName(settled)
+    return found if squared else found.withColumn("distance", F.sqrt("distance"))
 
 
 def _gap_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -116,6 +116,36 @@ def test_nearest_with_fewer_rows_than_k(spark):
     assert sorted(r["tid"] for r in got) == [0, 1]
 
 
+def test_search_of_a_block_measures_near_leaves_only(monkeypatch):
+    from tabsmith.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    points, asked = rng.normal(size=(3000, 2)), rng.normal(size=(900, 2))
+    points[:500] = points[0]
+    asked[:3] = points[0], [50.0, 50.0], points[1000]
+    ids = rng.permutation(3000)
+    measured, plain = [], neighbours.squared_distances
+    monkeypatch.setattr(neighbours, "squared_distances", lambda a, b: measured.append(len(a) * len(b)) or plain(a, b))
+    row, at, d = neighbours.near_rows(asked, points, ids, 6)
+    assert sum(measured) < 3000 * 900 / 4, "most leaves are skipped"
+    every = plain(asked, points)
+    want = np.array([np.lexsort((ids, every[i]))[:6] for i in range(900)])
+    assert (row == np.repeat(np.arange(900), 6)).all() and (at.reshape(900, 6) == want).all()
+    assert (d.reshape(900, 6) == np.take_along_axis(every, want, axis=1)).all()
+
+
+def test_small_blocks_are_searched_by_tasks_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    train, asked = rng.normal(size=(3000, 2)).tolist(), rng.normal(size=(600, 2)).tolist()
+    found = nearest(_points(spark, asked, "qid"), _points(spark, train, "tid"), 3, cell_rows=100, block_rows=60)
+    assert found.count() == 1800
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan, "a shuffle of few bytes is not merged into few tasks"
+    for r in found.filter("place = 3").limit(50).collect():
+        d = ((np.array(asked[r["qid"]]) - np.array(train)) ** 2).sum(axis=1)
+        assert r["tid"] == np.lexsort((np.arange(3000), d))[2]
+
+
 def _silhouette(x, c, power):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) ** power
     out = []
