@@ -2,8 +2,8 @@
 
 Every round fits one small tree per class to the gradients of a shared softmax. A level of all these trees is one pass: tasks add up weights,
 gradients and curvatures per (class, node, feature, bin), Spark sums them over the tasks, and the driver, which holds these sums only (classes *
-nodes * features * bins, whatever the table), picks the splits. Rows are packed in blocks of bins, stored once in the checkpoint
-folder. Their scores stand beside them and are renewed every ``RENEWED`` rounds, so that a pass evaluates no more than the rounds since.
+nodes * features * bins, whatever the table), picks the splits. Rows alike in bins, label and weight are counted once and packed in blocks, stored in the checkpoint
+folder: a pass reads the different rows. Their scores stand beside them and are renewed every ``RENEWED`` rounds, so that a pass evaluates no more than the rounds since.
 
 Sums are of integers (multiples of 2^-``FRACTION``), so that a model does not depend on the order in which tasks finish.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.columns import col
 from tabsmith.plans.preprocess import FEATURES
 from tabsmith.plans.stages import ROW_ID, FittedStage
-from tabsmith.session import durable
+from tabsmith.session import durable, tasks_of
 
 LABEL, WEIGHT = "_label", "_weight"
 PREDICTION, PROBABILITY = "_prediction", "_probability"
@@ -32,6 +32,8 @@ BINS = 32
 RENEWED = 10
 FRACTION = 28
 UNIT = float(1 << FRACTION)
+MOST_IN_DOUBLES = 1 << 24
+"""Rows of a block whose sums of units doubles hold exactly."""
 LEAST_GAIN = 1e-9
 
 Tree = dict[str, list]
@@ -116,36 +118,53 @@ class MultinomialBoosting(Estimator):
         shares = F.lit([i / BINS for i in range(1, BINS)])
         if not width:
             return []
+        # A sketch has a size of its own, and one task merges those of all tasks: their number must not grow with the rows.
+        rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
         found = rows.agg(*[F.percentile_approx(F.get("x", F.lit(j)), shares, F.lit(100_000)).alias(f"q{j}") for j in range(width)]).first()
         return [sorted(set(q or [])) for q in found]
 
     def _blocks(self, rows: DataFrame, edges: list[list[float]], prior: list[float]) -> DataFrame:
+        """Blocks of the different binned rows, and how often each occurs: rows alike in bins, label and weight share every gradient."""
         n_classes, width = self.n_classes, len(edges)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    x = np.array(batch.column(0).flatten()).reshape(batch.num_rows, width)
-                    values = [binned(x, edges), np.array(batch.column(1)).astype(np.int32), np.array(batch.column(2), float),
-                              np.array(batch.column(3).cast(pa.int8())).astype(np.uint8), np.tile(np.array(prior), (batch.num_rows, 1)).reshape(-1, n_classes)]
-                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["bins", "label", "weight", "held", "score"])
+                n = batch.num_rows
+                bins = binned(np.array(batch.column(0).flatten()).reshape(n, width), edges)
+                ends = pa.py_buffer((np.arange(n + 1) * width).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(bins.tobytes())])
+                yield pa.RecordBatch.from_arrays([packed, *batch.columns[1:]], ["bins", "label", "weight", "held"])
 
-        return rows.mapInArrow(run, "bins binary, label binary, weight binary, held binary, score binary")
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    values = [b"".join(batch.column(0).to_pylist()), np.array(batch.column(1)).astype(np.int32).tobytes(), np.array(batch.column(2), float).tobytes(),
+                              np.array(batch.column(3).cast(pa.int8())).astype(np.uint8).tobytes(), np.array(batch.column(4)).astype(np.int64).tobytes(),
+                              np.tile(np.array(prior), (batch.num_rows, 1)).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["bins", "label", "weight", "held", "n", "score"])
+
+        kind = ["bins", "label", "weight", "held"]
+        counted = rows.mapInArrow(cut, "bins binary, label int, weight double, held boolean").groupBy(*kind).agg(F.count("*").alias("n")).persist()
+        dealt = counted.repartition(tasks_of(rows.sparkSession, counted.count()), *kind)
+        blocks = durable(dealt.mapInArrow(pack, "bins binary, label binary, weight binary, held binary, n binary, score binary")).persist()
+        counted.unpersist()
+        return blocks
 
     @staticmethod
     def _unpacked(batch: pa.RecordBatch, n_classes: int) -> Iterator[tuple[np.ndarray, ...]]:
-        for bins, label, weight, held, score in zip(*batch.columns[:5]):
+        for bins, label, weight, held, n, score in zip(*batch.columns[:6]):
             label = np.frombuffer(label.as_buffer(), np.int32)
             yield (np.frombuffer(bins.as_buffer(), np.uint8).reshape(len(label), -1), label, np.frombuffer(weight.as_buffer()),
-                   np.frombuffer(held.as_buffer(), np.uint8).astype(bool), np.frombuffer(score.as_buffer()).reshape(-1, n_classes))
+                   np.frombuffer(held.as_buffer(), np.uint8).astype(bool), np.frombuffer(n.as_buffer(), np.int64),
+                   np.frombuffer(score.as_buffer()).reshape(-1, n_classes))
 
     def _renewed(self, blocks: DataFrame, rounds: list[list[Tree]]) -> DataFrame:
         n_classes, unpacked = self.n_classes, self._unpacked
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                scores = [(score + added_scores(rounds, bins, n_classes)).tobytes() for bins, _, _, _, score in unpacked(batch, n_classes)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.binary())], batch.schema.names)
+                scores = [(score + added_scores(rounds, bins, n_classes)).tobytes() for bins, *_, score in unpacked(batch, n_classes)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(scores, pa.binary())], batch.schema.names)
 
         return durable(blocks.mapInArrow(run, blocks.schema)).persist()
 
@@ -159,20 +178,26 @@ class MultinomialBoosting(Estimator):
             sums = np.zeros((n_classes, size, 3), np.int64)
             lost = np.zeros(2, np.int64)
             for batch in batches:
-                for bins, label, weight, held, score in unpacked(batch, n_classes):
+                for bins, label, weight, held, n, score in unpacked(batch, n_classes):
                     chance = softmax(score + added_scores(rounds, bins, n_classes))
                     own = np.maximum(chance[np.arange(len(label)), label], 1e-12)
-                    lost += np.rint(np.array([(weight * -np.log(own))[held].sum(), weight[held].sum()]) * UNIT).astype(np.int64)
-                    bins, label, weight, chance = bins[~held], label[~held], weight[~held], chance[~held]
+                    lost += np.rint(np.array([(n * weight * -np.log(own))[held].sum(), (n * weight)[held].sum()]) * UNIT).astype(np.int64)
+                    bins, label, weight, n, chance = bins[~held], label[~held], weight[~held], n[~held], chance[~held]
+                    exact = n.sum() <= MOST_IN_DOUBLES
                     for k, tree in enumerate(trees):
                         node = places(tree, bins, level) - first
                         inside = node >= 0  # the others stopped at a leaf above
                         residual = (label == k) - chance[:, k]
                         parts = [weight, weight * residual, weight * np.abs(residual) * (1 - np.abs(residual))]
+                        parts = [np.rint(part[inside] * UNIT) for part in parts]
+                        parts = [part * n[inside] if exact else part.astype(np.int64) * n[inside] for part in parts]
                         for j in range(width):
                             key = (node[inside] * width + j) * BINS + bins[inside, j]
                             for i, part in enumerate(parts):
-                                sums[k, :, i] += np.rint(np.bincount(key, np.rint(part[inside] * UNIT), size)).astype(np.int64)
+                                if exact:
+                                    sums[k, :, i] += np.rint(np.bincount(key, part, size)).astype(np.int64)
+                                else:
+                                    np.add.at(sums[k, :, i], key, part)
             k, at = np.nonzero(sums.any(axis=2))
             keys = np.concatenate([k * size + at, [-1]])
             values = np.concatenate([sums[k, at], [[*lost, 0]]])
@@ -226,7 +251,7 @@ class MultinomialBoosting(Estimator):
         total = sum(weights.values())
         prior = [math.log(max(weights.get(k, 0.0), 1e-12) / total) if total else 0.0 for k in range(self.n_classes)]
         width, gains = len(edges), np.zeros(max(len(edges), 1))
-        blocks = durable(self._blocks(rows, edges, prior)).persist()
+        blocks = self._blocks(rows, edges, prior)
         rounds: list[list[Tree]] = []
         settled, losses = 0, []
         while len(rounds) < self.rounds:

@@ -95,3 +95,30 @@ def test_boosting_of_constant_features_and_absent_classes(spark):
     df = frame(spark, np.ones((20, 2)), np.array([0, 1] * 10), np.ones(20))
     got, _ = chances(MultinomialBoosting(3, rounds=5).fit(df), df)
     assert np.allclose(got, [[0.5, 0.5, 0.0]], atol=1e-6)
+
+
+@pytest.mark.parametrize("most", [1 << 24, 10])
+def test_boosting_passes_over_different_rows_only(spark, monkeypatch, most):
+    from tabsmith.plans import boosting
+
+    monkeypatch.setattr(boosting, "MOST_IN_DOUBLES", most)
+    x, y, w = points(60)
+    x, y, w = (np.concatenate([v] * 20) for v in (x, y, w))
+    df = frame(spark, x, y, w)
+    seen, blocks = [], MultinomialBoosting._blocks
+    monkeypatch.setattr(MultinomialBoosting, "_blocks", lambda *a: seen.append(blocks(*a)) or seen[-1])
+    model = MultinomialBoosting(3, rounds=12, rate=0.3, depth=2).fit(df)
+    got, _ = chances(model, df)
+    assert np.abs(got - plain_boosting(x, y, w, model.state["edges"], 3, 12, 0.3, 2)).max() < 1e-5
+    counts = np.concatenate([np.frombuffer(r["n"], np.int64) for r in seen[0].collect()])
+    assert counts.sum() == 1200 and len(counts) <= 60, "a pass reads each different row once"
+
+
+def test_edges_merge_a_bounded_number_of_sketches(spark, monkeypatch):
+    x, y, w = points(200)
+    rows = spark.createDataFrame([(v,) for v in x.tolist()], "x array<double>").repartition(6 * spark.sparkContext.defaultParallelism)
+    merged, plain = [], type(rows).agg
+    monkeypatch.setattr(type(rows), "agg", lambda self, *c: merged.append(self.rdd.getNumPartitions()) or plain(self, *c))
+    edges = MultinomialBoosting._edges(rows)
+    assert len(edges) == 4 and len(edges[0]) == 31
+    assert merged[-1] <= 2 * spark.sparkContext.defaultParallelism
