@@ -267,7 +267,7 @@ class BaggedForest(Estimator):
         few = {r["j"]: r["v"][:-1] for r in values if len(r["v"]) <= BINS}
         many = [j for j in range(width) if j not in few]
         shares = F.lit([i / (BINS - 1) for i in range(BINS - 1)])
-        few_tasks = df.select(x).coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)  # one task merges the sketches of all
+        few_tasks = df.select(x).coalesce(max(64, df.sparkSession.sparkContext.defaultParallelism))  # one task merges the sketches of all
         cuts = few_tasks.agg(*[F.percentile_approx(F.get("x", F.lit(j)), shares, F.lit(100_000)).alias(f"q{j}") for j in many]).first() if many else ()
         return [few[j] if j in few else sorted(set(cuts[f"q{j}"] or [])) for j in range(width)]
 

@@ -35,6 +35,7 @@ UNIT = float(1 << FRACTION)
 MOST_IN_DOUBLES = 1 << 24
 """Rows of a block whose sums of units doubles hold exactly."""
 LEAST_GAIN = 1e-9
+SKETCHES = 64
 
 Tree = dict[str, list]
 """A complete binary tree in heap order: ``feature`` (-1 at a leaf), ``bin`` (rows up to it go left), ``value``."""
@@ -119,7 +120,7 @@ class MultinomialBoosting(Estimator):
         if not width:
             return []
         # A sketch has a size of its own, and one task merges those of all tasks: their number must not grow with the rows.
-        rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+        rows = rows.coalesce(max(SKETCHES, rows.sparkSession.sparkContext.defaultParallelism))
         found = rows.agg(*[F.percentile_approx(F.get("x", F.lit(j)), shares, F.lit(100_000)).alias(f"q{j}") for j in range(width)]).first()
         return [sorted(set(q or [])) for q in found]
 
