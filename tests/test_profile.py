@@ -268,3 +268,14 @@ def test_correlation_takes_one_pass_whatever_the_offsets(spark):
         want = expected.loc[row["col_i"], row["col_j"]]
         assert row["n"] == (plain[row["col_i"]].notna() & plain[row["col_j"]].notna()).sum()
         assert (row["r"] is None) == ("c" in (row["col_i"], row["col_j"])) and (row["r"] is None or abs(row["r"] - want) < 1e-9)
+
+
+def test_ranked_columns_are_not_carried_into_the_next_join(spark, monkeypatch):
+    from tabsmith.operators import correlation
+
+    carried, plain = [], correlation.attach
+    monkeypatch.setattr(correlation, "attach", lambda df, *a, **k: carried.append(df.columns) or plain(df, *a, **k))
+    df = spark.createDataFrame([(float(i), float(-i), float(i % 5)) for i in range(40)], "a double, b double, c double")
+    ranks = correlation.average_ranks(df, ["a", "b", "c"], broadcast_rows=0)
+    assert carried == [["a", "b", "c"], ["b", "c", "_rank0"], ["c", "_rank0", "_rank1"]]
+    assert sorted(tuple(r) for r in ranks.collect())[0] == (1.0, 40.0, 4.5)
