@@ -384,6 +384,35 @@ def test_leaks_against_brute_force(spark):
     assert found == expected, by_length
 
 
+def test_latent_space_is_of_all_documents(spark, monkeypatch):
+    """With a basis as wide as the vocabulary the space is exact: the passages' A'A, items included, is diagonal in it."""
+    monkeypatch.setattr(decontaminate, "SAMPLE_WORDS", 2_000, raising=False)  # once a bound on the words it was fitted on
+    monkeypatch.setattr(decontaminate, "TERMS", 16, raising=False)
+    known = [w for w in dict.fromkeys(prose(8, 100, "klmnopqrst").split())][:50]
+    texts = [(k, " ".join(w if j % 9 else known[(7 * k + j * j) % 50] for j, w in enumerate(prose(k, 40 + 5 * k).split()))) for k in range(120)]
+    texts += [(500, texts[119][1] * 40), (501, None), (502, "")]
+    items = [" ".join(known[i : i + 10]) for i in range(0, 50, 10)]
+    spaces, weighed = [], []
+    whole, run = decontaminate.latent_space, decontaminate._normal_product
+    monkeypatch.setattr(decontaminate, "_normal_product", lambda rows, weights, *rest: weighed.append((weights, *rest)) or run(rows, weights, *rest))
+    monkeypatch.setattr(decontaminate, "latent_space", lambda *given: spaces.append(whole(*given)) or spaces[-1])
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    decontaminate.leaks(table(spark, texts).repartition(3), benchmark).count()
+    ((weights, rows, _), *_), (space,) = weighed, spaces
+    vocabulary = np.unique(np.concatenate([s.words for s in decontaminate.segments(pa.array(items))]))
+    rows = decontaminate.ITEM_WEIGHT * rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    square = rows.T @ rows
+    for _, text in texts[:121]:
+        (at,) = words(pa.array([text]), breaks=decontaminate.BREAKS)
+        for i in range(0, len(at.hash), 2 * decontaminate.PASSAGE):
+            value = weights * np.array([np.count_nonzero(at.hash[i : i + 2 * decontaminate.PASSAGE] == v) for v in vocabulary])
+            square += np.outer(value, value) / max(value @ value, 1e-9)
+    turned = space.T @ square @ space
+    assert space.shape == (50, 50) and np.allclose(space.T @ space, np.eye(50), atol=1e-9)
+    assert np.allclose(turned, np.diag(np.diag(turned)), atol=1e-6 * turned.max())
+    assert np.allclose(np.diag(turned), np.linalg.eigvalsh(square)[::-1], rtol=1e-6)
+
+
 def test_best_stretch_with_the_answer():
     """An earlier stretch has as many common words, but not the answer."""
     segment = decontaminate.Segment(0, np.arange(20, dtype=np.uint64), 15)
