@@ -189,3 +189,28 @@ def test_distances_by_a_product_keep_their_digits(monkeypatch):
     assert np.allclose(silhouette.distances(a + 3e5, b + 3e5), np.sqrt(plain(a + 3e5, b + 3e5)), rtol=1e-9, atol=0), "far from zero"
     monkeypatch.setattr(silhouette, "squared_distances", None)
     assert np.allclose(silhouette.distances(a, b), np.sqrt(plain(a, b)), rtol=1e-9, atol=0)
+
+
+def test_exact_silhouette_measures_a_pair_once_and_copies_no_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(700, 5)) + 1e-12, rng.integers(0, 4, 700)
+    x[:300] = x[:300].astype(np.float32)  # kept as they are beside others that need 64 bits
+    df = spark.createDataFrame([(i if i % 9 else None, int(c[i]), [float(v) for v in x[i]]) for i in range(700)], "k bigint, c int, x array<double>")
+    keyed = df.selectExpr("row_number() OVER (ORDER BY k NULLS FIRST, x[0]) AS k", "c", "x")
+    found = silhouette.euclidean_silhouette(keyed, "k", "c", "x", block_rows=150)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan, "a copy of the rows for every block goes to disk"
+    assert found.first()[0] == pytest.approx(_silhouette(x, c, 1), rel=1e-12)
+
+    def once(n):
+        return (np.arange(n)[:, None] % 3 == np.arange(3)).astype(float)
+
+    pairs, plain = [], silhouette.distances
+    monkeypatch.setattr(silhouette, "TILE", 64)
+    monkeypatch.setattr(silhouette, "distances", lambda a, b: pairs.append(len(a) * len(b)) or plain(a, b))
+    a, b = x[:256], x[256:]
+    for one, two in ((a, b), (a, a)):
+        got = silhouette.distance_sums(one, once(len(one)), two, once(len(two)))
+        whole = np.sqrt(silhouette.squared_distances(one, two))
+        assert np.allclose(got[0], whole @ once(len(two))) and np.allclose(got[1], whole.T @ once(len(one)))
+    assert sum(pairs) == 256 * 444 + 64 * 64 * 10, "a block and itself: ten of sixteen pairs of tiles"
